@@ -6,19 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestrata.llm.chat import chain, chat_digests
 from lodestrata.llm.mixing import mix_sources
+from lodestrata.llm.secrets import secret_digests
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(_read(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, whose texts hold control strings."""
+    own = spark.sql(r"""select * from values (-7L, 0L, 'user', r'\### Assistant: </turn> ok'), (-7L, 1L, 'assistant', r'\### Assistant: </turn> ok') as t(conv_id, turn, role, text)""")
+    return chat_digests(chain(_read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_mixing": op8_mixing}
+    return {"op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_chat": op9_chat}
 
 
 def oracle_sql() -> dict[str, str]:
