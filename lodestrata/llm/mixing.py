@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.scratch import Scratch
+from lodestrata.llm.scratch import Scratch, partitions
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 2048
@@ -119,7 +119,7 @@ def slot_table(plan: DataFrame, block_words: int, shard_blocks: int, seed: int)
         plan.withColumn("shards", F.greatest(F.ceil(F.sum("slots").over(everything) / F.lit(shard_blocks)), F.lit(1)).cast("long"))
         .where("slots > 0")
         .withColumn("run", F.explode(F.expr(f"sequence(0L, (slots - 1) div {SLOT_RUN})")))
-        .repartition(F.col("src"), F.col("run"))
+        .repartition(partitions(plan.sparkSession), F.col("src"), F.col("run"))
     )
     at = F.col("slot") % F.col("blocks")
     return (
@@ -144,7 +144,8 @@ def mix_sources(
         .groupBy("src", "block")
         .agg(F.sum(F.when(F.col("words") == block_words, 1).otherwise(0)).alias("full"), F.coalesce(F.max(F.when(F.col("words") < block_words, F.col("words"))), F.lit(0)).alias("part"))
     )
-    # size and source_size of the plan are small columns; the plan has a row a source
+    # the listed slots outgrow what the planner expects of the plan, so their side is never broadcast
+    uses = uses.hint("merge")
     rows = placed.join(plan.select(F.col("source").alias("source_"), "src", "source_size", "target"), F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
     pieces = rows.withColumn("block", F.explode_outer(F.expr(f"if(size > 0, sequence(start div {block_words}, (start + size - 1) div {block_words}), cast(null as array<bigint>))")))
     low = F.greatest(F.col("start") - F.col("block") * block_words, F.lit(0))
@@ -176,7 +177,7 @@ def mixed_blocks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     )
     # a block has at most block_words pieces
     blocks = pieces.groupBy("src", "block").agg(F.array_sort(F.collect_list("piece")).alias("parts")).select("src", "block", F.flatten(F.col("parts.w")).alias("w"))
-    return slot_table(plan, block_words, shard_blocks, seed).join(blocks, ["src", "block"]).select("shard", "src", "slot", F.array_join(F.slice("w", F.lit(1), F.col("words").cast("int")), " ").alias("text"))
+    return slot_table(plan, block_words, shard_blocks, seed).hint("merge").join(blocks, ["src", "block"]).select("shard", "src", "slot", F.array_join(F.slice("w", F.lit(1), F.col("words").cast("int")), " ").alias("text"))
 
 
 def mixed_documents(docs: DataFrame, *, seed: int = 8) -> DataFrame:
