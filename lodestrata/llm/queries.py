@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm.chat import chain, chat_digests
+from lodestrata.llm.langid import predict_languages
 from lodestrata.llm.mixing import mix_sources
 from lodestrata.llm.secrets import secret_digests
 from lodestrata.llm.tokens import count_tokens, encode_pieces
@@ -21,6 +22,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), path=public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(_read(spark, sf_dir, "documents"))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(_read(spark, sf_dir, "documents"), path=public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -40,7 +45,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_counts": op2_token_counts, "op6_pieces": op6_pieces, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_chat": op9_chat}
+    return {"op2_token_counts": op2_token_counts, "op5_languages": op5_languages, "op6_pieces": op6_pieces, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_chat": op9_chat}
 
 
 def oracle_sql() -> dict[str, str]:
