@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm.chat import chain, chat_digests
+from lodestrata.llm.html import extract_main_text
 from lodestrata.llm.langid import predict_languages
 from lodestrata.llm.mixing import mix_sources
 from lodestrata.llm.secrets import secret_digests
@@ -44,8 +45,12 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(chain(_read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_counts": op2_token_counts, "op5_languages": op5_languages, "op6_pieces": op6_pieces, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_chat": op9_chat}
+    return {"op2_token_counts": op2_token_counts, "op5_languages": op5_languages, "op6_pieces": op6_pieces, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_main_text": op10_main_text}
 
 
 def oracle_sql() -> dict[str, str]:
