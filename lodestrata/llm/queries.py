@@ -11,6 +11,7 @@ from lodestrata.llm.chat import chain, chat_digests
 from lodestrata.llm.html import extract_main_text
 from lodestrata.llm.langid import predict_languages
 from lodestrata.llm.mixing import mix_sources
+from lodestrata.llm.neighbours import near_vectors
 from lodestrata.llm.secrets import secret_digests
 from lodestrata.llm.tokens import count_tokens, encode_pieces
 
@@ -19,6 +20,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), path=public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -50,7 +55,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_counts": op2_token_counts, "op5_languages": op5_languages, "op6_pieces": op6_pieces, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_main_text": op10_main_text}
+    return {"op1_near_vectors": op1_near_vectors, "op2_token_counts": op2_token_counts, "op5_languages": op5_languages, "op6_pieces": op6_pieces, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_main_text": op10_main_text}
 
 
 def oracle_sql() -> dict[str, str]:
