@@ -2,8 +2,8 @@
 
 Both work on words: a pre-token of the byte-level vocabulary, or a run of
 characters across whose border no piece of the SentencePiece vocabulary
-reaches. A word's result is computed once per Python worker and kept in a table
-of at most ``CACHE_WORDS`` words, which is emptied when full. Rows are handled
+reaches. A word's result is kept in the Python worker, in two tables of at most
+``CACHE_WORDS`` words together, of which the older is dropped when both are full. Rows are handled
 in Arrow batches where they lie: there is no shuffle, and a lost executor's
 batches are simply computed again. Vocabulary files are read on every executor
 from ``path``.
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -77,16 +78,20 @@ class PairCounter(dict):
         pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"])
         self.ranks = {p: i for i, p in enumerate(pairs)}
         self.letters = byte_letters()
+        self.older: dict[str, int] = {}
         self.words = regex.compile(PRE_TOKENS).findall
         special = [t["content"] for t in spec["added_tokens"] if t["special"]]
         # an added token in a text is one token, and words do not reach across it
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= CACHE_WORDS // 2:  # words not met since the last time are forgotten
+            self.older = dict(self)
             self.clear()
-        letters = self.letters
-        n = self[word] = merged_length([letters[b] for b in word.encode()], self.ranks)
+        n = self.older.get(word)
+        if n is None:
+            n = merged_length([self.letters[b] for b in word.encode()], self.ranks)
+        self[word] = n
         return n
 
     def count(self, text: str) -> int:
@@ -120,9 +125,10 @@ def count_tokens(docs: DataFrame, *, path: str, id_col: str = "doc_id", text_col
 SPACE = "▁"
 
 
-class PieceEncoder(dict):
+class PieceCoder(dict):
     """word -> its ids, joined by commas. A word's symbols are merged from an
-    agenda of adjacent pairs: the best-scored piece first, the leftmost on ties."""
+    agenda of adjacent pairs: the best-scored piece first, the leftmost on ties.
+    ``odd`` holds the words whose ids do not read back as the word."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -134,13 +140,19 @@ class PieceEncoder(dict):
         self.ids = {piece(i): i for i in plain}
         self.scores = {piece(i): self.library.get_score(i) for i in plain}
         self.bytes = {int(piece(i)[1:-1], 16): i for i in ids if self.library.is_byte(i)}
-        joined = [p for p in self.ids if len(p) > 1]
-        if any(a != SPACE and b == SPACE for p in joined for a, b in zip(p, p[1:], strict=False)) or len(self.bytes) != 256:
+        self.surfaces = [bytes([int(piece(i)[1:-1], 16)]) if self.library.is_byte(i) else piece(i).encode() for i in ids]
+        pairs = {pair for p in self.ids for pair in zip(p, p[1:], strict=False)}
+        if any(a != SPACE and b == SPACE for a, b in pairs) or len(self.bytes) != 256:
             raise ValueError("needs a vocabulary with byte fallback, whose pieces have spaces at their start only")
-        import re
-
-        cut = "\n" if not any("\n" in p for p in joined) else ""
-        self.words = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if cut else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
+        # words end where no piece can reach on: before spaces, around line
+        # breaks, and between a letter and a mark that no piece has behind one
+        letter = r"[^\W\d_]"
+        marks = "".join(m for m in ".,;:!?" if not any(b == m and re.match(letter, a) for a, b in pairs))
+        broken = "" if any("\n" in pair for pair in pairs) else "\n"
+        rest = f"(?:[^{SPACE}{broken}{marks}]+|(?<!{letter})[{marks}])*" if marks else f"[^{SPACE}{broken}]*"
+        self.words = re.compile(f"{'\n|' if broken else ''}(?:{SPACE}+|[^{SPACE}]){rest}").findall
+        self.older: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
         self.fresh: list[str] = []
         self.mended = 0
 
@@ -171,86 +183,82 @@ class PieceEncoder(dict):
             out += [i] if i is not None else [self.bytes[b] for b in s.encode()]
         return out
 
+    def decoded(self, ids: list[int]) -> str:
+        """Ids read back: bytes joined, spaces for the space letter."""
+        return b"".join([self.surfaces[i] for i in ids]).decode(errors="replace").replace(SPACE, " ")
+
+    def _put(self, word: str, ids: list[int]) -> str:
+        back = self.decoded(ids)
+        if back != word.replace(SPACE, " "):
+            self.odd[word] = back
+        found = self[word] = ",".join(map(str, ids))
+        return found
+
     def __missing__(self, word: str) -> str:
-        self.fresh.append(word)
-        found = self[word] = ",".join(map(str, self.encoded(word)))
+        if (found := self.older.get(word)) is None:
+            self.fresh.append(word)
+            return self._put(word, self.encoded(word))
+        self[word] = found
         return found
 
     def check(self) -> None:
-        """Hold the new words of a batch against the library. The library adds
-        a space in front, so words without one are asked after a line break,
-        which no piece spans."""
-        if not self.fresh:
-            return
-        lead = len(self.library.encode("\n"))
-        # a lone space is what the library puts before a line break
-        asked = ["\n" if w == SPACE else w[1:].replace(SPACE, " ") if w[0] == SPACE else "\n" + w for w in self.fresh]
-        for word, ids in zip(self.fresh, self.library.encode(asked, num_threads=1), strict=True):
-            own = ",".join(map(str, ids[: lead - 1] if word == SPACE else ids if word[0] == SPACE else ids[lead:]))
-            if own != self[word]:
-                self[word] = own  # the library is what is asked for
-                self.mended += 1
-        self.fresh.clear()
-        if len(self) > CACHE_WORDS:
+        """Hold the new words of a batch against the library; where they differ
+        the library's ids count. The library adds a space in front, so words
+        without one are asked after a line break, which no piece spans."""
+        if self.fresh:
+            lead = len(self.library.encode("\n"))
+            # a lone space is what the library puts before a line break
+            asked = ["\n" if w == SPACE else w[1:].replace(SPACE, " ") if w[0] == SPACE else "\n" + w for w in self.fresh]
+            for word, ids in zip(self.fresh, self.library.encode(asked, num_threads=1), strict=True):
+                ids = ids[: lead - 1] if word == SPACE else ids if word[0] == SPACE else ids[lead:]
+                if ",".join(map(str, ids)) != self[word]:
+                    self._put(word, ids)
+                    self.mended += 1
+            self.fresh.clear()
+        if len(self) > CACHE_WORDS // 2:  # words not met since the last time are forgotten
+            self.older = dict(self)
             self.clear()
 
     def split(self, text: str) -> list[str]:
         return self.words(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def decoded(self, ids: str) -> str:
-        """A word's ids read back: spaces for the space letter, bytes joined."""
-        piece, out = self.library.id_to_piece, bytearray()
-        for i in map(int, ids.split(",")):
-            out += bytes([int(piece(i)[1:-1], 16)]) if self.library.is_byte(i) else piece(i).encode()
-        return out.decode(errors="replace").replace(SPACE, " ")
-
-
-class PieceDecoder(dict):
-    """A word's ids -> its text."""
-
-    def __init__(self, encoder: PieceEncoder):
-        self.encoder = encoder
-
-    def __missing__(self, ids: str) -> str:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        text = self[ids] = self.encoder.decoded(ids)
-        return text
+    def code(self, text: str) -> tuple[str, str]:
+        """(ids joined by commas, the text that they read back as)."""
+        words = self.split(text)
+        joined = ",".join(map(self.__getitem__, words))
+        if self.odd and not self.odd.keys().isdisjoint(words):
+            return joined, "".join(self.odd.get(w) or w.replace(SPACE, " ") for w in words)[1:]
+        return joined, "".join(words).replace(SPACE, " ")[1:]
 
 
 @lru_cache(maxsize=2)
-def piece_coder(path: str) -> tuple[PieceEncoder, PieceDecoder]:
-    encoder = PieceEncoder(path)
-    return encoder, PieceDecoder(encoder)
+def piece_coder(path: str) -> PieceCoder:
+    return PieceCoder(path)
 
 
-def encode_pieces(docs: DataFrame, *, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def encode_pieces(docs: DataFrame, *, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, at_once: int = 256) -> DataFrame:
     """Per document: (doc_id, n_tokens, ids_sha256, decoded_sha256), and with
     ``keep_ids`` also ids array<int> and decoded, the text read back."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_ids else [])]
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = piece_coder(path)
-        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_ids else [])]
-        for batch in batches:
-            texts = [encoder.split(t.as_py()) for t in batch.column(1)]
-            for words in texts:  # all words of the batch are encoded, and checked together
-                for _ in map(encoder.__getitem__, words):
-                    pass
-            encoder.check()
-            n, sums, ids, back = [], [], [], []
-            for words in texts:
-                found = [*map(encoder.__getitem__, words)]
-                joined = ",".join(found)
-                text = "".join(map(decoder.__getitem__, found))[1:]
-                n.append(joined.count(",") + 1 if joined else 0)
-                sums.append((hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+        coder = piece_coder(path)
+        for whole in batches:
+            for at in range(0, len(whole), at_once):
+                batch = whole.slice(at, at_once)
+                texts = batch.column(1).to_pylist()
+                found = [coder.code(t) for t in texts]
+                mended = coder.mended
+                coder.check()
+                if coder.mended > mended:
+                    found = [coder.code(t) for t in texts]
+                digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+                columns = [batch.column(0), pa.array([ids.count(",") + 1 if ids else 0 for ids, _ in found], pa.int64()), pa.array([digest(ids) for ids, _ in found], pa.string()), pa.array([digest(text) for _, text in found], pa.string())]
                 if keep_ids:
-                    ids.append([*map(int, joined.split(","))] if joined else [])
-                    back.append(text)
-            columns = [batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in (*zip(*sums, strict=True),) or ((), ()))]
-            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())] if keep_ids else [])], names)
+                    columns += [pa.array([[*map(int, ids.split(","))] if ids else [] for ids, _ in found], pa.list_(pa.int32())), pa.array([text for _, text in found], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     more = ", ids array<int>, decoded string" if keep_ids else ""
     return rows.mapInArrow(coded, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
