@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm.chat import chain, chat_digests
 from lodestrata.llm.html import extract_main_text
+from lodestrata.llm.jaccard import near_documents
 from lodestrata.llm.langid import predict_languages
 from lodestrata.llm.mixing import mix_sources
 from lodestrata.llm.neighbours import near_vectors
@@ -28,6 +29,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), path=public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_documents(_read(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(_read(spark, sf_dir, "documents"))
 
@@ -55,7 +60,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_near_vectors": op1_near_vectors, "op2_token_counts": op2_token_counts, "op5_languages": op5_languages, "op6_pieces": op6_pieces, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_main_text": op10_main_text}
+    return {"op1_near_vectors": op1_near_vectors, "op2_token_counts": op2_token_counts, "op3_jaccard": op3_jaccard, "op5_languages": op5_languages, "op6_pieces": op6_pieces, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_main_text": op10_main_text}
 
 
 def oracle_sql() -> dict[str, str]:
