@@ -5,8 +5,8 @@ block is described by its tag path (names and classes of its ancestors, hashed),
 its words (hashed) and a few figures; a bidirectional LSTM in numpy reads the
 blocks of a page in order and labels every one with the whole page in view.
 
-Training pages are a bounded sample (``FIT_PAGES`` pages, the first by a hash
-of the url, whole) and ``FIT_LAYOUTS`` generated layouts filled with the words
+Training pages are a bounded sample (``FIT_PAGES`` pages, the first by a
+hash, whole) and ``FIT_LAYOUTS`` generated layouts filled with the words
 of that sample, for page parts that a sample may lack. Their blocks are
 labelled by the rules in ``taught``. The weights sent to the executors have a
 fixed size. Pages are labelled row by row in Arrow batches, without a shuffle.
@@ -326,8 +326,11 @@ _EXTRACTORS: dict[str, Extractor] = {}
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", fit_pages: int = FIT_PAGES, at_once: int = 256) -> DataFrame:
     """Per page: (page_id, url, text, n_chars)."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    sample = rows.orderBy(F.xxhash64("url"), "url", "html").limit(fit_pages).select("html").collect()
-    packed = pickle.dumps(fit_labeller([r.html for r in sample]))
+    # only hashes are ordered; then the pages up to the last chosen hash are read
+    hashed = rows.select(F.xxhash64("url", "html").alias("h"), "html")
+    last = hashed.select("h").distinct().orderBy("h").limit(fit_pages).agg(F.max("h")).first()[0]
+    sample = hashed.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.any_value("html").alias("html")).collect()
+    packed = pickle.dumps(fit_labeller([r["html"] for r in sorted(sample, key=lambda r: r["h"])]))
     sent, key = pages.sparkSession.sparkContext.broadcast(packed), hashlib.sha256(packed).hexdigest()
     kinds = [rows.schema[c].dataType.simpleString() for c in ("page_id", "url")]
 

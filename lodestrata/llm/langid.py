@@ -6,7 +6,7 @@ those whose training texts hold that script. The best path through the words,
 at a penalty for every switch of language, labels the spans of a text.
 
 The models are fitted on a bounded sample: of each language's labelled rows
-the ``fit_rows`` first by a hash of the id, their texts whole. What is sent to
+the ``fit_rows`` first by a hash of id and text, their texts whole. What is sent to
 the executors is that model, bounded by the sample. Prediction is per row in
 Arrow batches, without a shuffle, and reads the text alone.
 
@@ -56,7 +56,7 @@ def script_of(word: str) -> str:
 def _words():
     import regex
 
-    return regex.compile(r"[\p{L}\p{M}]*\p{L}[\p{L}\p{M}]*")
+    return regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def _trigrams(word: str) -> list[str]:
@@ -183,10 +183,16 @@ _LABELLERS: dict[str, Labeller] = {}
 
 def fitted(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> dict:
     """The model of the rows of ``docs`` where ``train`` holds: at most
-    ``fit_rows`` rows of each language, the first by a hash of the id."""
-    rows = docs.where(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("i"))
-    first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "i", "text"))).where(F.col("rn") <= fit_rows)
-    return fit([(r.lang, r.text) for r in first.select("lang", "text").collect()])
+    ``fit_rows`` rows of each language, the first by a hash; equal rows count once."""
+    rows = docs.where(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    # only hashes are ordered; then the texts up to each language's last chosen hash are read
+    ranked = rows.select("lang", "h").distinct().withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rn") <= fit_rows)
+    last = ranked.groupBy("lang").agg(F.max("h").alias("h")).collect()
+    chosen = F.lit(False)
+    for r in last:
+        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.col("h") <= r["h"]))
+    sample = rows.where(chosen).groupBy("lang", "h").agg(F.any_value("text").alias("text")).collect()
+    return fit([(r["lang"], r["text"]) for r in sorted(sample, key=lambda r: (r["lang"], r["h"]))])
 
 
 def label_languages(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH, keep_spans: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm.chat import chain, chat_digests
+from lodestrata.llm.fingerprints import version_fingerprints
 from lodestrata.llm.html import extract_main_text
 from lodestrata.llm.jaccard import near_documents
 from lodestrata.llm.langid import predict_languages
@@ -33,6 +34,10 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_documents(_read(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return version_fingerprints(_read(spark, sf_dir, "documents"))
+
+
 def op5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(_read(spark, sf_dir, "documents"))
 
@@ -60,7 +65,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_near_vectors": op1_near_vectors, "op2_token_counts": op2_token_counts, "op3_jaccard": op3_jaccard, "op5_languages": op5_languages, "op6_pieces": op6_pieces, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_main_text": op10_main_text}
+    return {"op1_near_vectors": op1_near_vectors, "op2_token_counts": op2_token_counts, "op3_jaccard": op3_jaccard, "op4_fingerprints": op4_fingerprints, "op5_languages": op5_languages, "op6_pieces": op6_pieces, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_main_text": op10_main_text}
 
 
 def oracle_sql() -> dict[str, str]:
