@@ -18,6 +18,8 @@ are verified on their whole sets.
    count. Long lists first link to the least representative of their list;
    pairs are then formed only between different components.
 4. Verification: sets of candidates only are computed again from their texts.
+   Each document's likeliest pair is verified first, then the pairs that are
+   still in different components, so no component's pairs are all compared.
 
 Defined results: a null text, or one without words, has an empty set and links
 with nothing; a null id links with nothing and has no component; repeated rows
@@ -111,13 +113,14 @@ def _prefixes(sent, words: int, percent: int, bits: int):
                 need = -(-percent * n // 100)
                 base = n - need + 1
                 order = np.argsort((rank.astype(U) << U(48)) | (one >> U(16)), kind="stable")[: base + MOST_MATCHES - 1]
-                costs = np.maximum(rank[order] - 1.5 * usual - 2, 0)
+                ranks = rank[order]
+                costs = np.maximum(ranks - 1.5 * usual - 2, 0)
                 ell = chosen_matches(costs, base, max(1, min(MOST_MATCHES, need)))
                 sums = (int(mixed(one).sum(dtype=U)), int(np.bitwise_xor.reduce(mixed(one * U(0xD6E8FEB86659FD93)))))
-                out.append((n, *(s - (1 << 64) if s >> 63 else s for s in sums), base, ell, one[order[: base + ell - 1]].view(np.int64)))
+                out.append((n, *(s - (1 << 64) if s >> 63 else s for s in sums), ell, int(np.searchsorted(ranks[: base + ell - 1], LONG_LIST, "right")), one[order[: base + ell - 1]].view(np.int64)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
             columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n", "s1", "s2", "base", "ell", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n", "s1", "s2", "ell", "common_from", "prefix"])
 
     return run
 
@@ -131,30 +134,44 @@ def _sets(words: int):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The (x, y) of ``pairs`` that link. ``texts`` has (doc_id, text)."""
+def set_table(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(rep, shingles): the sets of all documents of ``pairs``, from their texts."""
     needed = pairs.select(F.col("x").alias("id_")).union(pairs.select("y")).distinct()
-    sets = scratch.keep(texts.join(needed, F.col("doc_id") == F.col("id_"), "left_semi").mapInArrow(_sets(words), "rep long, shingles array<long>"))
+    return texts.join(needed, F.col("doc_id") == F.col("id_"), "left_semi").mapInArrow(_sets(words), "rep long, shingles array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (x, y) of ``pairs`` whose whole sets link."""
     left = sets.select(F.col("rep").alias("x"), F.col("shingles").alias("a"))
     right = sets.select(F.col("rep").alias("y"), F.col("shingles").alias("b"))
-    both = pairs.join(left.hint("merge"), "x").join(right.hint("merge"), "y").withColumn("shared", F.size(F.array_intersect("a", "b")))
+    both = pairs.select("x", "y").join(left.hint("merge"), "x").join(right.hint("merge"), "y").withColumn("shared", F.size(F.array_intersect("a", "b")))
     # shared / union >= percent / 100, in whole numbers
     return both.where((100 + percent) * F.col("shared") >= percent * (F.size("a") + F.size("b"))).select("x", "y")
 
 
 def _candidates(postings: DataFrame, percent: int) -> DataFrame:
-    """(x, y) that share enough prefix shingles, x the smaller set, from
-    (token, rep, n, pos, base, ell, component)."""
+    """(x, y, found) that share enough prefix shingles, x the smaller set, from
+    (token, rep, n, at, component), ``at`` holding position and matches."""
     a, b = postings.alias("a"), postings.alias("b")
     c = F.col
-    ell = F.least(c("a.ell"), c("b.ell"))
+    pos = lambda side: F.shiftright(f"{side}.at", 3)
+    base = lambda side: c(f"{side}.n") - F.ceil(percent * c(f"{side}.n") / 100).cast("int") + 1
+    ell = F.least(c("a.at").bitwiseAND(7), c("b.at").bitwiseAND(7))
     smaller = (c("a.n") < c("b.n")) | ((c("a.n") == c("b.n")) & (c("a.rep") < c("b.rep")))
-    like = percent * c("b.n") <= 100 * c("a.n")
-    near = (c("a.pos") < c("a.base") + ell - 1) & (c("b.pos") < c("b.base") + ell - 1)
-    reach = F.least(c("a.pos"), c("b.pos")) + F.least(c("a.n") - c("a.pos"), c("b.n") - c("b.pos"))
-    enough = (100 + percent) * reach >= percent * (c("a.n") + c("b.n"))
+    like = percent * c("b.n").cast("long") <= 100 * c("a.n").cast("long")
+    near = (pos("a") < base("a") + ell - 1) & (pos("b") < base("b") + ell - 1)
+    reach = F.least(pos("a"), pos("b")) + F.least(c("a.n") - pos("a"), c("b.n") - pos("b"))
+    enough = (100 + percent) * reach.cast("long") >= percent * (c("a.n") + c("b.n")).cast("long")
     joined = a.join(b.hint("merge"), (c("a.token") == c("b.token")) & (c("a.component") != c("b.component")) & smaller & like & near & enough)
-    return joined.groupBy(c("a.rep").alias("x"), c("b.rep").alias("y")).agg(F.count(F.lit(1)).alias("found"), F.min(ell).alias("ell")).where("found >= ell").select("x", "y")
+    return joined.groupBy(c("a.rep").alias("x"), c("b.rep").alias("y")).agg(F.count(F.lit(1)).alias("found"), F.min(ell).alias("ell")).where("found >= ell").select("x", "y", "found")
+
+
+def _apart(pairs: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs that ``edges`` do not connect."""
+    known = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
+    for side in ("x", "y"):
+        pairs = pairs.join(known.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
+    return pairs.where(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("x", "y")
 
 
 def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bits: int = BITS) -> DataFrame:
@@ -163,26 +180,31 @@ def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     scratch = Scratch(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sent = spark.sparkContext.broadcast(shingle_frequencies(rows.select("text"), words, bits).tobytes())
-    made = scratch.keep(rows.mapInArrow(_prefixes(sent, words, percent, bits), "doc_id long, n long, s1 long, s2 long, base int, ell int, prefix array<long>"))
+    made = scratch.keep(rows.mapInArrow(_prefixes(sent, words, percent, bits), "doc_id long, n long, s1 long, s2 long, ell int, common_from int, prefix array<long>"))
 
     reps = made.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     reps = scratch.keep(reps)
-    # one row of each set carries its prefix: that of the representative
+    # the representative's row carries the prefix of its set
     by_rep = reps.select(F.col("rep").alias("doc_id"), "s1", "s2")
-    whole = made.join(by_rep, ["doc_id", "s1", "s2"]).dropDuplicates(["doc_id", "s1", "s2"])
-    postings = whole.select(F.col("doc_id").alias("rep"), "n", "base", "ell", F.posexplode("prefix").alias("pos", "token"))
-
-    # 1: every member of a long list against the list's least representative
-    long_lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("pivot")).where(F.col("size") > LONG_LIST).select("token", "pivot")
-    long_lists = scratch.keep(long_lists)
-    stars = postings.join(long_lists, "token").where("rep != pivot").select(F.col("pivot").alias("x"), F.col("rep").alias("y")).distinct()
-    first = scratch.keep(verified(scratch.keep(stars), rows, words, percent, scratch))
-    # 2: all pairs that are not in one component yet
+    whole = scratch.keep(made.join(by_rep, ["doc_id", "s1", "s2"]).dropDuplicates(["doc_id", "s1", "s2"]).select(F.col("doc_id").alias("rep"), F.col("n").cast("int").alias("n"), "ell", "common_from", "prefix"))
+
+    # 1: every member of a long list against the list's least representative;
+    # shingles that are counted LONG_LIST times at most have no long list
+    common = whole.select("rep", F.explode(F.expr("slice(prefix, common_from + 1, size(prefix))")).alias("token"))
+    long_lists = scratch.keep(common.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("pivot")).where(F.col("size") > LONG_LIST).select("token", "pivot"))
+    stars = scratch.keep(common.join(long_lists, "token").where("rep != pivot").select(F.col("pivot").alias("x"), F.col("rep").alias("y")).distinct())
+    first = scratch.keep(verified(stars, scratch.keep(set_table(stars, rows, words)), percent))
+    # 2: pairs of what is not connected yet, each document's likeliest partner first
     early = components(first.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch).select(F.col("node").alias("rep"), "component")
-    tagged = whole.withColumnRenamed("doc_id", "rep").join(early, "rep", "left")
-    tagged = tagged.select(F.posexplode("prefix").alias("pos", "token"), "rep", F.col("n").cast("int").alias("n"), "base", "ell", F.coalesce("component", "rep").alias("component"))
-    second = verified(scratch.keep(_candidates(tagged, percent)), rows, words, percent, scratch)
-    found = components(first.union(second).select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
+    tagged = whole.join(early, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    postings = tagged.select("rep", "n", "component", "ell", F.posexplode("prefix").alias("pos", "token"))
+    pairs = scratch.keep(_candidates(postings.select("token", "rep", "n", "component", (F.col("pos") * 8 + F.col("ell")).alias("at")), percent))
+    sets = scratch.keep(set_table(pairs, rows, words))
+    both_ways = pairs.select("x", "y", "found", F.col("x").alias("one")).union(pairs.select("x", "y", "found", F.col("y")))
+    likeliest = both_ways.groupBy("one").agg(F.max_by(F.struct("x", "y"), "found").alias("p")).select("p.x", "p.y").distinct()
+    second = scratch.keep(verified(likeliest, sets, percent))
+    third = verified(scratch.keep(_apart(pairs, first.union(second), scratch)), sets, percent)
+    found = components(first.union(second).union(third).select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
 
     named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = made.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
