@@ -1,17 +1,17 @@
 r"""Document fingerprints by invertible Bloom lookup sketches, DataFrame
 functions only.
 
-A text's paragraphs are its lines, cut into runs of ``w`` words; ``w`` is a
-power of two that follows the length of the text, so that short texts have
-several paragraphs too. Each paragraph's digest is added to three cells, one in
-each third of the sketch; a cell holds a count, the exclusive or of its
-digests and that of their checks. Two sketches subtract cell by cell: equal
-paragraphs cancel out. Peeling then takes digests out of cells that hold one
-alone until none is left, which recovers the digests that only one side has.
-When cells are left over, both sides are sketched again ``GROWTH`` times larger
-and with other hashes, at most ``TRIES`` times; after that the digests
-themselves are compared. Likeness is shared / all paragraphs, where the shared
-ones are known from the two set sizes and the recovered differences.
+A text's paragraphs are its lines, cut into runs of ``w`` code points; ``w`` is
+a power of two that follows the length of the text, so that short texts have
+several paragraphs too. Each paragraph's digest, which carries a check of its
+own bits, goes into three cells, one in each third of the sketch, by exclusive
+or. Two sketches subtract cell by cell: equal paragraphs cancel out. Peeling
+then takes digests out of cells that hold one alone until none is left, which
+recovers the digests that only one side has. When cells are left over, both
+sides are sketched again ``GROWTH`` times larger and with other hashes, at most
+``TRIES`` times; after that the digests themselves are compared. Likeness is
+shared / all paragraphs, where the shared ones are known from the two set sizes
+and the recovered differences.
 
 The fingerprint is the SHA-256 of the sketch of ``BASE_CELLS`` cells and the
 number of paragraphs.
@@ -37,61 +37,57 @@ BASE_CELLS = 24
 GROWTH = 2
 TRIES = 4
 ROUNDS = 40
-#: Words of a paragraph at most, by length of text: about PARTS paragraphs.
+#: Code points of a paragraph at most: the least of these that cuts a text into PARTS.
 PARTS = 16
-WIDTHS = (2, 4, 8, 16, 32, 64, 128, 256)
-#: Characters taken for a word when the width is chosen from a text's length.
-CHARS_A_WORD = 6
+WIDTHS = (16, 32, 64, 128, 256, 512, 1024, 2048)
+#: Bits of a digest that are a check of the others.
+CHECK_BITS = 20
 
 
 def width_of(chars: Column) -> Column:
     """The width for a text of so many code points."""
     out = F.lit(WIDTHS[-1])
     for w in reversed(WIDTHS[:-1]):
-        out = F.when(chars <= w * PARTS * CHARS_A_WORD, w).otherwise(out)
+        out = F.when(chars <= w * PARTS, w).otherwise(out)
     return out
 
 
-def digests_of(text: Column, width: Column) -> Column:
-    """The distinct digests of a text's paragraphs."""
-    found = F.array().cast("array<string>")
-    for w in reversed(WIDTHS):
-        pattern = rf"(?:[^\x20\x09-\x0D]++[\x20\x09\x0B-\x0D]*+){{1,{w}}}"
-        found = F.when(width == w, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(found)
-    return F.array_distinct(F.transform(found, lambda p: F.xxhash64(F.rtrim(p))))
-
+def _checked(high: Column) -> Column:
+    """A digest: 44 bits and their check."""
+    high = F.shiftleft(F.shiftrightunsigned(high, CHECK_BITS), CHECK_BITS)
+    return high.bitwiseOR(F.xxhash64(high).bitwiseAND(F.lit((1 << CHECK_BITS) - 1)))
 
-def _check(digest: Column) -> Column:
-    return F.xxhash64(digest, F.lit(-7))
 
-
-def _cells_of(digest: Column, cells: Column, salt: Column) -> Column:
-    third = F.floor(cells / 3).cast("int")
-    return F.array(*[(F.pmod(F.xxhash64(digest, salt, F.lit(i)), third) + third * i).cast("int") for i in range(3)])
+def _holds_one(cell: Column) -> Column:
+    return (cell != 0) & (_checked(cell) == cell)
 
 
-CELL = "struct<c:int,k:bigint,h:bigint>"
+def digests_of(text: Column, width: Column) -> Column:
+    """The distinct digests of a text's paragraphs."""
+    found = F.regexp_extract_all(text, F.concat(F.lit(r"[^\n]{1,"), width, F.lit("}")), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda p: _checked(F.xxhash64(p))))
 
 
-def _toggled(sketch: Column, at: Column, digest: Column, sign: Column) -> Column:
-    old = F.get(sketch, at)
-    new = F.struct((old["c"] + sign).alias("c"), old["k"].bitwiseXOR(digest).alias("k"), old["h"].bitwiseXOR(_check(digest)).alias("h"))
-    return F.concat(F.slice(sketch, F.lit(1), at), F.array(new), F.slice(sketch, at + 2, F.size(sketch)))
+def _spots(digests: Column, cells: Column, salt: Column) -> Column:
+    """Each digest with its cells, one in each third of the sketch."""
+    third = F.floor(cells / 3).cast("int")
+    place = lambda h, i: F.pmod(F.shiftright(h, 20 * i), third).cast("int") + third * i
+    hashed = F.transform(digests, lambda d: F.struct(d.alias("d"), F.xxhash64(d, salt).alias("h")))
+    return F.transform(hashed, lambda s: F.struct(s["d"].alias("d"), *(place(s["h"], i).alias(f"p{i}") for i in range(3))))
 
 
-def _with_all(sketch: Column, digests: Column, cells: Column, salt: Column, sign: Column) -> Column:
-    """``digests`` added (sign 1) or taken out (-1); the sketch is a variable or cheap."""
-    spots = F.flatten(F.transform(digests, lambda d: F.transform(_cells_of(d, cells, salt), lambda at: F.struct(at.alias("at"), d.alias("d")))))
-    return F.aggregate(spots, sketch, lambda acc, s: _toggled(acc, s["at"], s["d"], sign))
+def _toggled(sketch: Column, spots: Column) -> Column:
+    """Every digest put into its cells, or taken out where it is in them."""
+    one = lambda acc, s: F.transform(acc, lambda v, i: F.when((i == s["p0"]) | (i == s["p1"]) | (i == s["p2"]), v.bitwiseXOR(s["d"])).otherwise(v))
+    return F.aggregate(spots, sketch, one)
 
 
 def sketch_of(digests: Column, cells: Column, salt: Column) -> Column:
-    empty = F.array_repeat(F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h")), cells)
-    return _with_all(empty, digests, cells, salt, F.lit(1))
+    return _toggled(F.array_repeat(F.lit(0).cast("long"), cells), _spots(digests, cells, salt))
 
 
 def subtracted(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["c"] - y["c"]).alias("c"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h")))
+    return F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
 
 
 def _let(value: Column, body) -> Column:
@@ -99,48 +95,41 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _is_empty(sketch: Column) -> Column:
-    return F.forall(sketch, lambda c: (c["c"] == 0) & (c["k"] == 0) & (c["h"] == 0))
-
-
 def peeled(sketch: Column, cells: Column, salt: Column) -> Column:
-    """(left, right, done): how many digests only the first, only the second
-    side has, and whether all cells came out empty. Every round takes out the
-    digests of all cells that hold one alone."""
-    lone = lambda s: F.array_distinct(F.transform(F.filter(s, lambda c: (F.abs(c["c"]) == 1) & (c["h"] == _check(c["k"]))), lambda c: F.struct(c["c"].alias("c"), c["k"].alias("k"))))
+    """(apart, done): how many digests one side alone has, and whether all
+    cells came out empty. Every round takes out the digests of all cells that
+    hold one alone."""
 
     def taken(state: Column, alone: Column) -> Column:
-        spots = F.flatten(F.transform(alone, lambda x: F.transform(_cells_of(x["k"], cells, salt), lambda at: F.struct(at.alias("at"), x["k"].alias("d"), (-x["c"]).alias("s")))))
-        after = F.aggregate(spots, state["s"], lambda acc, s: _toggled(acc, s["at"], s["d"], s["s"]))
-        left = F.size(F.filter(alone, lambda x: x["c"] == 1))
-        return F.struct(after.alias("s"), (state["left"] + left).alias("left"), (state["right"] + F.size(alone) - left).alias("right"), (F.size(alone) == 0).alias("stuck"))
-
-    start = F.struct(sketch.alias("s"), F.lit(0).alias("left"), F.lit(0).alias("right"), F.lit(False).alias("stuck"))
-    step = lambda state, _: F.when(state["stuck"], state).otherwise(_let(lone(state["s"]), lambda alone: taken(state, alone)))
-    end = lambda state: F.struct(state["left"].alias("left"), state["right"].alias("right"), _is_empty(state["s"]).alias("done"))
+        return F.struct(_toggled(state["s"], _spots(alone, cells, salt)).alias("s"), (state["apart"] + F.size(alone)).alias("apart"), (F.size(alone) == 0).alias("stuck"))
+
+    start = F.struct(sketch.alias("s"), F.lit(0).alias("apart"), F.lit(False).alias("stuck"))
+    step = lambda state, _: F.when(state["stuck"], state).otherwise(_let(F.array_distinct(F.filter(state["s"], _holds_one)), lambda alone: taken(state, alone)))
+    end = lambda state: F.struct(state["apart"].alias("apart"), F.forall(state["s"], lambda v: v == 0).alias("done"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, end)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Shared / all of two digest arrays, by sketches that grow until they peel."""
+def with_likeness(rows: DataFrame, name: str, a: Column, b: Column) -> DataFrame:
+    """``rows`` with shared / all of two digest arrays, by sketches that grow until they peel."""
     both = F.size(a) + F.size(b)
-    # the first size holds texts of which a third differs; the next, unlike ones
-    cells = [F.greatest(F.lit(BASE_CELLS), 3 * F.ceil(both * 0.3)).cast("int"), F.greatest(F.lit(BASE_CELLS * GROWTH), 3 * F.ceil(both * 0.65)).cast("int")]
-    for _ in range(TRIES - 2):
-        cells.append(cells[-1] * GROWTH)
-    exact = F.size(F.array_intersect(a, b))
-    shared = exact
+    # least digests that agree tell alike texts, whose differences need fewer cells
+    alike = (F.array_min(a) == F.array_min(b)) | (F.array_max(a) == F.array_max(b))
+    first = F.greatest(F.lit(BASE_CELLS), 3 * F.ceil(both * F.when(alike, 0.35).otherwise(0.65))).cast("int")
+    columns, out = rows.columns, rows
+    for i in range(TRIES):
+        cells, salt, tried = first * GROWTH**i, F.lit(i), F.col(f"try{i - 1}_.done")
+        found = peeled(subtracted(sketch_of(a, cells, salt), sketch_of(b, cells, salt)), cells, salt)
+        out = out.withColumn(f"try{i}_", found if i == 0 else F.when(F.coalesce(tried, F.lit(True)), F.lit(None)).otherwise(found))
+    shared = F.size(F.array_intersect(a, b))
     for i in reversed(range(TRIES)):
-        salt = F.lit(i)
-        found = peeled(subtracted(sketch_of(a, cells[i], salt), sketch_of(b, cells[i], salt)), cells[i], salt)
-        larger = shared
-        shared = _let(found, lambda f, larger=larger: F.when(f["done"], F.floor((both - f["left"] - f["right"]) / 2).cast("int")).otherwise(larger))
-    return F.when(both == 0, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(shared / (both - shared))
+        t = F.col(f"try{i}_")
+        shared = F.when(t["done"], F.floor((both - t["apart"]) / 2).cast("int")).otherwise(shared)
+    return out.select(*columns, F.when(both == 0, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(shared / (both - shared)).alias(name))
 
 
 def fingerprint(digests: Column) -> Column:
     sketch = sketch_of(digests, F.lit(BASE_CELLS), F.lit(0))
-    return F.sha2(F.concat_ws(" ", F.size(digests), F.array_join(F.transform(sketch, lambda c: F.concat_ws(":", c["c"], c["k"], c["h"])), ",")), 256)
+    return F.sha2(F.concat_ws(" ", F.size(digests), F.array_join(F.transform(sketch, F.hex), ",")), 256)
 
 
 def with_next(docs: DataFrame, scratch: Scratch, *, buckets: int | None = None) -> DataFrame:
@@ -186,17 +175,19 @@ def version_fingerprints(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     rows = with_next(docs, scratch).withColumn("n_chars", n.cast("long"))
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.substring("next_text", F.lit(1), F.floor(n / 3).cast("int"))))
-    width = lambda one, other=None: width_of(F.length(one) if other is None else F.greatest(F.length(one), F.length(other)))
+    # widths are columns of their own, so that each text is measured once
+    lengths = {f"n_{c}": F.length(c) for c in ("text", "edited", "next_text")}
+    rows = rows.withColumns(lengths)
+    rows = rows.withColumns({"w": width_of(F.col("n_text")), "w_edited": width_of(F.col("n_edited")), "w_e": width_of(F.greatest("n_text", "n_edited")), "w_n": width_of(F.greatest("n_text", "n_next_text"))})
     rows = rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        digests_of(F.col("text"), width("text")).alias("own"), digests_of(F.col("edited"), width("edited")).alias("changed"),
+        digests_of(F.col("text"), F.col("w")).alias("own"), digests_of(F.col("edited"), F.col("w_edited")).alias("changed"),
         # a pair is compared at the width of its longer side
-        F.when(width("text") != width("text", "edited"), digests_of(F.col("text"), width("text", "edited"))).alias("own_e"),
-        F.when(width("edited") != width("text", "edited"), digests_of(F.col("edited"), width("text", "edited"))).alias("changed_e"),
-        F.when(width("text") != width("text", "next_text"), digests_of(F.col("text"), width("text", "next_text"))).alias("own_n"),
-        digests_of(F.col("next_text"), width("text", "next_text")).alias("next_n"),
-    )
-    return rows.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.coalesce("own_e", "own"), F.coalesce("changed_e", "changed")).alias("near_edited"), likeness(F.coalesce("own_n", "own"), F.col("next_n")).alias("near_next"),
+        F.when(F.col("w") != F.col("w_e"), digests_of(F.col("text"), F.col("w_e"))).alias("own_e"),
+        F.when(F.col("w_edited") != F.col("w_e"), digests_of(F.col("edited"), F.col("w_e"))).alias("changed_e"),
+        F.when(F.col("w") != F.col("w_n"), digests_of(F.col("text"), F.col("w_n"))).alias("own_n"),
+        digests_of(F.col("next_text"), F.col("w_n")).alias("next_n"),
     )
+    rows = with_likeness(rows, "near_edited", F.coalesce("own_e", "own"), F.coalesce("changed_e", "changed"))
+    rows = with_likeness(rows, "near_next", F.coalesce("own_n", "own"), F.col("next_n"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"), "near_edited", "near_next")
