@@ -287,9 +287,12 @@ def layout(rng: np.random.Generator, words: list[str]) -> str:
     wrapped = [part(*pick(("article", ""), ("article", ""), ("main", ""), ("div", "content"), ("div", "post"), ("div", "story"), ("section", "")), "".join(inner))]
     if rng.random() < 0.25:
         wrapped = [part("main", "", wrapped[0])]
+    elif rng.random() < 0.15:  # paragraphs that nothing encloses
+        wrapped = inner
     before = [x for x, p in ((part("header", "", f"{pick('h1', 'div', 'p') and ''}<p>{say(1, 6)}</p>"), 0.4), (part("nav", "", links(rng.integers(2, 8))), 0.7), (part("div", pick("menu", "navbar", "breadcrumbs", "header"), links(3)), 0.25), (note(), 0.3), (ad(), 0.5), (part("form", "", f"<label>{say(1, 3)}</label><input><p>{say(1, 6)}</p>"), 0.2)) if rng.random() < p]
     after = [x for x, p in ((part("aside", pick("", "sidebar"), f"<h3>{say(1, 4)}</h3>" + pick(links(4), f"<p>{say(4, 30)}</p>")), 0.4), (part("div", pick("sidebar", "related", "widget", "share", "social"), links(3) + f"<p>{say(2, 15)}</p>"), 0.35), (comments(), 0.35), (ad(), 0.3), (note(), 0.2), (part("form", "", f"<p>{say(1, 9)}</p>"), 0.15), (part("footer", "", pick(say(3, 20), f"<p>{say(3, 20)}</p>", links(3))), 0.8)) if rng.random() < p]
-    return "<body>" + "".join([*before, *wrapped, *after]) + "</body>"
+    parts = [*before, *wrapped, *after] if rng.random() < 0.93 else inner
+    return "".join(parts) if rng.random() < 0.2 else "<body>" + "".join(parts) + "</body>"
 
 
 def fit_labeller(pages: list[str], *, layouts: int = FIT_LAYOUTS, seed: int = 10) -> dict[str, np.ndarray]:
