@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 FIT_ROWS = 600
 SWITCH = 14.0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: A language holds a script if so large a share of its training letters is written in it.
 SCRIPT_SHARE = 0.01
 #: Script by first code point, up to the next entry.
