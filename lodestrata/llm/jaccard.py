@@ -15,8 +15,10 @@ are verified on their whole sets.
 2. Prefixes: a second pass writes each document's set size, set hash and prefix.
    Equal sets become one representative there, so copies form no pairs.
 3. Candidates: prefixes join on shingle, with bounds on size, position and
-   count. Long lists first link to the least representative of their list;
-   pairs are then formed only between different components.
+   count. Lists of more than ``long_list`` sets are taken first, in pairs of
+   blocks of ``list_block`` sets; a pair belongs to the list of its first shared
+   shingle, and only a spanning forest of its links leaves a block. Pairs from
+   the short lists are then formed between different components.
 4. Verification: sets of candidates only are computed again from their texts.
    Each document's likeliest pair is verified first, then the pairs that are
    still in different components, so no component's pairs are all compared.
@@ -37,14 +39,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.graph import components
+from lodestrata.llm.neighbours import forest
 from lodestrata.llm.scratch import Scratch
 from lodestrata.llm.shingles import U, mixed, shingle_sets
 
 BITS = 22
 PIECE = 1 << 16
-MOST_MATCHES = 4
+MOST_MATCHES = 12
 VERIFY_COST = 16.0
-LONG_LIST = 48
+LONG_LIST = 12
+LIST_BLOCK = 512
 
 
 def _count(words: int, bits: int):
@@ -98,7 +102,7 @@ def chosen_matches(costs: np.ndarray, base: int, most: int) -> int:
     return int(np.argmin(looked_up * (1 + VERIFY_COST / ways))) + 1
 
 
-def _prefixes(sent, words: int, percent: int, bits: int):
+def _prefixes(sent, words: int, percent: int, bits: int, long_list: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = np.frombuffer(sent.value, np.uint16)
         usual = float(frequency.mean())
@@ -117,7 +121,7 @@ def _prefixes(sent, words: int, percent: int, bits: int):
                 costs = np.maximum(ranks - 1.5 * usual - 2, 0)
                 ell = chosen_matches(costs, base, max(1, min(MOST_MATCHES, need)))
                 sums = (int(mixed(one).sum(dtype=U)), int(np.bitwise_xor.reduce(mixed(one * U(0xD6E8FEB86659FD93)))))
-                out.append((n, *(s - (1 << 64) if s >> 63 else s for s in sums), ell, int(np.searchsorted(ranks[: base + ell - 1], LONG_LIST, "right")), one[order[: base + ell - 1]].view(np.int64)))
+                out.append((n, *(s - (1 << 64) if s >> 63 else s for s in sums), ell, int(np.searchsorted(ranks[: base + ell - 1], long_list, "right")), one[order[: base + ell - 1]].view(np.int64)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
             columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n", "s1", "s2", "ell", "common_from", "prefix"])
@@ -149,21 +153,93 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where((100 + percent) * F.col("shared") >= percent * (F.size("a") + F.size("b"))).select("x", "y")
 
 
+def overlaps(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every row set with every column set."""
+    r, c = (np.repeat(np.arange(len(x)), [len(v) for v in x]) for x in (rows, cols))
+    left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, cols))
+    known = np.intersect1d(left, right)
+    out = np.zeros((len(rows), len(cols)), np.float32)
+    at_l, at_r = np.searchsorted(known, left), np.searchsorted(known, right)
+    if not len(known):
+        return out
+    in_l, in_r = known[np.minimum(at_l, len(known) - 1)] == left, known[np.minimum(at_r, len(known) - 1)] == right
+    for first in range(0, len(known), 4096):
+        parts = []
+        for row, at, inside, size in ((r, at_l, in_l, len(rows)), (c, at_r, in_r, len(cols))):
+            take = inside & (at >= first) & (at < first + 4096)
+            m = np.zeros((size, min(4096, len(known) - first)), np.float32)
+            m[row[take], at[take] - first] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _long_list_links(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Links among the sets of one block of a long list, or between two
+        blocks: pairs whose first shared prefix shingle is the list's, that
+        share enough prefix shingles, and whose whole sets link."""
+        ids, n, ell, pos, side = (table[c].to_numpy() for c in ("rep", "n", "ell", "pos", "side"))
+        prefix = [x.values.to_numpy() for x in table["prefix"]]
+        whole = [x.values.to_numpy() for x in table["shingles"]]
+        one_block = table["i"][0].as_py() == table["j"][0].as_py()
+        rows = np.arange(len(ids)) if one_block else np.flatnonzero(side == 0)
+        cols = rows if one_block else np.flatnonzero(side == 1)
+        base = n - -(-percent * n // 100) + 1
+        cut = lambda which, ends: [prefix[k][: ends[k]] for k in which]
+        ok = overlaps(cut(rows, pos), cut(cols, pos)) == 0
+        ok &= (percent * np.maximum(n[rows][:, None], n[cols][None, :])) <= 100 * np.minimum(n[rows][:, None], n[cols][None, :])
+        if one_block:
+            ok &= np.arange(len(rows))[:, None] < np.arange(len(cols))[None, :]
+        least = np.minimum(ell[rows][:, None], ell[cols][None, :])
+        for k in np.unique(least[ok]):
+            ends = base + k - 1
+            ok &= (least != k) | (overlaps(cut(rows, ends), cut(cols, ends)) >= k)
+        a, b = np.nonzero(ok)
+        if len(a) < 2000:
+            shared = np.array([len(np.intersect1d(whole[rows[x]], whole[cols[y]], assume_unique=True)) for x, y in zip(a, b, strict=True)], np.int64)
+        else:
+            some_a, at_a = np.unique(a, return_inverse=True)
+            some_b, at_b = np.unique(b, return_inverse=True)
+            shared = overlaps([whole[k] for k in rows[some_a]], [whole[k] for k in cols[some_b]])[at_a, at_b].astype(np.int64)
+        a, b = rows[a], cols[b]
+        link = (100 + percent) * shared >= percent * (n[a] + n[b])
+        a, b = a[link], b[link]
+        low = forest(a, b, ids)
+        hit = np.unique(np.concatenate([a, b]))
+        return pa.table({"y": ids[hit], "x": low[hit]})
+
+    return run
+
+
+def long_list_links(lists: DataFrame, whole: DataFrame, sets: DataFrame, percent: int, list_block: int) -> DataFrame:
+    """(y, x): a spanning forest of the links that long lists hold. ``lists``
+    has (token, size, rep, pos). Lists are dealt out by pairs of blocks."""
+    blocks = F.ceil(F.col("size") / F.lit(list_block)).cast("int")
+    dealt = lists.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("token", "rep", "pos", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    filled = dealt.join(whole.select("rep", "n", "ell", "prefix").hint("merge"), "rep").join(sets.hint("merge"), "rep")
+    return filled.groupBy("token", "i", "j").applyInArrow(_long_list_links(percent), "y long, x long")
+
+
 def _candidates(postings: DataFrame, percent: int) -> DataFrame:
     """(x, y, found) that share enough prefix shingles, x the smaller set, from
-    (token, rep, n, at, component), ``at`` holding position and matches."""
+    (token, rep, n, at, component); ``at`` holds position, whether long lists
+    were left out of the prefix, and matches."""
     a, b = postings.alias("a"), postings.alias("b")
     c = F.col
-    pos = lambda side: F.shiftright(f"{side}.at", 3)
+    pos = lambda side: F.shiftright(f"{side}.at", 6)
     base = lambda side: c(f"{side}.n") - F.ceil(percent * c(f"{side}.n") / 100).cast("int") + 1
-    ell = F.least(c("a.at").bitwiseAND(7), c("b.at").bitwiseAND(7))
+    ell = F.least(c("a.at").bitwiseAND(31), c("b.at").bitwiseAND(31))
+    partly = (c("a.at").bitwiseOR(c("b.at"))).bitwiseAND(32) > 0
     smaller = (c("a.n") < c("b.n")) | ((c("a.n") == c("b.n")) & (c("a.rep") < c("b.rep")))
     like = percent * c("b.n").cast("long") <= 100 * c("a.n").cast("long")
     near = (pos("a") < base("a") + ell - 1) & (pos("b") < base("b") + ell - 1)
     reach = F.least(pos("a"), pos("b")) + F.least(c("a.n") - pos("a"), c("b.n") - pos("b"))
     enough = (100 + percent) * reach.cast("long") >= percent * (c("a.n") + c("b.n")).cast("long")
     joined = a.join(b.hint("merge"), (c("a.token") == c("b.token")) & (c("a.component") != c("b.component")) & smaller & like & near & enough)
-    return joined.groupBy(c("a.rep").alias("x"), c("b.rep").alias("y")).agg(F.count(F.lit(1)).alias("found"), F.min(ell).alias("ell")).where("found >= ell").select("x", "y", "found")
+    need = F.min(F.when(partly, 1).otherwise(ell))
+    return joined.groupBy(c("a.rep").alias("x"), c("b.rep").alias("y")).agg(F.count(F.lit(1)).alias("found"), need.alias("need")).where("found >= need").select("x", "y", "found")
 
 
 def _apart(pairs: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -174,13 +250,13 @@ def _apart(pairs: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     return pairs.where(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("x", "y")
 
 
-def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bits: int = BITS) -> DataFrame:
+def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bits: int = BITS, long_list: int = LONG_LIST, list_block: int = LIST_BLOCK) -> DataFrame:
     """Per document: (doc_id, n_shingles, component_id)."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sent = spark.sparkContext.broadcast(shingle_frequencies(rows.select("text"), words, bits).tobytes())
-    made = scratch.keep(rows.mapInArrow(_prefixes(sent, words, percent, bits), "doc_id long, n long, s1 long, s2 long, ell int, common_from int, prefix array<long>"))
+    made = scratch.keep(rows.mapInArrow(_prefixes(sent, words, percent, bits, long_list), "doc_id long, n long, s1 long, s2 long, ell int, common_from int, prefix array<long>"))
 
     reps = made.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     reps = scratch.keep(reps)
@@ -188,23 +264,27 @@ def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     by_rep = reps.select(F.col("rep").alias("doc_id"), "s1", "s2")
     whole = scratch.keep(made.join(by_rep, ["doc_id", "s1", "s2"]).dropDuplicates(["doc_id", "s1", "s2"]).select(F.col("doc_id").alias("rep"), F.col("n").cast("int").alias("n"), "ell", "common_from", "prefix"))
 
-    # 1: every member of a long list against the list's least representative;
-    # shingles that are counted LONG_LIST times at most have no long list
-    common = whole.select("rep", F.explode(F.expr("slice(prefix, common_from + 1, size(prefix))")).alias("token"))
-    long_lists = scratch.keep(common.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("pivot")).where(F.col("size") > LONG_LIST).select("token", "pivot"))
-    stars = scratch.keep(common.join(long_lists, "token").where("rep != pivot").select(F.col("pivot").alias("x"), F.col("rep").alias("y")).distinct())
-    first = scratch.keep(verified(stars, scratch.keep(set_table(stars, rows, words)), percent))
+    # 1: links of long lists; shingles that are counted long_list times at most have none
+    base = F.col("n") - F.ceil(percent * F.col("n") / 100).cast("int") + 1
+    common = whole.select("rep", F.expr("common_from").alias("from"), base.alias("base"), F.posexplode(F.expr("slice(prefix, common_from + 1, size(prefix))")).alias("k", "token"))
+    common = common.where("from + k < base").select("rep", "token", (F.col("from") + F.col("k")).alias("pos"))
+    long_lists = scratch.keep(common.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > long_list))
+    lists = scratch.keep(common.join(long_lists, "token"))
+    listed = lists.select(F.col("rep").alias("x"), F.col("rep").alias("y"))
+    first = scratch.keep(long_list_links(lists, whole, scratch.keep(set_table(listed, rows, words)), percent, list_block))
     # 2: pairs of what is not connected yet, each document's likeliest partner first
     early = components(first.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch).select(F.col("node").alias("rep"), "component")
-    tagged = whole.join(early, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    postings = tagged.select("rep", "n", "component", "ell", F.posexplode("prefix").alias("pos", "token"))
-    pairs = scratch.keep(_candidates(postings.select("token", "rep", "n", "component", (F.col("pos") * 8 + F.col("ell")).alias("at")), percent))
+    partly = lists.select("rep", F.lit(32).alias("partly")).distinct()
+    tagged = whole.join(early, "rep", "left").join(partly, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    postings = tagged.select("rep", "n", "component", (F.col("ell") + F.coalesce("partly", F.lit(0))).alias("how"), F.posexplode("prefix").alias("pos", "token"))
+    postings = postings.join(long_lists.select("token"), "token", "left_anti")
+    pairs = scratch.keep(_candidates(postings.select("token", "rep", "n", "component", (F.col("pos") * 64 + F.col("how")).alias("at")), percent))
     sets = scratch.keep(set_table(pairs, rows, words))
     both_ways = pairs.select("x", "y", "found", F.col("x").alias("one")).union(pairs.select("x", "y", "found", F.col("y")))
     likeliest = both_ways.groupBy("one").agg(F.max_by(F.struct("x", "y"), "found").alias("p")).select("p.x", "p.y").distinct()
     second = scratch.keep(verified(likeliest, sets, percent))
-    third = verified(scratch.keep(_apart(pairs, first.union(second), scratch)), sets, percent)
-    found = components(first.union(second).union(third).select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
+    third = verified(scratch.keep(_apart(pairs, first.select("x", "y").union(second), scratch)), sets, percent)
+    found = components(first.select("x", "y").union(second).union(third).select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
 
     named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = made.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
