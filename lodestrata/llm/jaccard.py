@@ -19,7 +19,8 @@ are verified on their whole sets.
    blocks of ``list_block`` sets; a pair belongs to the list of its first shared
    shingle, and only a spanning forest of its links leaves a block. Pairs from
    the short lists are then formed between different components.
-4. Verification: sets of candidates only are computed again from their texts.
+4. Verification: bit signatures rule pairs out that cannot link; then the sets
+   of the others are computed again from their texts.
    Each document's likeliest pair is verified first, then the pairs that are
    still in different components, so no component's pairs are all compared.
 
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.graph import components
@@ -49,6 +50,7 @@ MOST_MATCHES = 12
 VERIFY_COST = 16.0
 LONG_LIST = 12
 LIST_BLOCK = 512
+SIGNATURE_BITS = 2048
 
 
 def _count(words: int, bits: int):
@@ -102,7 +104,7 @@ def chosen_matches(costs: np.ndarray, base: int, most: int) -> int:
     return int(np.argmin(looked_up * (1 + VERIFY_COST / ways))) + 1
 
 
-def _prefixes(sent, words: int, percent: int, bits: int, long_list: int):
+def _prefixes(sent, words: int, percent: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = np.frombuffer(sent.value, np.uint16)
         usual = float(frequency.mean())
@@ -111,20 +113,19 @@ def _prefixes(sent, words: int, percent: int, bits: int, long_list: int):
             for one in shingle_sets(batch.column(1), words):
                 n = len(one)
                 if not n:
-                    out.append((0, 0, 0, 0, 0, []))
+                    out.append((0, 0, 0, 0, []))
                     continue
                 rank = frequency[one >> U(64 - bits)]
                 need = -(-percent * n // 100)
                 base = n - need + 1
                 order = np.argsort((rank.astype(U) << U(48)) | (one >> U(16)), kind="stable")[: base + MOST_MATCHES - 1]
-                ranks = rank[order]
-                costs = np.maximum(ranks - 1.5 * usual - 2, 0)
+                costs = np.maximum(rank[order] - 1.5 * usual - 2, 0)
                 ell = chosen_matches(costs, base, max(1, min(MOST_MATCHES, need)))
                 sums = (int(mixed(one).sum(dtype=U)), int(np.bitwise_xor.reduce(mixed(one * U(0xD6E8FEB86659FD93)))))
-                out.append((n, *(s - (1 << 64) if s >> 63 else s for s in sums), ell, int(np.searchsorted(ranks[: base + ell - 1], long_list, "right")), one[order[: base + ell - 1]].view(np.int64)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+                out.append((n, *(s - (1 << 64) if s >> 63 else s for s in sums), ell, one[order[: base + ell - 1]].view(np.int64)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
             columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n", "s1", "s2", "ell", "common_from", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n", "s1", "s2", "ell", "prefix"])
 
     return run
 
@@ -138,10 +139,40 @@ def _sets(words: int):
     return run
 
 
+def _signatures(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, marks = [], []
+            for one in shingle_sets(batch.column(1), words):
+                bits = np.zeros(SIGNATURE_BITS, np.uint8)
+                bits[(one % U(SIGNATURE_BITS)).astype(np.int64)] = 1
+                sizes.append(len(one))
+                marks.append(np.packbits(bits).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], ["rep", "n", "bits"])
+
+    return run
+
+
+def possible(pairs: DataFrame, texts: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs that bit signatures do not rule out: a bit that only one side
+    has is a shingle that only this side has, so no linking pair is lost."""
+    marked = scratch.keep(_needed(pairs, texts).mapInArrow(_signatures(words), "rep long, n long, bits array<long>"))
+    left = marked.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("a"))
+    right = marked.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("b"))
+    alone = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, k: s + k)
+    both = pairs.join(left.hint("merge"), "x").join(right.hint("merge"), "y")
+    most = F.least(F.col("nx") - alone("a", "b"), F.col("ny") - alone("b", "a"))
+    return both.where((100 + percent) * most >= percent * (F.col("nx") + F.col("ny"))).select(*pairs.columns)
+
+
+def _needed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    ids = pairs.select(F.col("x").alias("id_")).union(pairs.select("y")).distinct()
+    return texts.join(ids, F.col("doc_id") == F.col("id_"), "left_semi")
+
+
 def set_table(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """(rep, shingles): the sets of all documents of ``pairs``, from their texts."""
-    needed = pairs.select(F.col("x").alias("id_")).union(pairs.select("y")).distinct()
-    return texts.join(needed, F.col("doc_id") == F.col("id_"), "left_semi").mapInArrow(_sets(words), "rep long, shingles array<long>")
+    return _needed(pairs, texts).mapInArrow(_sets(words), "rep long, shingles array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -222,23 +253,38 @@ def long_list_links(lists: DataFrame, whole: DataFrame, sets: DataFrame, percent
     return filled.groupBy("token", "i", "j").applyInArrow(_long_list_links(percent), "y long, x long")
 
 
+def packed(n: Column, pos: Column, ell: Column) -> Column:
+    """Set size, position and matches in one number."""
+    return F.shiftleft(n.cast("long"), 32).bitwiseOR(F.shiftleft(pos.cast("long"), 5)).bitwiseOR(ell.cast("long"))
+
+
+def _size(pack: Column) -> Column:
+    return F.shiftright(pack, 32)
+
+
+def _place(pack: Column) -> Column:
+    return F.shiftright(pack, 5).bitwiseAND(F.lit((1 << 27) - 1))
+
+
+def _base(pack: Column, percent: int) -> Column:
+    n = _size(pack)
+    return n - F.floor((percent * n + 99) / 100).cast("long") + 1
+
+
 def _candidates(postings: DataFrame, percent: int) -> DataFrame:
     """(x, y, found) that share enough prefix shingles, x the smaller set, from
-    (token, rep, n, at, component); ``at`` holds position, whether long lists
-    were left out of the prefix, and matches."""
+    (token, rep, pack, partly, component). ``partly`` marks sets whose prefix
+    long lists were left out of; component is null where it is the set itself."""
     a, b = postings.alias("a"), postings.alias("b")
     c = F.col
-    pos = lambda side: F.shiftright(f"{side}.at", 6)
-    base = lambda side: c(f"{side}.n") - F.ceil(percent * c(f"{side}.n") / 100).cast("int") + 1
-    ell = F.least(c("a.at").bitwiseAND(31), c("b.at").bitwiseAND(31))
-    partly = (c("a.at").bitwiseOR(c("b.at"))).bitwiseAND(32) > 0
-    smaller = (c("a.n") < c("b.n")) | ((c("a.n") == c("b.n")) & (c("a.rep") < c("b.rep")))
-    like = percent * c("b.n").cast("long") <= 100 * c("a.n").cast("long")
-    near = (pos("a") < base("a") + ell - 1) & (pos("b") < base("b") + ell - 1)
-    reach = F.least(pos("a"), pos("b")) + F.least(c("a.n") - pos("a"), c("b.n") - pos("b"))
-    enough = (100 + percent) * reach.cast("long") >= percent * (c("a.n") + c("b.n")).cast("long")
-    joined = a.join(b.hint("merge"), (c("a.token") == c("b.token")) & (c("a.component") != c("b.component")) & smaller & like & near & enough)
-    need = F.min(F.when(partly, 1).otherwise(ell))
+    na, nb, ia, ib = _size(c("a.pack")), _size(c("b.pack")), _place(c("a.pack")), _place(c("b.pack"))
+    ell = F.least(c("a.pack").bitwiseAND(31), c("b.pack").bitwiseAND(31))
+    apart = F.coalesce(c("a.component"), c("a.rep")) != F.coalesce(c("b.component"), c("b.rep"))
+    smaller = (na < nb) | ((na == nb) & (c("a.rep") < c("b.rep")))
+    near = (ia < _base(c("a.pack"), percent) + ell - 1) & (ib < _base(c("b.pack"), percent) + ell - 1)
+    enough = (100 + percent) * (F.least(ia, ib) + F.least(na - ia, nb - ib)) >= percent * (na + nb)
+    joined = a.join(b.hint("merge"), (c("a.token") == c("b.token")) & apart & smaller & (percent * nb <= 100 * na) & near & enough)
+    need = F.min(F.when(c("a.partly") | c("b.partly"), 1).otherwise(ell))
     return joined.groupBy(c("a.rep").alias("x"), c("b.rep").alias("y")).agg(F.count(F.lit(1)).alias("found"), need.alias("need")).where("found >= need").select("x", "y", "found")
 
 
@@ -256,29 +302,30 @@ def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     scratch = Scratch(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sent = spark.sparkContext.broadcast(shingle_frequencies(rows.select("text"), words, bits).tobytes())
-    made = scratch.keep(rows.mapInArrow(_prefixes(sent, words, percent, bits, long_list), "doc_id long, n long, s1 long, s2 long, ell int, common_from int, prefix array<long>"))
+    made = scratch.keep(rows.mapInArrow(_prefixes(sent, words, percent, bits), "doc_id long, n long, s1 long, s2 long, ell int, prefix array<long>"))
 
     reps = made.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     reps = scratch.keep(reps)
     # the representative's row carries the prefix of its set
     by_rep = reps.select(F.col("rep").alias("doc_id"), "s1", "s2")
-    whole = scratch.keep(made.join(by_rep, ["doc_id", "s1", "s2"]).dropDuplicates(["doc_id", "s1", "s2"]).select(F.col("doc_id").alias("rep"), F.col("n").cast("int").alias("n"), "ell", "common_from", "prefix"))
-
-    # 1: links of long lists; shingles that are counted long_list times at most have none
-    base = F.col("n") - F.ceil(percent * F.col("n") / 100).cast("int") + 1
-    common = whole.select("rep", F.expr("common_from").alias("from"), base.alias("base"), F.posexplode(F.expr("slice(prefix, common_from + 1, size(prefix))")).alias("k", "token"))
-    common = common.where("from + k < base").select("rep", "token", (F.col("from") + F.col("k")).alias("pos"))
-    long_lists = scratch.keep(common.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > long_list))
-    lists = scratch.keep(common.join(long_lists, "token"))
-    listed = lists.select(F.col("rep").alias("x"), F.col("rep").alias("y"))
-    first = scratch.keep(long_list_links(lists, whole, scratch.keep(set_table(listed, rows, words)), percent, list_block))
+    whole = scratch.keep(made.join(by_rep, ["doc_id", "s1", "s2"]).dropDuplicates(["doc_id", "s1", "s2"]).select(F.col("doc_id").alias("rep"), F.col("n").cast("int").alias("n"), "ell", "prefix"))
+    keys = scratch.keep(made.select("doc_id", "n", "s1", "s2"))
+    scratch.drop(made)
+    # shingles of one prefix only make no pairs
+    postings = whole.select("rep", "n", "ell", F.posexplode("prefix").alias("pos", "token")).select("token", "rep", packed(F.col("n"), F.col("pos"), F.col("ell")).alias("pack"))
+    shared = scratch.keep(postings.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("size > 1"))
+
+    # 1: links of long lists
+    lists = shared.where((F.col("size") > long_list) & (_place(F.col("pack")) < _base(F.col("pack"), percent))).select("token", "size", "rep", _place(F.col("pack")).cast("int").alias("pos"))
+    listed = scratch.keep(lists.select(F.col("rep").alias("x"), F.col("rep").alias("y")).distinct())
+    hot = scratch.keep(whole.join(listed.select(F.col("x").alias("rep")), "rep", "left_semi"))
+    first = scratch.keep(long_list_links(lists, hot, scratch.keep(set_table(listed, rows, words)), percent, list_block))
     # 2: pairs of what is not connected yet, each document's likeliest partner first
     early = components(first.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch).select(F.col("node").alias("rep"), "component")
-    partly = lists.select("rep", F.lit(32).alias("partly")).distinct()
-    tagged = whole.join(early, "rep", "left").join(partly, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    postings = tagged.select("rep", "n", "component", (F.col("ell") + F.coalesce("partly", F.lit(0))).alias("how"), F.posexplode("prefix").alias("pos", "token"))
-    postings = postings.join(long_lists.select("token"), "token", "left_anti")
-    pairs = scratch.keep(_candidates(postings.select("token", "rep", "n", "component", (F.col("pos") * 64 + F.col("how")).alias("at")), percent))
+    partly = listed.select(F.col("x").alias("rep"), F.lit(True).alias("partly"))
+    short = shared.where(F.col("size") <= long_list).join(early, "rep", "left").join(partly, "rep", "left")
+    pairs = scratch.keep(_candidates(short.select("token", "rep", "pack", F.coalesce("partly", F.lit(False)).alias("partly"), F.nullif("component", "rep").alias("component")), percent))
+    pairs = scratch.keep(possible(pairs, rows, words, percent, scratch))
     sets = scratch.keep(set_table(pairs, rows, words))
     both_ways = pairs.select("x", "y", "found", F.col("x").alias("one")).union(pairs.select("x", "y", "found", F.col("y")))
     likeliest = both_ways.groupBy("one").agg(F.max_by(F.struct("x", "y"), "found").alias("p")).select("p.x", "p.y").distinct()
@@ -287,7 +334,7 @@ def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     found = components(first.select("x", "y").union(second).union(third).select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
 
     named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = made.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
+    out = keys.join(named, ["n", "s1", "s2"], "left")
     known = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), known.alias("component_id"))
 
