@@ -75,8 +75,8 @@ def extract(text: str | None) -> list[dict]:
                 low, high = numeral(pair[4] + pair[5]), numeral(pair[4] + pair[6])
         else:
             low, high = numeral(a), numeral(b) if b else None
-        if low is None:
-            continue
+        if low is None or plain[m.end("a") : m.end("a") + 1] in ("来", "几"):
+            continue  # no numeral, or an oral guess
         if not unit and not m["percent"] and a[0] not in "0123456789" and low < 10 and not b and scale == 1:
             continue  # a bare small numeral is a word
         high = low if high is None else high
