@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions import text as T
-from lodestrata.operators import atoms, audit, entities, glossary, scoring, turns
+from lodestrata.operators import anchors, atoms, audit, entities, glossary, report, scoring, turns
 from lodestrata.sources import files
 from lodestrata.streaming import runlog
 
@@ -586,3 +586,143 @@ def number_drift(spark, d):
 def glossary_lint(spark, d):
     rows = [("a", "h", ["v"])] * 2 + [("b", "", ["v"])] * 2 + [("b", "h", ["v"])] + [("c", "h", [])] * 3 + [("c", "h", ["v"])] + [("d", "h", ["v"])] * 3
     return audit.glossary_lint(spark.createDataFrame(rows, "topic string, hint string, variants array<string>"), "topic")
+
+
+# ---- anchors ---------------------------------------------------------------
+TALK = "记者 00:01\n请您先介绍一下公司的业务情况和发展历程\n\n王总 00:05\n我们做传感器标定业务已经有十几年时间了，客户遍布华南地区\n\n记者 00:30\n那么去年的毛利率有没有比较明显的改善呢\n\n王总 00:40\n毛利率改善了不少，主要是规模效应摊薄了采购成本\n\n记者 01:00\n接下来海外市场有什么样的具体打算\n\n王总 01:10\n东南亚会先设立本地化的运营团队再考虑欧洲市场"
+DONE = "# 实录\n\n## 业务\n\n记者：请您先介绍一下公司的业务情况和发展历程\n\n王明：我们做传感器标定业务已经有十几年时间了，客户遍布华南地区\n\n## 财务\n\n记者：去年的毛利率有没有比较明显的改善呢\n\n王明：毛利率改善了不少，主要是规模效应摊薄了采购成本\n\n## 海外\n\n记者：接下来海外市场有什么样的具体打算\n\n记者：东南亚会先设立本地化的运营团队再考虑欧洲市场"
+
+
+def _talk(spark, text):
+    return spark.createDataFrame([(1, text)], "id long, text string")
+
+
+@query(expected("id, turn_no, speaker, ts, start_line, end_line", *[(1, i + 1, "记者" if i % 2 == 0 else "王总", t, 3 * i + 1, 3 * i + 2) for i, t in enumerate(("00:01", "00:05", "00:30", "00:40", "01:00", "01:10"))]))
+def speaker_turns(spark, d):
+    return anchors.speaker_turns(_talk(spark, TALK), "id", "text").drop("text")
+
+
+@query(expected("id, turn_no, source_no", *[(1, i, i) for i in range(1, 7)]))
+def anchored_turns(spark, d):
+    return anchors.anchored(anchors.speaker_turns(_talk(spark, TALK), "id", "text"), anchors.speaker_turns(_talk(spark, DONE), "id", "text"), "id").select("id", "turn_no", "source_no")
+
+
+@query(expected("id, turn_no, speaker, expected, label, tier", (1, 6, "王总", "王明", "记者", "mismatch")))
+def attribution(spark, d):
+    return anchors.attribution(anchors.speaker_turns(_talk(spark, TALK), "id", "text"), anchors.speaker_turns(_talk(spark, DONE), "id", "text"), "id")
+
+
+@query(expected("id, title, first_line, last_line, ts", (1, "业务", 1, 5, "00:01"), (1, "财务", 7, 11, "00:30"), (1, "海外", 13, 17, "01:00")))
+def section_ranges(spark, d):
+    return anchors.section_ranges(anchors.speaker_turns(_talk(spark, TALK), "id", "text"), _talk(spark, DONE), "id", "text")
+
+
+@query(expected("id, text", (1, DONE.replace("## 业务", "## 业务\n<!-- source: L1-5 00:01 -->").replace("## 财务", "## 财务\n<!-- source: L7-11 00:30 -->").replace("## 海外", "## 海外\n<!-- source: L13-17 01:00 -->"))))
+def source_anchors(spark, d):
+    ranges = section_ranges(spark, d)
+    once = anchors.annotate_anchors(_talk(spark, DONE), ranges, "id", "text")
+    return anchors.annotate_anchors(once, ranges, "id", "text")
+
+
+@query(expected("id, text", (1, "a\n<!-- 此处可能缺失原文 L3-9 -->\nb")))
+def gap_marks(spark, d):
+    gaps = spark.createDataFrame([(1, 1, 3, 9, "hard"), (1, 2, 4, 5, "soft")], "id long, after_line long, first long, last long, severity string")
+    once = anchors.annotate_gaps(_talk(spark, "a\nb"), gaps, "id", "text")
+    return anchors.annotate_gaps(once, gaps, "id", "text")
+
+
+@query(expected("id, quote", (1, "唯有坚守长期主义方能穿越周期这是信念")))
+def fabricated_quotes(spark, d):
+    source = _talk(spark, "硬件创业最忌讳的就是贪大求全，一定要把商业闭环跑通")
+    refined = _talk(spark, "他说“硬件创业最忌讳的就是贪大求全”，又说“唯有坚守长期主义方能穿越周期这是信念”，以及“护城河”")
+    return anchors.fabricated_quotes(source, refined, "id").select("id", "quote")
+
+
+@query(expected("id, turn_no, canonical", (1, 1, "云洲仪器")))
+def substituted_entities(spark, d):
+    source = anchors.speaker_turns(_talk(spark, "甲：我们最近在跟磐石科技谈一个很大的合作项目\n甲：另外云舟仪器的老客户也在催我们赶紧发版"), "id", "text")
+    refined = anchors.speaker_turns(_talk(spark, "甲：我们最近在跟云洲仪器谈一个很大的合作项目\n甲：另外云洲仪器的老客户也在催我们赶紧发版"), "id", "text")
+    names = spark.createDataFrame([("云洲仪器", ["云舟仪器"]), ("磐石科技", ["盘石"])], "canonical string, variants array<string>")
+    return anchors.substituted_entities(source, refined, names, "id")
+
+
+@query(expected('id, "from", "to", source_from, source_to, refined_from, refined_to, independent', (1, "林传", "林川", 4, 3, 0, 7, True), (2, "云桥科技", "云桥引擎", 3, 0, 0, 3, False)))
+def entity_merge_review(spark, d):
+    a = "林传今天来，林传说清楚。林传补充，林传很明确。林川也在场，林川点头，林川补充"
+    b = "云桥科技这个组，云桥科技投入大，云桥科技改名"
+    c = "K-Frame 和 K-Frame"
+    pairs = spark.createDataFrame([(1, a, a.replace("林传", "林川")), (2, b, b.replace("云桥科技", "云桥引擎")), (3, c, c.replace("-", " "))], "id long, source string, refined string")
+    names = spark.createDataFrame([("林川", "林传"), ("云桥引擎", "云桥科技"), ("K Frame", "K-Frame")], "canonical string, variant string")
+    return anchors.merge_review(pairs, names, "id")
+
+
+@query(expected("id, name, line_no", (1, "王鸣", 2)))
+def missing_marks(spark, d):
+    return anchors.missing_marks(_talk(spark, "王鸣（音）来了\n王鸣又走了"), spark.createDataFrame([("王鸣",)], "name string"), "id", "text")
+
+
+@query(expected("id", (2,)))
+def ending_missing(spark, d):
+    s = spark.createDataFrame([(1, "甲：开头的话说了很多\n乙：最后我们还是要感谢所有的合作伙伴"), (2, "甲：开头的话说了很多\n乙：最后我们还是要感谢所有的合作伙伴")], "id long, text string")
+    r = spark.createDataFrame([(1, "开头的话说了很多，最后我们还是要感谢所有的合作伙伴"), (2, "开头的话说了很多")], "id long, text string")
+    return anchors.ending_missing(anchors.speaker_turns(s, "id", "text"), r, "id")
+
+
+# ---- reports ----------------------------------------------------------------
+@query(expected("key, labels, notes, headings, ending", ("f", ["甲", "乙"], ["n1", "n2"], True, "完"), ("g", ["甲"], [], False, None)))
+def merged_parts(spark, d):
+    rows = [("f", 0, [("甲", "r"), ("甲", "x")], [" n1"], False, 40, "半", 100), ("f", 1, [("乙", "r")], ["n1", "n2", ""], True, 95, "完", 100), ("g", 0, [("甲", "r")], [], False, 10, "早", 100)]
+    df = spark.createDataFrame(rows, "key string, ord long, speakers array<struct<label:string,role:string>>, notes array<string>, headings boolean, anchor_line long, anchor_text string, n_lines long")
+    return report.merged_parts(df, "key").select("key", F.col("speakers.label").alias("labels"), "notes", "headings", "ending")
+
+
+@query(expected("run, text", (1, "## audit\n- a\n- b\n\n## lint\n- c"), (2, "## numbers\n- d")))
+def review_queue(spark, d):
+    rows = [(1, "lint", 0, "c"), (1, "audit", 1, "b"), (1, "audit", 0, "a"), (2, "numbers", 0, "d")]
+    return report.review_queue(spark.createDataFrame(rows, "run long, section string, priority long, text string"), "run")
+
+
+@query(expected("run, json", (1, '{"schemaVersion":1,"run":1,"topic":null,"provider":{"name":"x"}}')))
+def run_manifest(spark, d):
+    df = spark.createDataFrame([(1, None, {"name": "x", "apiKey": "k", "TOKEN": "t"})], "run long, topic string, provider map<string,string>")
+    return report.manifest(df, "run", "provider")
+
+
+@query(expected("id, garbled, network, headings", (1, True, False, False), (2, False, True, True), (3, True, False, False)))
+def stage_checks(spark, d):
+    rows = [(1, ["甲"], [], "查无", "none", "正文"), (2, ["乙公司"], ["乙"], "request timed out", "none", "# 题"), (3, ["字" * 16], ["乙"], None, "keep", "# 题")]
+    df = spark.createDataFrame(rows, "id long, names array<string>, speakers array<string>, note string, policy string, text string")
+    return df.select("id", report.garbled(F.col("names"), F.col("speakers")).alias("garbled"), report.network_unverified(F.col("note")).alias("network"), report.heading_conflict(F.col("policy"), F.col("text")).alias("headings"))
+
+
+@query(expected("path, source, refined", ("/a/b.md", "s", "r")))
+def audit_pairing(spark, d):
+    a = spark.createDataFrame([("/a/./b.md", "s"), ("/a/c.md", "t")], "path string, source string")
+    return report.paired(a, spark.createDataFrame([("/a//b.md", "r")], "path string, refined string"))
+
+
+@query(expected("file, report", ("f", "r1"), ("g", "r3")))
+def report_lookup(spark, d):
+    files_ = spark.createDataFrame([("f", ["f", "/p"]), ("g", ["g"]), ("h", ["h"])], "file string, candidates array<string>")
+    reports = spark.createDataFrame([(2, "r2", "f", None, None, None), (1, "r1", "x", "/p", None, None), (3, "r3", None, None, None, "g")], "ord long, report string, label string, path string, original string, out string")
+    return report.report_for(files_, reports)
+
+
+@query("""SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' ELSE 'joined' END state FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def case_results(spark, d):
+    cases = read(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    joined, missing = report.case_results(cases, read(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality"))
+    return joined.select(F.col("id").alias("doc_id"), F.lit("joined").alias("state")).unionByName(missing.select(F.col("id").alias("doc_id"), F.lit("missing").alias("state")))
+
+
+@query("""SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) rn FROM customer) WHERE rn <= 40""")
+def top_known(spark, d):
+    e = read(spark, d, "customer").select("c_nationkey", F.col("c_custkey").alias("ord"), F.array("c_name", "c_mktsegment").alias("variants"))
+    return report.top_known(e, ["c_nationkey"]).select("c_nationkey", F.col("ord").alias("c_custkey"))
+
+
+@query("""SELECT 0::BIGINT source, o_orderkey ord, o_orderpriority question FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 1::BIGINT, c_custkey, c_name FROM customer WHERE c_acctbal < 0""")
+def open_questions(spark, d):
+    a = read(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("question"))
+    b = read(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("ord"), F.col("c_name").alias("question"))
+    return report.open_questions(a, b)
