@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions import text as T
-from lodestrata.operators import anchors, atoms, audit, entities, glossary, report, scoring, turns
+from lodestrata.operators import anchors, atoms, audit, entities, glossary, glue, report, scoring, turns
 from lodestrata.sources import files
 from lodestrata.streaming import runlog
 
@@ -726,3 +726,99 @@ def open_questions(spark, d):
     a = read(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("question"))
     b = read(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("ord"), F.col("c_name").alias("question"))
     return report.open_questions(a, b)
+
+
+# ---- glue ---------------------------------------------------------------------
+@query(expected("clause, literal, correction", ("⚠ 同指两解：字面「甲」（高）／改写「乙」（低）", "甲", "乙")))
+def contested_clauses(spark, d):
+    df = spark.createDataFrame([("甲", "高", "乙", "低")], "a string, b string, c string, e string").select(glue.contested_clause(*map(F.col, "abce")).alias("clause"))
+    back = glue.parse_contested(F.col("clause"))
+    return df.select("clause", back["literal"].alias("literal"), back["correction"].alias("correction"))
+
+
+@query(expected("line", ("- 甲 ← 乙 / 丙 ｜ 注 ｜ 公众人物",), ("- 丁 ← （无变体） ｜ ⚠ 疑误写",)))
+def list_lines(spark, d):
+    df = spark.createDataFrame([("甲", ["乙", "丙"], "注", True, False), ("丁", [], None, False, True)], "a string, b array<string>, c string, e boolean, f boolean")
+    return df.select(glue.list_line(*map(F.col, "abcef")).alias("line"))
+
+
+@query("""SELECT c_nationkey AS key, count(*) FILTER (s.s_name IS NULL) unknown, count(*) total, count(*) FILTER (s.s_name IS NULL) <= 0.10 * count(*) skip FROM customer c LEFT JOIN supplier s ON s.s_nationkey = c.c_nationkey AND replace(s.s_name, 'Supplier', 'Customer') = c.c_name GROUP BY 1""")
+def coverage_ratio(spark, d):
+    e = read(spark, d, "customer").select(F.col("c_nationkey").alias("key"), F.col("c_custkey").alias("ord"), F.col("c_name").alias("canonical"), F.array().cast("array<string>").alias("variants"))
+    p = read(spark, d, "supplier").select(F.col("s_nationkey").alias("key"), F.replace("s_name", F.lit("Supplier"), F.lit("Customer")).alias("name"))
+    return glue.coverage_ratio(e, p)
+
+
+@query(expected("key, title, lines", ("k", "t", ["b", "a"]), ("k", "u", ["a"])))
+def preserved_lines(spark, d):
+    return glue.preserved(spark.createDataFrame([("k", "t", 0, "b"), ("k", "t", 1, "a"), ("k", "t", 2, "b"), ("k", "u", 0, "a")], "key string, title string, ord long, line string"))
+
+
+@query("SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) issues FROM (SELECT user_id, event_type, count(*) n FROM events GROUP BY 1, 2) GROUP BY 1")
+def issue_counts(spark, d):
+    out = glue.issue_counts(read(spark, d, "events").select("user_id", F.col("event_type").alias("title")), "user_id")
+    return out.select("user_id", F.array_join(F.transform(F.map_entries("issues"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("issues"))
+
+
+@query(expected("ord, category, name, found", (1, "brand", "甲", "person")))
+def category_warnings(spark, d):
+    e = spark.createDataFrame([("person", "甲", ["乙"]), ("term", "甲", []), ("brand", "丙", [])], "kind string, canonical string, variants array<string>")
+    return glue.category_warnings(spark.createDataFrame([(0, "person", "乙"), (1, "brand", "甲"), (2, "term", "无")], "ord long, category string, name string"), e)
+
+
+@query(expected("ord, trusted", (0, True), (1, False)))
+def trusted_speakers(spark, d):
+    e = spark.createDataFrame([(0, "王明（嘉宾）", []), (1, "Bob", [])], "ord long, canonical string, variants array<string>")
+    return glue.trusted(e, spark.createDataFrame([("王明",), ("Bob",)], "label string")).select("ord", "trusted")
+
+
+@query(expected('id, title, "order"', (1, "甲", 7), (1, "乙", 2), (1, "丙", None)))
+def heading_orders(spark, d):
+    t = spark.createDataFrame([(1, "甲", 7), (1, "乙", None), (1, "丙", None)], "id long, title string, source_order long")
+    return glue.heading_orders(t, spark.createDataFrame([(1, "甲", 1), (1, "乙", 2)], "id long, title string, line_no long"), "id").select("id", "title", "order")
+
+
+@query(expected("old, text, error", ("a", "xbc", None), ("z", "abc", "missing"), ("", "abc", "empty"), ("b", "aBaB", None), ("q", "qq", "ambiguous")))
+def exact_edits(spark, d):
+    df = spark.createDataFrame([("abc", "a", "x", False), ("abc", "z", "x", False), ("abc", "", "x", False), ("abab", "b", "B", True), ("qq", "q", "x", False)], "t string, old string, new string, every boolean")
+    return df.select("old", glue.exact_edit(F.col("t"), F.col("old"), F.col("new"), F.col("every")).alias("r")).select("old", "r.*")
+
+
+@query(expected("path, ok", ("/a/b", True), ("/a", True), ("/ab", False), ("/a/../c", False), ("/x/y", True)))
+def access_paths(spark, d):
+    return spark.createDataFrame([("/a/b",), ("/a",), ("/ab",), ("/a/../c",), ("/x/y",)], "path string").select("path", glue.inside(F.col("path"), ["/a/", "/x"]).alias("ok"))
+
+
+@query(expected("name", ("甲",), ("乙",), ("丙",)))
+def settled_names(spark, d):
+    r = spark.createDataFrame([("甲（注）", "乙"), ("丁", "丁")], "query string, canonical string")
+    p = spark.createDataFrame([("丙", ["戊"], "verified"), ("丁", [], "recheck")], "canonical string, variants array<string>, confidence string")
+    return glue.settled(r, p, spark.createDataFrame([("戊",)], "name string"))
+
+
+@query("SELECT event_type, min(event_id) AS \"first\" FROM events GROUP BY 1")
+def first_seen(spark, d):
+    return glue.first_seen(read(spark, d, "events"), "event_type", "event_id")
+
+
+@query(expected("id, idx, line", (1, 2, "## 题")))
+def seams(spark, d):
+    return glue.seams(spark.createDataFrame([(1, 1, "文\n## 题\n"), (1, 2, "## 题\n文"), (1, 3, "别的")], "id long, idx long, text string"), "id")
+
+
+@query(expected("id, text, names", (1, "now", ["乙", "丙"]), (2, "old", ["乙"]), (3, None, [])))
+def state_and_unions(spark, d):
+    df = spark.createDataFrame([(1, "now", "old", False, ["甲", "乙"], ["丙", "乙"]), (2, "", "old", False, ["乙"], ["甲"]), (3, "now", "old", True, [], [])], "id long, inline string, stored string, fresh boolean, a array<string>, b array<string>")
+    return df.select("id", glue.prior_text(F.col("inline"), F.col("stored"), F.col("fresh")).alias("text"), glue.union_less(F.col("a"), F.col("b"), F.lit("甲")).alias("names"))
+
+
+@query(expected("id, holds, findings", (1, True, []), (2, False, ["longer", "same_order"]), (3, False, ["no_provenance"])))
+def plan_verdicts(spark, d):
+    df = spark.createDataFrame([(1, ["a", "b", "c"], 0, 0, 0.5, 9, 100.0, 105.0, 0.5, True), (2, ["a", "b", "c"], 0, 0, 0.9, 9, 100.0, 120.0, 0.9, True), (3, ["a"], 1, 0, 0.1, 3, 100.0, 90.0, 0.1, False)], "id long, threads array<string>, missing long, repeated long, ratio double, n long, refined double, logic double, same double, has boolean")
+    return df.select("id", glue.plan_verdict(*map(F.col, ("threads", "missing", "repeated", "ratio", "n"))).alias("holds"), glue.provenance(*map(F.col, ("refined", "logic", "same", "has"))).alias("findings"))
+
+
+@query(expected("query, canonical, locked", ("a", "b", False)))
+def row_guards(spark, d):
+    df = spark.createDataFrame([("a", "b", None, "x"), ("", "b", False, "x"), ("c", None, False, "x"), ("d", "e", True, "x")], "query string, canonical string, locked boolean, shell string")
+    return glue.safe_params(glue.unlocked(glue.complete_rows(df))).withColumn("locked", F.coalesce("locked", F.lit(False)))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
-from lodestrata.operators import atoms, entities, glossary, turns
+from lodestrata.operators import atoms, entities, glossary, glue, turns
 from lodestrata.plans.queries import ORACLE, QUERIES
 from lodestrata.streaming import runlog
 
@@ -93,3 +93,11 @@ def test_run_log_stream_equals_table(spark, tmp_path):
     stream = runlog.daily(runlog.stream(spark, str(tmp_path / "log"))).writeStream.format("memory").queryName("runs_by_day").outputMode("complete").trigger(availableNow=True).start()
     stream.awaitTermination(60)
     assert sorted(map(tuple, spark.table("runs_by_day").collect())) == sorted(map(tuple, runlog.daily(runs).collect()))
+
+
+def test_run_guards():
+    assert glue.scope_error(["scout", "refine", "logic"], 2) is None
+    assert glue.scope_error(["logic"], 1) == "needs refine: logic"
+    assert glue.scope_error(["scout"], 0) == "no files"
+    assert glue.scope_error(["x"], 1) == "unknown: x"
+    assert [glue.chunk_size(v) for v in ("2000", "1999", "-5", "a", "")] == [2000, None, None, None, None]
