@@ -20,9 +20,8 @@ are verified on their whole sets.
    shingle, and only a spanning forest of its links leaves a block. Pairs from
    the short lists are then formed between different components.
 4. Verification: bit signatures rule pairs out that cannot link; then the sets
-   of the others are computed again from their texts.
-   Each document's likeliest pair is verified first, then the pairs that are
-   still in different components, so no component's pairs are all compared.
+   of the others are computed again from their texts, and compared in blocks of
+   the components that the pairs make.
 
 Defined results: a null text, or one without words, has an empty set and links
 with nothing; a null id links with nothing and has no component; repeated rows
@@ -48,9 +47,11 @@ BITS = 22
 PIECE = 1 << 16
 MOST_MATCHES = 12
 VERIFY_COST = 16.0
-LONG_LIST = 12
+LONG_LIST = 24
 LIST_BLOCK = 512
 SIGNATURE_BITS = 2048
+#: A prime; ids are told apart by their residues where texts are passed over.
+ID_BITS = 16_777_213
 
 
 def _count(words: int, bits: int):
@@ -130,33 +131,51 @@ def _prefixes(sent, words: int, percent: int, bits: int):
     return run
 
 
-def _sets(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [one.view(np.int64) for one in shingle_sets(batch.column(1), words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"])
-
-    return run
+def _wanted(pairs: DataFrame) -> bytes:
+    """A bit for each residue of the ids of ``pairs`` modulo ID_BITS: two
+    megabytes at most, whatever the number of pairs."""
+    ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).select((F.pmod("id", F.lit(ID_BITS)) + 1).alias("b"))
+    rows = ids.groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits")).collect()
+    out = bytearray((ID_BITS // 32768 + 2) * 4096)
+    for r in rows:
+        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = bytes(r["bits"])
+    return bytes(out)
 
 
-def _signatures(words: int):
+def _sets(words: int, sent, signatures: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(np.frombuffer(sent.value, np.uint8), bitorder="little").astype(bool)
         for batch in batches:
-            sizes, marks = [], []
-            for one in shingle_sets(batch.column(1), words):
-                bits = np.zeros(SIGNATURE_BITS, np.uint8)
-                bits[(one % U(SIGNATURE_BITS)).astype(np.int64)] = 1
-                sizes.append(len(one))
-                marks.append(np.packbits(bits).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], ["rep", "n", "bits"])
+            ids = batch.column(0).fill_null(-1).to_numpy()
+            at = np.flatnonzero(wanted[np.mod(ids, ID_BITS)] & batch.column(0).is_valid().to_numpy(zero_copy_only=False))
+            if not len(at):
+                continue
+            batch = batch.take(pa.array(at))
+            sets = list(shingle_sets(batch.column(1), words))
+            if not signatures:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([one.view(np.int64) for one in sets], pa.list_(pa.int64()))], ["rep", "shingles"])
+                continue
+            marks = np.zeros((len(sets), SIGNATURE_BITS), np.uint8)
+            for row, one in zip(marks, sets, strict=True):
+                row[(one % U(SIGNATURE_BITS)).astype(np.int64)] = 1
+            packed_ = [*np.packbits(marks, axis=1).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(one) for one in sets], pa.int64()), pa.array(packed_, pa.list_(pa.int64()))], ["rep", "n", "bits"])
 
     return run
 
 
+def from_texts(pairs: DataFrame, texts: DataFrame, words: int, *, signatures: bool) -> DataFrame:
+    """(rep, shingles), or (rep, n, bits), of the documents of ``pairs`` and of
+    some others. Texts stay where they are: a bit table passes over most of
+    those that no pair has, and what the results are joined with the rest."""
+    sent = texts.sparkSession.sparkContext.broadcast(_wanted(pairs))
+    return texts.select("doc_id", "text").mapInArrow(_sets(words, sent, signatures), "rep long, n long, bits array<long>" if signatures else "rep long, shingles array<long>")
+
+
 def possible(pairs: DataFrame, texts: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs that bit signatures do not rule out: a bit that only one side
     has is a shingle that only this side has, so no linking pair is lost."""
-    marked = scratch.keep(_needed(pairs, texts).mapInArrow(_signatures(words), "rep long, n long, bits array<long>"))
+    marked = from_texts(pairs, texts, words, signatures=True)
     left = marked.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("a"))
     right = marked.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("b"))
     alone = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, k: s + k)
@@ -165,23 +184,42 @@ def possible(pairs: DataFrame, texts: DataFrame, words: int, percent: int, scrat
     return both.where((100 + percent) * most >= percent * (F.col("nx") + F.col("ny"))).select(*pairs.columns)
 
 
-def _needed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    ids = pairs.select(F.col("x").alias("id_")).union(pairs.select("y")).distinct()
-    return texts.join(ids, F.col("doc_id") == F.col("id_"), "left_semi")
-
+def _pair_links(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """A spanning forest of the pairs of a group that link."""
+        ids, whole = table["rep"].to_numpy(), [x.values.to_numpy() for x in table["shingles"]]
+        order = np.argsort(ids, kind="stable")
+        found_a, found_b = [], []
+        for a, partners in enumerate(table["partners"]):
+            for y in partners.values.to_numpy():
+                # rows of one id can hold different texts; any of them may link
+                for b in order[np.searchsorted(ids[order], y) : np.searchsorted(ids[order], y, "right")]:
+                    shared = len(np.intersect1d(whole[a], whole[b], assume_unique=True))
+                    if (100 + percent) * shared >= percent * (len(whole[a]) + len(whole[b])):
+                        found_a.append(a)
+                        found_b.append(b)
+        a, b = np.array(found_a, np.int64), np.array(found_b, np.int64)
+        hit = np.unique(np.concatenate([a, b]))
+        return pa.table({"y": ids[hit], "x": forest(a, b, ids)[hit]})
 
-def set_table(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(rep, shingles): the sets of all documents of ``pairs``, from their texts."""
-    return _needed(pairs, texts).mapInArrow(_sets(words), "rep long, shingles array<long>")
+    return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (x, y) of ``pairs`` whose whole sets link."""
-    left = sets.select(F.col("rep").alias("x"), F.col("shingles").alias("a"))
-    right = sets.select(F.col("rep").alias("y"), F.col("shingles").alias("b"))
-    both = pairs.select("x", "y").join(left.hint("merge"), "x").join(right.hint("merge"), "y").withColumn("shared", F.size(F.array_intersect("a", "b")))
-    # shared / union >= percent / 100, in whole numbers
-    return both.where((100 + percent) * F.col("shared") >= percent * (F.size("a") + F.size("b"))).select("x", "y")
+def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, scratch: Scratch, list_block: int) -> DataFrame:
+    """(y, x): a spanning forest of the ``pairs`` whose whole sets link. Pairs
+    of one component of candidates are dealt out by pairs of blocks of its
+    documents; alike sets lie side by side, so they take little room in the shuffle."""
+    part = components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
+    sizes = part.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(list_block)).cast("int").alias("blocks"))
+    named = pairs.join(part.select(F.col("node").alias("x"), "component"), "x").join(sizes, "component")
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
+    named = named.select("component", F.least(block("x"), block("y")).alias("i"), F.greatest(block("x"), block("y")).alias("j"), "x", "y")
+    none = F.lit(None).cast("long")
+    sides = named.select("component", "i", "j", F.col("x").alias("rep"), F.col("y").alias("partner")).union(named.select("component", "i", "j", "y", none))
+    # a set's partners in a group are no more than a block
+    dealt = sides.groupBy("component", "i", "j", "rep").agg(F.collect_set("partner").alias("partners"))
+    filled = dealt.hint("merge").join(from_texts(pairs, texts, words, signatures=False).hint("merge"), "rep")
+    return filled.sortWithinPartitions("component", F.size("shingles")).groupBy("component", "i", "j").applyInArrow(_pair_links(percent), "y long, x long")
 
 
 def overlaps(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
@@ -250,7 +288,8 @@ def long_list_links(lists: DataFrame, whole: DataFrame, sets: DataFrame, percent
     dealt = lists.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.select("token", "rep", "pos", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     filled = dealt.join(whole.select("rep", "n", "ell", "prefix").hint("merge"), "rep").join(sets.hint("merge"), "rep")
-    return filled.groupBy("token", "i", "j").applyInArrow(_long_list_links(percent), "y long, x long")
+    # alike sets side by side take less room in the shuffle
+    return filled.sortWithinPartitions("token", "n").groupBy("token", "i", "j").applyInArrow(_long_list_links(percent), "y long, x long")
 
 
 def packed(n: Column, pos: Column, ell: Column) -> Column:
@@ -288,14 +327,6 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
     return joined.groupBy(c("a.rep").alias("x"), c("b.rep").alias("y")).agg(F.count(F.lit(1)).alias("found"), need.alias("need")).where("found >= need").select("x", "y", "found")
 
 
-def _apart(pairs: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs that ``edges`` do not connect."""
-    known = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
-    for side in ("x", "y"):
-        pairs = pairs.join(known.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
-    return pairs.where(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("x", "y")
-
-
 def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bits: int = BITS, long_list: int = LONG_LIST, list_block: int = LIST_BLOCK) -> DataFrame:
     """Per document: (doc_id, n_shingles, component_id)."""
     spark = docs.sparkSession
@@ -319,19 +350,18 @@ def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     lists = shared.where((F.col("size") > long_list) & (_place(F.col("pack")) < _base(F.col("pack"), percent))).select("token", "size", "rep", _place(F.col("pack")).cast("int").alias("pos"))
     listed = scratch.keep(lists.select(F.col("rep").alias("x"), F.col("rep").alias("y")).distinct())
     hot = scratch.keep(whole.join(listed.select(F.col("x").alias("rep")), "rep", "left_semi"))
-    first = scratch.keep(long_list_links(lists, hot, scratch.keep(set_table(listed, rows, words)), percent, list_block))
-    # 2: pairs of what is not connected yet, each document's likeliest partner first
+    whole_sets = from_texts(listed, rows, words, signatures=False)
+    first = scratch.keep(long_list_links(lists, hot, whole_sets, percent, list_block).select("x", "y"))
+    scratch.drop(whole)
+    # 2: pairs of what is not connected yet
     early = components(first.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch).select(F.col("node").alias("rep"), "component")
     partly = listed.select(F.col("x").alias("rep"), F.lit(True).alias("partly"))
     short = shared.where(F.col("size") <= long_list).join(early, "rep", "left").join(partly, "rep", "left")
     pairs = scratch.keep(_candidates(short.select("token", "rep", "pack", F.coalesce("partly", F.lit(False)).alias("partly"), F.nullif("component", "rep").alias("component")), percent))
-    pairs = scratch.keep(possible(pairs, rows, words, percent, scratch))
-    sets = scratch.keep(set_table(pairs, rows, words))
-    both_ways = pairs.select("x", "y", "found", F.col("x").alias("one")).union(pairs.select("x", "y", "found", F.col("y")))
-    likeliest = both_ways.groupBy("one").agg(F.max_by(F.struct("x", "y"), "found").alias("p")).select("p.x", "p.y").distinct()
-    second = scratch.keep(verified(likeliest, sets, percent))
-    third = verified(scratch.keep(_apart(pairs, first.select("x", "y").union(second), scratch)), sets, percent)
-    found = components(first.select("x", "y").union(second).union(third).select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
+    scratch.drop(shared)
+    pairs = scratch.keep(possible(pairs, rows, words, percent, scratch).select("x", "y"))
+    second = verified(pairs, rows, words, percent, scratch, list_block).select("x", "y")
+    found = components(first.union(second).select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
 
     named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = keys.join(named, ["n", "s1", "s2"], "left")

@@ -21,8 +21,11 @@ def shared_root(spark: SparkSession) -> str:
 class Scratch:
     """Parquet tables that cut lineage and survive lost executors."""
 
+    live: list[Scratch] = []
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        Scratch.live.append(self)
         self.root = f"{shared_root(spark)}/scratch-{uuid.uuid4().hex}"
         self.made = 0
 
@@ -37,10 +40,19 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        self._delete(df._scratch_path)
+
+    def _delete(self, place: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    @classmethod
+    def clear(cls) -> None:
+        """Delete all tables made so far. Only for those whose results are written."""
+        for one in cls.live:
+            one._delete(one.root)
+        cls.live.clear()
+
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -6,19 +6,24 @@ from pyspark.sql import functions as F
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def test_stages(spark):
+def test_stages(spark, tmp_path):
+    def written(df, name):
+        df.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    stage = dict(corpus_pipeline.STAGES)
     text = "the and with from that this there house water " * 8
     rows = [(i, text + f"number {i} " * (i + 1), "en", "a" if i % 3 else "b", 1) for i in range(12)]
     rows += [(50, "12 34", "en", "a", 5), (51, None, "en", "a", 0), (60, "password = hunter2hunter2 in a text of the house", "en", "b", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    kept = corpus_pipeline.languages(spark, docs, "")
+    kept = written(stage["languages"](spark, docs, ""), "languages")
     assert kept.columns == COLUMNS and kept.where("doc_id in (50, 51)").count() == 0 and kept.count() == 13
-    single = corpus_pipeline.near_copies(spark, kept.union(kept), "")
+    single = written(stage["near_copies"](spark, kept.union(kept), ""), "near_copies")
     assert single.columns == COLUMNS and single.count() == single.select("doc_id").distinct().count()
-    clean = corpus_pipeline.secrets(spark, kept, "")
+    clean = written(stage["secrets"](spark, kept, ""), "secrets")
     assert clean.columns == COLUMNS and clean.count() == kept.count()
     assert "hunter2" not in clean.where("doc_id = 60").first().text
-    mixed = corpus_pipeline.mixing(spark, clean, "")
+    mixed = written(stage["mixing"](spark, clean, ""), "mixing")
     assert mixed.columns == COLUMNS and mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 4
     assert corpus_pipeline.encoding(spark, mixed, "").count() == mixed.count()
     assert [name for name, _ in corpus_pipeline.STAGES] == ["languages", "near_copies", "secrets", "mixing", "encoding"]
