@@ -68,5 +68,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_near_vectors": op1_near_vectors, "op2_token_counts": op2_token_counts, "op3_jaccard": op3_jaccard, "op4_fingerprints": op4_fingerprints, "op5_languages": op5_languages, "op6_pieces": op6_pieces, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_main_text": op10_main_text}
 
 
+COMPONENTS = """walk(id, c) AS (SELECT id, id FROM nodes UNION SELECT links.b, walk.c FROM walk JOIN links ON links.a = walk.id), comp AS (SELECT id, min(c) component_id FROM walk GROUP BY id)"""
+
+ORACLE = {
+    "op1_near_vectors": f"""WITH RECURSIVE v AS (SELECT vec_id id, embedding::DOUBLE[] e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT p.id a, q.id b FROM v p JOIN v q ON p.id <> q.id AND len(p.e) = len(q.e) WHERE list_cosine_similarity(p.e, q.e) >= 0.95), nodes AS (SELECT vec_id id FROM embeddings), {COMPONENTS}
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) n_links, component_id, vec_id = component_id kept FROM embeddings JOIN comp ON id = vec_id""",
+    "op3_jaccard": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') p FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(p) >= 3 THEN list_transform(range(1, len(p) - 1), lambda i: array_to_string(p[i : i + 2], ' ')) WHEN len(p) > 0 THEN [array_to_string(p, ' ')] ELSE [] END) sh FROM w),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY 1), links AS (SELECT p.doc_id a, q.doc_id b FROM s p JOIN s q ON p.sh = q.sh AND p.doc_id <> q.doc_id JOIN n x ON x.doc_id = p.doc_id JOIN n y ON y.doc_id = q.doc_id GROUP BY 1, 2 HAVING 190 * count(*) >= 90 * (any_value(x.n) + any_value(y.n))), nodes AS (SELECT doc_id id FROM documents), {COMPONENTS}
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT n_shingles, component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN comp ON id = d.doc_id""",
+    "op9_chat": r"""WITH own AS (SELECT conv_id, turn, coalesce(role, '') r, coalesce(text, '') t FROM conversations UNION ALL SELECT -7, k, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)),
+e AS (SELECT *, replace(replace(replace(t, '\', '\b'), '</turn>', '\e'), '### ', '\h') et, replace(replace(replace(replace(r, '\', '\b'), '</turn>', '\e'), '### ', '\h'), ': ', '\c') er FROM own)
+SELECT conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) turns_sha256, coalesce(sum(length(t)) FILTER (r = 'assistant'), 0)::BIGINT loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (r = 'assistant'), '')) loss_sha256, sum(14 + length(er) + length(et))::BIGINT formatted_chars FROM e GROUP BY conv_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can state a query; the others are held against brute force,
+    a library, a round trip or held-out texts in the tests."""
+    return dict(ORACLE)
