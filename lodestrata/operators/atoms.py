@@ -17,14 +17,16 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, St
 DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 TENS = {"十": 10, "百": 100, "千": 1000}
 SCALES = {"万": 10_000, "亿": 100_000_000}
-UNITS = ("个月", "小时", "分钟", "平方米", "公里", "人民币", "美元", "年", "月", "天", "周", "岁", "元", "块", "家", "人", "位", "名", "倍", "次", "款", "台", "吨", "店", "条", "%")
-SAME_UNIT = {"块": "元", "人民币": "元", "位": "人", "名": "人"}
-IDIOMS = ("一些", "一下", "一样", "一起", "一直", "一定", "一般", "一点", "一个", "一种", "第一", "第二", "第三", "三心二意", "千万不", "千万别", "千万要", "万一", "十分", "百分之百", "一旦", "两三个", "三五个", "四五个")
-NEGATIVE = ("亏损", "下降", "减少", "下滑", "负")
-POSITIVE = ("盈利", "增长", "增加", "上升", "上涨")
+UNITS = ("个月", "个点", "小时", "分钟", "平方米", "公里", "年", "月", "天", "周", "岁", "元", "块", "家", "人", "位", "名", "倍", "次", "款", "台", "吨", "条", "%")
+SAME_UNIT = {"块": "元", "位": "人", "名": "人"}
+#: Words that hold numerals and are no numbers.
+IDIOMS = ("一五一十", "五花八门", "三心二意", "七上八下", "千方百计", "一些", "一下", "一样", "一起", "一直", "一定", "一般", "一点", "一种", "万一", "十分", "一旦", "千万不要", "千万别", "千万要")
+POLARITY = ("不到", "超过", "亏损", "下降", "减少", "下滑", "不足", "至少", "最多", "增长", "盈利")
 NUMERAL = r"[零〇一二两三四五六七八九十百千万亿]+"
-ATOM = re.compile(rf"(?P<percent>百分之)?(?P<a>[0-9]+(?:\.[0-9]+)?|{NUMERAL})(?P<s1>[万亿]*)(?:(?:到|至|-|~|—)(?P<b>[0-9]+(?:\.[0-9]+)?|{NUMERAL})(?P<s2>[万亿]*))?(?P<ge>个(?=[亿万千]))?(?P<s3>[万亿]*)(?P<unit>{'|'.join(UNITS)})?")
-PAIR = re.compile(r"([一二两三四五六七八九])([一二两三四五六七八九])([十百千万亿]+)|([十百千万亿]*?十)([一二两三四五六七八九])([一二两三四五六七八九])")
+NUMBER = rf"(?:[0-9]+(?:\.[0-9]+)?|{NUMERAL})"
+ATOM = re.compile(rf"(?P<ordinal>第)?(?P<percent>百分之)?(?P<a>{NUMBER})(?: ?(?:到|至|-|~|—) ?(?P<b>{NUMBER}))?(?P<more>[多来几余])? ?(?:个(?=[亿万千]))?(?P<scale>[千百]?[万亿]|千万)?(?:元|人民币|块)?(?P<unit>{'|'.join(UNITS)})?")
+DIGIT = "一二两三四五六七八九"
+PAIR = re.compile(rf"([{DIGIT}])([{DIGIT}])([十百千]+)?|([{DIGIT}]?十)([{DIGIT}])([{DIGIT}])")
 TIMESTAMP = re.compile(r"[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?")
 
 
@@ -54,42 +56,54 @@ def numeral(text: str) -> float | None:
     return float(total + section)
 
 
+def _split(han: str) -> tuple[str, str]:
+    """A Han numeral without its last scale, and that scale: 八千万 is 八千 and 万."""
+    return (han[:-1], han[-1]) if len(han) > 1 and han[-1] in SCALES and not any(c in SCALES for c in han[:-1]) else (han, "")
+
+
 def extract(text: str | None) -> list[dict]:
-    """The atoms of a text, in order."""
+    """The atoms of a text, in order: a value or range, its unit with the scale
+    folded in, its size, and the word before it that bounds or turns it."""
     out = []
-    plain = TIMESTAMP.sub(lambda m: " " * len(m.group()), text or "")
+    plain = TIMESTAMP.sub(lambda m: "\0" * len(m.group()), text or "")
     for idiom in IDIOMS:
-        plain = plain.replace(idiom, " " * len(idiom))
+        plain = plain.replace(idiom, "\0" * len(idiom))
     for m in ATOM.finditer(plain):
-        a, b, unit = m["a"], m["b"], m["unit"] or ""
-        scale = 1
-        for s in (m["s1"], m["s2"], m["s3"]):
-            for c in s or "":
-                scale *= SCALES[c]
-        pair = PAIR.fullmatch(a)
-        if pair and not b:
-            tens = pair[3] or ""
-            if tens:
-                low, high = numeral(pair[1] + tens), numeral(pair[2] + tens)
-            else:
-                low, high = numeral(pair[4] + pair[5]), numeral(pair[4] + pair[6])
+        a, b, scale, unit = m["a"], m["b"], m["scale"] or "", m["unit"] or ""
+        rest = m.group()[m.end("a") - m.start() :]
+        han = a[0] not in "0123456789"
+        if m["ordinal"]:
+            continue
+        if han and not scale:
+            a, scale = _split(a)
+        if b and b[0] not in "0123456789" and not scale:
+            b, scale = _split(b)
+        pair = PAIR.fullmatch(a) if han and not b else None
+        if pair and not (pair[3] or pair[4]):
+            continue  # two or three, seven or eight
+        if pair and pair[3]:
+            low, high = numeral(pair[1] + pair[3]), numeral(pair[2] + pair[3])
+        elif pair and pair[4]:
+            low, high = numeral(pair[4] + pair[5]), numeral(pair[4] + pair[6])
         else:
             low, high = numeral(a), numeral(b) if b else None
-        if low is None or plain[m.end("a") : m.end("a") + 1] in ("来", "几"):
-            continue  # no numeral, or an oral guess
-        if not unit and not m["percent"] and a[0] not in "0123456789" and low < 10 and not b and scale == 1:
-            continue  # a bare small numeral is a word
+        if low is None or m["more"] in ("来", "几"):
+            continue
+        small = han and not b and not scale and not m["percent"] and low < 10
+        if small and (unit in ("", "人", "家", "次", "名", "位") or "个" in rest and unit not in ("个月", "个点")):
+            continue  # a small spoken count
         high = low if high is None else high
-        low, high = low * scale, high * scale
-        unit = "%" if m["percent"] else SAME_UNIT.get(unit, unit)
-        around = plain[max(0, m.start() - 6) : m.start()]
-        polarity = "-" if any(w in around for w in NEGATIVE) else "+" if any(w in around for w in POSITIVE) else ""
-        if high >= 10_000 and low % 10_000 == 0 == high % 10_000:
-            shown, mark = (low / 10_000, high / 10_000), "万" + unit
-        else:
-            shown, mark = (low, high), unit
-        value = "-".join(dict.fromkeys(f"{v:.10g}" for v in shown))
-        out.append({"key": f"{value}|{mark}", "value": value, "lo": low, "hi": high, "unit": unit, "polarity": polarity})
+        unit = "%" if m["percent"] else "" if m["more"] else SAME_UNIT.get(unit, unit)
+        if not unit and not scale and re.search("元|块", rest):
+            unit = "元"
+        factor = 1
+        for c in scale:
+            factor *= SCALES.get(c) or TENS[c]
+        before = plain[max(0, m.start() - 4) : m.start()]
+        polarity = next((w for w in POLARITY if w in before), "")
+        value = "-".join(dict.fromkeys(f"{v:.10g}" for v in (low, high)))
+        mark = scale + (unit if unit != "元" or not scale else "")
+        out.append({"key": f"{value}|{mark}", "value": value, "lo": low * factor, "hi": high * factor, "unit": mark, "polarity": polarity})
     return out
 
 

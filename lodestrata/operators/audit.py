@@ -34,7 +34,7 @@ CLEAN_RULES = (
     ("empty_phrase", "(这个|那个|就是说|然后呢)", "soft"),
 )
 MODEL_MARKS = r"（(此处|以下|略|省略|内容)[^）]*）|\[(略|省略|omitted)\]|<!-- *(omitted|gap)"
-HEDGES = "(可能|大概|也许|应该|好像|似乎|据说|估计|差不多|左右)"
+HEDGES = "(我觉得|可能|大概|也许|应该|好像|似乎|据说|估计|差不多|左右)"
 
 
 def prose(text: Column) -> Column:

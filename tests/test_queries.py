@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
-from lodestrata.operators import atoms, entities, glossary, glue, turns
+from lodestrata.operators import atoms, audit, entities, glossary, glue, turns
 from lodestrata.plans.queries import ORACLE, QUERIES
 from lodestrata.streaming import runlog
 
@@ -80,7 +80,14 @@ def test_rendered_glossary_is_stable(spark):
 
 @pytest.mark.parametrize(
     ("text", "keys"),
-    [("三千五百万元", ["3500|万元"]), ("1.2亿元", ["12000|万元"]), ("30到40家", ["30-40|家"]), ("30-40家", ["30-40|家"]), ("十来天，12:30", []), ("一下、第一、万一", []), ("", []), (None, [])],
+    [
+        ("三千五百万元", ["3500|万"]), ("1.2亿元", ["1.2|亿"]), ("30到40家", ["30-40|家"]), ("30-40家", ["30-40|家"]), ("一下、第一、万一", []), ("", []), (None, []),
+        ("一共十六个部门", ["16|"]), ("二〇一九年成立", ["2019|年"]), ("2019 年", ["2019|年"]), ("营收八千万", ["8000|万"]), ("8000 万", ["8000|万"]), ("两亿的盘子", ["2|亿"]), ("毛利率百分之三十", ["30|%"]), ("30%", ["30|%"]),
+        ("一百二十多人", ["120|"]), ("二十四小时", ["24|小时"]), ("大概六七十亿", ["60-70|亿"]), ("三四十个点", ["30-40|个点"]), ("大概30到40个点", ["30-40|个点"]), ("30-40 个点", ["30-40|个点"]),
+        ("干了两三年", []), ("招三五个人", []), ("去过一两次", []), ("砍掉七八家", []), ("就我们两个人", []), ("他做事一五一十很实在", []), ("五花八门的产品", []), ("沈其安 00:12", []), ("时间是 08:00:15 开始", []), ("回款一直下不来", []), ("这是第三点", []),
+        ("那也就是 2 个亿", ["2|亿"]), ("约 2 亿元", ["2|亿"]), ("大概 1.5 个亿", ["1.5|亿"]), ("两个亿", ["2|亿"]), ("3 个千万", ["3|千万"]), ("过了 3 个月", ["3|个月"]), ("干了三个月才做完，投了三个亿", ["3|个月", "3|亿"]), ("讲 5 个方面", ["5|"]),
+        ("以后千万不要这样", []), ("千万别忘了", []), ("花了一千万不到", ["1000|万"]), ("身价千万不止", ["1000|万"]),
+    ],
 )
 def test_number_atoms(text, keys):
     assert [a["key"] for a in atoms.extract(text)] == keys
@@ -95,6 +102,12 @@ def test_run_log_stream_equals_table(spark, tmp_path):
     assert sorted(map(tuple, spark.table("runs_by_day").collect())) == sorted(map(tuple, runlog.daily(runs).collect()))
 
 
+def test_polarity_and_hedges(spark):
+    assert [atoms.extract(t)[0]["polarity"] for t in ("毛利率不到百分之三十", "去年亏损两亿", "增长超过五倍", "营收八千万")] == ["不到", "亏损", "超过", ""]
+    df = spark.createDataFrame([("我觉得可能明年会好，据说也许能起来，估计不小",), ("明年一定会盈利，收入翻倍",)], "t string")
+    assert [r.n for r in df.select(audit.hedges(F.col("t")).alias("n")).collect()] == [5, 0]
+
+
 def test_run_guards():
     assert glue.scope_error(["scout", "refine", "logic"], 2) is None
     assert glue.scope_error(["logic"], 1) == "needs refine: logic"
