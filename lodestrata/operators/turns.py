@@ -30,14 +30,13 @@ def spans(marked: DataFrame, keys: list[str], start: str, end: Column) -> DataFr
 
 
 def parse_turns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, turn_no, label, start_line, end_line, q) of labelled lines."""
-    all_lines = lines(docs, id_col, text_col)
-    total = all_lines.groupBy(id_col).agg(F.max("line_no").alias("last_line"), F.collect_list(F.struct("line_no", "line")).alias("all"))
-    marked = all_lines.withColumn("label", F.regexp_extract("line", LABEL, 1)).where("label != ''").join(total, id_col)
-    whole = spans(marked, [id_col], "line_no", F.col("last_line"))
-    said = F.array_join(F.transform(F.filter("all", lambda x: (x["line_no"] >= F.col("line_no")) & (x["line_no"] <= F.col("end_line"))), lambda x: x["line"]), "\n")
-    order = Window.partitionBy(id_col).orderBy("line_no")
-    return whole.select(id_col, F.row_number().over(order).cast("long").alias("turn_no"), "label", F.col("line_no").alias("start_line"), "end_line", ends_with_question(said).alias("q"))
+    """(id, turn_no, label, start_line, end_line, q) of labelled lines.
+    Every line is numbered by the labels up to it, then turns are summed up."""
+    w = Window.partitionBy(id_col).orderBy("line_no")
+    marked = lines(docs, id_col, text_col).withColumn("label", F.regexp_extract("line", LABEL, 1)).withColumn("turn_no", F.sum((F.col("label") != "").cast("long")).over(w))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    got = marked.where("turn_no > 0").groupBy(id_col, "turn_no").agg(F.min_by("label", "line_no").alias("label"), F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), said.alias("said"))
+    return got.select(id_col, "turn_no", "label", "start_line", "end_line", ends_with_question(F.col("said")).alias("q"))
 
 
 def islands(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
