@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 FIT_ROWS = 600
 SWITCH = 14.0
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
+ROWS_AT_ONCE = 256
 #: A language holds a script if so large a share of its training letters is written in it.
 SCRIPT_SHARE = 0.01
 #: Script by first code point, up to the next entry.
@@ -100,13 +101,25 @@ def fit(texts: list[tuple[str, str]]) -> dict:
     return {"langs": langs, "keys": keys, "table": table, "floor": floor, "scripts": held}
 
 
+def _packed(codes: np.ndarray) -> np.ndarray:
+    """Each three neighbouring code points as one number."""
+    codes = codes.astype(np.uint64)
+    return (codes[:-2] << np.uint64(42)) | (codes[1:-1] << np.uint64(21)) | codes[2:]
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
 class Labeller(dict):
-    """word -> row of the score table, filled as words are asked for."""
+    """word -> row of the score table. New words are scored together."""
 
     def __init__(self, model: dict, switch: float):
         self.langs, self.switch = model["langs"], switch
-        self.grams = {k: row for k, row in zip(model["keys"], model["table"].tolist(), strict=True)}
-        self.floor = model["floor"].tolist()
+        keys = np.array([_packed(_codes(k))[0] for k in model["keys"]], np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.table = keys[order], model["table"][order].astype(np.float64)
+        self.floor = model["floor"].astype(np.float64)
         self.scripts = model["scripts"]
         self.pattern = _words()
         self.scores = np.zeros((1024, len(self.langs)))
@@ -116,34 +129,62 @@ class Labeller(dict):
         if len(self) > CACHE_WORDS:
             self.clear()
 
-    def __missing__(self, word: str) -> int:
-        at = self[word] = len(self)
-        if at >= len(self.scores):
+    def learn(self, texts: list[list[str]]) -> None:
+        """Score the words of ``texts`` that are not known yet."""
+        new = [*dict.fromkeys(w for words in texts for w in words if w not in self)]
+        if not new or not self.langs:
+            return
+        padded = [f"  {w.lower()} " for w in new]
+        sizes = np.fromiter(map(len, padded), np.int64, len(padded))
+        starts = np.cumsum(sizes) - sizes
+        grams = _packed(_codes("".join(padded)))
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
+            values = np.where((self.keys[at] == grams)[:, None], self.table[at], self.floor)
+        else:
+            values = np.broadcast_to(self.floor, (len(grams), len(self.langs))).copy()
+        ends = starts[1:] - 1  # grams that reach into the next word
+        values[ends] = 0
+        values[ends - 1] = 0
+        totals = np.add.reduceat(values, starts, axis=0)
+        by_script: dict[str, list[int]] = {}
+        for i, w in enumerate(new):
+            by_script.setdefault("latin" if w.isascii() else script_of(w), []).append(i)
+        for script, rows in by_script.items():
+            may = self.scripts.get(script)
+            if may is None:  # a script that no language was learned in tells nothing
+                totals[rows] = 0
+            elif not all(may):
+                may = np.array(may)
+                worst = totals[np.ix_(rows, np.flatnonzero(may))].min(axis=1) - 2 * self.switch
+                totals[np.ix_(rows, np.flatnonzero(~may))] = np.minimum(totals[np.ix_(rows, np.flatnonzero(~may))], worst[:, None])
+        first, end = len(self), len(self) + len(new)
+        while end > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        total = [sum(x) for x in zip(*(self.grams.get(g, self.floor) for g in _trigrams(word)), strict=True)]
-        may = self.scripts.get(script_of(word))
-        if may is None:  # a script that no language was learned in tells nothing
-            total = [0.0] * len(total)
-        elif not all(may):
-            worst = min(t for t, m in zip(total, may, strict=True) if m) - 2 * self.switch
-            total = [t if m else min(t, worst) for t, m in zip(total, may, strict=True)]
-        self.scores[at] = total
-        self.letters[at] = len(word)
-        return at
+        self.scores[first:end] = totals
+        self.letters[first:end] = [*map(len, new)]
+        self.update(zip(new, range(first, end), strict=True))
+
+    def __missing__(self, word: str) -> int:
+        self.learn([[word]])
+        return self[word]
 
     def path(self, words: list[str]) -> np.ndarray:
         """The best language of each word."""
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         s = self.scores[at]
         best = int(s.sum(0).argmax())
-        # A run of another language gains at most its largest sum over the best
-        # language; below half a switch, no path with switches can be better.
-        gain = np.cumsum(s - s[:, best : best + 1], axis=0)
+        # A path that uses the best language at all switches as often as it has
+        # runs of others, and each of those gains at most the largest sum of a
+        # run over the best language. A path without it switches once at least,
+        # and gains at most what the others together have over the best.
+        ahead = s - s[:, best : best + 1]
+        gain = np.cumsum(ahead, axis=0)
         low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
         low[1:] = low[:-1].copy()
         low[0] = 0
-        if (gain - low).max() <= self.switch / 2:
+        if (gain - low).max() <= self.switch and (s.shape[1] == 1 or np.delete(ahead, best, axis=1).max(axis=1).sum() <= self.switch):
             return np.full(len(words), best)
         back = np.empty(s.shape, np.int64)
         value, own = s[0].copy(), np.arange(s.shape[1])
@@ -167,9 +208,13 @@ class Labeller(dict):
         cuts = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), len(hits)]
         return [(hits[a].start(), hits[b - 1].end(), self.langs[path[a]]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def label(self, text: str) -> tuple[str, float, int]:
+    def labels(self, texts: list[str]) -> list[tuple[str, float, int]]:
+        found = [self.pattern.findall(t) for t in texts]
+        self.learn(found)
+        return [*map(self._label, found)]
+
+    def _label(self, words: list[str]) -> tuple[str, float, int]:
         """(language of most letters, its share of the letters, spans)."""
-        words = self.pattern.findall(text)
         if not words or not self.langs:
             return UNKNOWN, 0.0, 0
         path = self.path(words)
@@ -212,10 +257,10 @@ def label_languages(docs: DataFrame, model: dict, *, id_col: str = "doc_id", tex
             _LABELLERS.clear()
             _LABELLERS[key] = Labeller(pickle.loads(sent.value), switch)
         own = _LABELLERS[key]
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, len(whole), ROWS_AT_ONCE)):
             own.renew()
             texts = batch.column(len(kept))
-            found = [own.label(t.as_py()) for t in texts]
+            found = own.labels(texts.to_pylist())
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.int64()))]
             if keep_spans:
                 spans = [[{"start": a, "end": b, "lang": lang} for a, b, lang in own.spans(t.as_py())] for t in texts]
