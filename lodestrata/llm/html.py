@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.workers import resident
+
 FIT_PAGES = 300
 FIT_LAYOUTS = 700
 HIDDEN = 20
@@ -323,9 +325,6 @@ class Extractor:
         return out
 
 
-_EXTRACTORS: dict[str, Extractor] = {}
-
-
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", fit_pages: int = FIT_PAGES, at_once: int = 256) -> DataFrame:
     """Per page: (page_id, url, text, n_chars)."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
@@ -338,13 +337,11 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     kinds = [rows.schema[c].dataType.simpleString() for c in ("page_id", "url")]
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _EXTRACTORS:
-            _EXTRACTORS.clear()
-            _EXTRACTORS[key] = Extractor(pickle.loads(sent.value))
+        extractor = resident(key, lambda: Extractor(pickle.loads(sent.value)))
         for whole in batches:
             for at in range(0, len(whole), at_once):
                 batch = whole.slice(at, at_once)
-                texts = _EXTRACTORS[key].texts(batch.column(2).to_pylist())
+                texts = extractor.texts(batch.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([*map(len, texts)], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(extracted, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")

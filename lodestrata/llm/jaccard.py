@@ -42,6 +42,7 @@ from lodestrata.llm.graph import components
 from lodestrata.llm.neighbours import forest
 from lodestrata.llm.scratch import Scratch
 from lodestrata.llm.shingles import U, mixed, shingle_sets
+from lodestrata.llm.workers import release
 
 BITS = 22
 PIECE = 1 << 16
@@ -56,6 +57,7 @@ ID_BITS = 16_777_213
 
 def _count(words: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         counts, held, size = np.zeros(1 << bits, np.uint32), [], 0
 
         def add() -> None:
@@ -69,7 +71,7 @@ def _count(words: int, bits: int):
             for one in shingle_sets(batch.column(0), words):
                 held.append((one >> U(64 - bits)).astype(np.int32))
                 size += len(one)
-                if size > 1 << bits:
+                if size > 1 << (bits - 1):
                     add()
         add()
         pieces = [(i, zlib.compress(counts[i * PIECE : (i + 1) * PIECE].tobytes(), 1)) for i in range(-(-(1 << bits) // PIECE)) if counts[i * PIECE : (i + 1) * PIECE].any()]
@@ -107,6 +109,7 @@ def chosen_matches(costs: np.ndarray, base: int, most: int) -> int:
 
 def _prefixes(sent, words: int, percent: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         frequency = np.frombuffer(sent.value, np.uint16)
         usual = float(frequency.mean())
         for batch in batches:

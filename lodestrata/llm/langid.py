@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.llm.workers import resident
+
 UNKNOWN = "und"
 FIT_ROWS = 600
 SWITCH = 14.0
@@ -223,9 +225,6 @@ class Labeller(dict):
         return self.langs[top], float(share[top] / share.sum()), int((path[1:] != path[:-1]).sum()) + 1
 
 
-_LABELLERS: dict[str, Labeller] = {}
-
-
 def fitted(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> dict:
     """The model of the rows of ``docs`` where ``train`` holds: at most
     ``fit_rows`` rows of each language, the first by a hash; equal rows count once."""
@@ -253,10 +252,7 @@ def label_languages(docs: DataFrame, model: dict, *, id_col: str = "doc_id", tex
     rows = rows.select(*[f.name for f in kept], "label_text_")
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _LABELLERS:
-            _LABELLERS.clear()
-            _LABELLERS[key] = Labeller(pickle.loads(sent.value), switch)
-        own = _LABELLERS[key]
+        own = resident(key, lambda: Labeller(pickle.loads(sent.value), switch))
         for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, len(whole), ROWS_AT_ONCE)):
             own.renew()
             texts = batch.column(len(kept))

@@ -20,12 +20,13 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.workers import resident
+
 CACHE_WORDS = 300_000
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -101,9 +102,8 @@ class PairCounter(dict):
         return found + sum(sum(map(get, self.words(part))) for part in self.special.split(text))
 
 
-@lru_cache(maxsize=2)
 def pair_counter(path: str) -> PairCounter:
-    return PairCounter(path)
+    return resident(("pairs", path), lambda: PairCounter(path))
 
 
 def count_tokens(docs: DataFrame, *, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
@@ -231,9 +231,8 @@ class PieceCoder(dict):
         return joined, "".join(words).replace(SPACE, " ")[1:]
 
 
-@lru_cache(maxsize=2)
 def piece_coder(path: str) -> PieceCoder:
-    return PieceCoder(path)
+    return resident(("pieces", path), lambda: PieceCoder(path))
 
 
 def encode_pieces(docs: DataFrame, *, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, at_once: int = 256) -> DataFrame:
