@@ -315,8 +315,9 @@ def _base(pack: Column, percent: int) -> Column:
 
 def _candidates(postings: DataFrame, percent: int) -> DataFrame:
     """(x, y, found) that share enough prefix shingles, x the smaller set, from
-    (token, rep, pack, partly, component). ``partly`` marks sets whose prefix
-    long lists were left out of; component is null where it is the set itself."""
+    (token, rep, pack, removed, component). ``removed`` is the number of prefix
+    shingles that were left out as long lists; two sets share no more of these
+    than either has. component is null where it is the set itself."""
     a, b = postings.alias("a"), postings.alias("b")
     c = F.col
     na, nb, ia, ib = _size(c("a.pack")), _size(c("b.pack")), _place(c("a.pack")), _place(c("b.pack"))
@@ -326,7 +327,8 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
     near = (ia < _base(c("a.pack"), percent) + ell - 1) & (ib < _base(c("b.pack"), percent) + ell - 1)
     enough = (100 + percent) * (F.least(ia, ib) + F.least(na - ia, nb - ib)) >= percent * (na + nb)
     joined = a.join(b.hint("merge"), (c("a.token") == c("b.token")) & apart & smaller & (percent * nb <= 100 * na) & near & enough)
-    need = F.min(F.when(c("a.partly") | c("b.partly"), 1).otherwise(ell))
+    # a pair whose first shared shingle is a long list's belongs to that list; any other has one here at least
+    need = F.min(F.greatest(F.lit(1), ell - F.least(c("a.removed"), c("b.removed"))))
     return joined.groupBy(c("a.rep").alias("x"), c("b.rep").alias("y")).agg(F.count(F.lit(1)).alias("found"), need.alias("need")).where("found >= need").select("x", "y", "found")
 
 
@@ -358,9 +360,9 @@ def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     scratch.drop(whole)
     # 2: pairs of what is not connected yet
     early = components(first.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch).select(F.col("node").alias("rep"), "component")
-    partly = listed.select(F.col("x").alias("rep"), F.lit(True).alias("partly"))
-    short = shared.where(F.col("size") <= long_list).join(early, "rep", "left").join(partly, "rep", "left")
-    pairs = scratch.keep(_candidates(short.select("token", "rep", "pack", F.coalesce("partly", F.lit(False)).alias("partly"), F.nullif("component", "rep").alias("component")), percent))
+    removed = shared.where(F.col("size") > long_list).groupBy("rep").agg(F.count(F.lit(1)).alias("removed"))
+    short = shared.where(F.col("size") <= long_list).join(early, "rep", "left").join(removed, "rep", "left")
+    pairs = scratch.keep(_candidates(short.select("token", "rep", "pack", F.coalesce("removed", F.lit(0)).alias("removed"), F.nullif("component", "rep").alias("component")), percent))
     scratch.drop(shared)
     pairs = scratch.keep(possible(pairs, rows, words, percent, scratch).select("x", "y"))
     second = verified(pairs, rows, words, percent, scratch, list_block).select("x", "y")

@@ -123,6 +123,19 @@ def test_jaccard_matches_brute_force(spark, words, percent):
     assert {i: r.n_shingles for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
 
 
+def test_jaccard_keeps_links_whose_shared_shingles_are_mostly_in_long_lists(spark):
+    passage = [f"p{i}" for i in range(42)]
+    texts = [[*passage, f"a{i}", f"b{i}"] for i in range(22)] + [[*passage[3:], f"c{i}", f"d{i}"] for i in range(4)]
+    random.seed(31)
+    other = [f"q{i}" for i in range(60)]
+    texts += [[*other[random.randrange(5) :], *(f"{k}o{i}" for k in range(random.randrange(4)))] for i in range(60)]
+    rows = [(i, " ".join(t), None, None) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in jaccard.near_documents(docs(spark, rows), words=3, percent=90).collect()}
+    want = brute_components({i: shingles(t, 3) for i, t, _, _ in rows}, 90)
+    assert [want[i] for i in range(26)] == [0] * 22 + [22] * 4
+    assert got == want
+
+
 def test_one_of_each_group_stays(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(1, text, None, None), (2, text + " more", None, None), (2, text + " more", None, None), (3, "quite another text of several words", None, None), (None, text, None, None), (4, None, None, None)]
