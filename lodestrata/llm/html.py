@@ -13,8 +13,11 @@ fixed size. Pages are labelled row by row in Arrow batches, without a shuffle.
 
 Defined results: null or empty html, and pages without main blocks, give an
 empty text; unclosed and stray tags are tolerated; scripts, styles, forms'
-fields, templates, comments and the page's head have no blocks; ``<br>`` is
-white space; repeated rows are labelled each; an empty table gives no rows.
+fields, templates, comments and the page's head have no blocks, but only
+scripts, styles, titles, text areas and comments run to the page's end where
+nothing closes them; a head ends at the first block-level tag, and what is in
+an unclosed field or template counts as text. ``<br>`` is white space; repeated
+rows are labelled each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -45,9 +48,11 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template textarea select svg math iframe object title head button canvas audio video"
+RAW = "script style textarea title"
+#: Left out where an end tag closes them within the element that they began in.
+LEFT_OUT = frozenset("head template button select".split())
 TOKENS = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + RAW.replace(" ", "|") + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(" + RAW.replace(" ", "|") + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)",
     re.S | re.I,
 )
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -71,7 +76,7 @@ def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     out, parts = [], []
     linked, link_depth = 0, 0
-    in_head = False
+    open_ = []  # of LEFT_OUT: the tag, and what was there before it
 
     def end() -> None:
         nonlocal linked
@@ -86,10 +91,9 @@ def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
     for m in TOKENS.finditer(page):
         text = m.group(5)
         if text is not None:
-            if not in_head:
-                parts.append(text)
-                if link_depth:
-                    linked += len(text)
+            parts.append(text)
+            if link_depth:
+                linked += len(text)
             continue
         tag = m.group(3)
         if tag is None:
@@ -98,20 +102,32 @@ def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
         if m.group(2):  # an end tag
             if tag == "a":
                 link_depth = max(0, link_depth - 1)
+            elif tag in LEFT_OUT:
+                for i in range(len(open_) - 1, -1, -1):
+                    if open_[i][0] == tag:
+                        _, stack[:], n, parts[:], linked, link_depth = open_[i]
+                        del out[n:], open_[i:]
+                        break
             elif tag in BLOCK_TAGS:
                 end()
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
                         del stack[i:]
+                        open_ = [o for o in open_ if len(o[1]) <= i]
                         break
         elif tag == "a":
             link_depth = 1
         elif tag == "br":
             parts.append(" ")
+        elif tag in LEFT_OUT:
+            if tag != "template":  # the others do not lie within each other
+                open_ = [o for o in open_ if o[0] != tag]
+            open_.append((tag, stack[:], len(out), parts[:], linked, link_depth))
         elif tag in BLOCK_TAGS:
             end()
             link_depth = 0
-            if stack and (stack[-1][0] == "p" or stack[-1][0] == tag == "li" or stack[-1][0] in ("dd", "dt") and tag in ("dd", "dt")):
+            open_ = [o for o in open_ if o[0] != "head"]
+            if len(stack) > (len(open_[-1][1]) if open_ else 0) and (stack[-1][0] == "p" or stack[-1][0] == tag == "li" or stack[-1][0] in ("dd", "dt") and tag in ("dd", "dt")):
                 stack.pop()  # these end where the next begins
             if tag not in VOID_TAGS:
                 stack.append((tag, _names(m.group(4))))

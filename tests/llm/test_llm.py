@@ -335,6 +335,30 @@ def test_main_text_of_pages(spark):
     assert got[0].n_chars == len(got[0].text)
 
 
+def test_no_text_is_lost_to_elements_that_nothing_closes(spark):
+    texts = lambda page: [text for _, text, _ in html.blocks_of(page)]
+    assert texts("<html><head><title>t</title><body><article><p>One</article>") == ["One"]
+    assert texts("<html><head><title>t</title><style>p{}</style><p>One<p>Two") == ["One", "Two"]
+    assert texts("<head>of the page<noscript>no</noscript></head><p>One") == ["One"]
+    for tag in "button select object svg math canvas audio video noscript iframe template".split():
+        assert texts(f"<article><p>One</p><div><{tag} class=x></div><p>Two</p></article><p>Three</p>") == ["One", "Two", "Three"]
+        assert texts(f"<p>One <{tag}>and<p>Two</p>") == ["One and", "Two"]
+    for tag in "object svg math canvas audio video noscript iframe".split():
+        assert texts(f"<p>One <{tag}>and</{tag}> two</p>") == ["One and two"]
+    for tag in ("button", "select", "template"):
+        assert texts(f"<p>One <{tag}><div>and</div> more</{tag}>two</p><p>Three") == ["One two", "Three"]
+    assert texts("<template>a<template>b</template>c</template><p>One") == ["One"]
+    assert texts("<p>One<button>a<p>Two<button>b</button><p>Three</p></button>") == ["Onea", "Two", "Three"]
+    assert texts("<title-bar>One</title-bar><p>Two<![CDATA[><p>Three") == ["One", "Two", "Three"]
+    assert texts("<p>One<script>a</script >b<textarea>c<p>d") == ["Oneb"]
+    pages = [PAGE.replace("First", f"First {i}") for i in range(40)]
+    pages += [PAGE.replace("</head>", ""), PAGE.replace("text.", "<math>x = 2</math>."), PAGE.replace("text.", "<object>text.")]
+    rows = [(i, f"http://x/{i}", page) for i, page in enumerate(pages)]
+    got = {r.page_id: r.text for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[40] == got[42] == "Head & more\nFirst bold text.\nSecond line é\nThird"
+    assert got[41] == "Head & more\nFirst bold x = 2.\nSecond line é\nThird"
+
+
 def test_gradients_of_the_labeller():
     rng = np.random.default_rng(0)
     w = html.init_weights(1)
