@@ -22,7 +22,7 @@ from lodestrata.llm.tokens import encode_pieces
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which one learned language holds half of the letters."""
+    """Documents of which one learned language holds half of the letters by words it knows."""
     return keep_known_languages(docs)
 
 

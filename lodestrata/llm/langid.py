@@ -38,6 +38,8 @@ CACHE_WORDS = 300_000
 ROWS_AT_ONCE = 256
 #: A language holds a script if so large a share of its training letters is written in it.
 SCRIPT_SHARE = 0.01
+#: A word is known to a language if it scores as well a letter as all but so many of its distinct training words.
+KNOWN_QUANTILE = 0.02
 #: Script by first code point, up to the next entry.
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0700, "other"), (0x0900, "devanagari"), (0x0980, "bengali"),
@@ -67,9 +69,10 @@ def _trigrams(word: str) -> list[str]:
     return [padded[i : i + 3] for i in range(len(padded) - 2)]
 
 
-def fit(texts: list[tuple[str, str]]) -> dict:
+def fit(texts: list[tuple[str, str]], *, known: bool = False) -> dict:
     """(lang, text) rows -> log-probability of each trigram given its two
-    first letters, per language, smoothed by the bigram and letter counts."""
+    first letters, per language, smoothed by the bigram and letter counts;
+    with ``known`` also the least score of a known word of each language."""
     langs = sorted({lang for lang, _ in texts})
     find = _words().findall
     words: dict[str, Counter] = {lang: Counter() for lang in langs}
@@ -100,7 +103,15 @@ def fit(texts: list[tuple[str, str]]) -> dict:
             table[k, i] = math.log((counts[g] + 2 * two) / (pair[g[:2]] + 2))
         floor[i] = math.log(0.5 / (total + 0.5 * letters))
     held = {s: [scripts[lang][s] >= SCRIPT_SHARE * sum(scripts[lang].values()) and scripts[lang][s] > 0 for lang in langs] for s in {s for c in scripts.values() for s in c}}
-    return {"langs": langs, "keys": keys, "table": table, "floor": floor, "scripts": held}
+    model = {"langs": langs, "keys": keys, "table": table, "floor": floor, "scripts": held}
+    if known:
+        own = Labeller(model, SWITCH)
+        model["least"] = np.full(len(langs), np.inf)
+        for i, lang in enumerate(langs):
+            if words[lang]:
+                own.learn([sorted(words[lang])])
+                model["least"][i] = np.quantile(own.per_letter([own[w] for w in words[lang]])[:, i], KNOWN_QUANTILE)
+    return model
 
 
 def _packed(codes: np.ndarray) -> np.ndarray:
@@ -122,7 +133,7 @@ class Labeller(dict):
         order = np.argsort(keys)
         self.keys, self.table = keys[order], model["table"][order].astype(np.float64)
         self.floor = model["floor"].astype(np.float64)
-        self.scripts = model["scripts"]
+        self.scripts, self.least = model["scripts"], model.get("least")
         self.pattern = _words()
         self.scores = np.zeros((1024, len(self.langs)))
         self.letters = np.zeros(1024, np.int64)
@@ -210,22 +221,33 @@ class Labeller(dict):
         cuts = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), len(hits)]
         return [(hits[a].start(), hits[b - 1].end(), self.langs[path[a]]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def labels(self, texts: list[str]) -> list[tuple[str, float, int]]:
+    def per_letter(self, at: list[int]) -> np.ndarray:
+        return self.scores[at] / (self.letters[at] + 1)[:, None]
+
+    def labels(self, texts: list[str]) -> list[tuple]:
         found = [self.pattern.findall(t) for t in texts]
         self.learn(found)
         return [*map(self._label, found)]
 
-    def _label(self, words: list[str]) -> tuple[str, float, int]:
-        """(language of most letters, its share of the letters, spans)."""
+    def _label(self, words: list[str]) -> tuple:
+        """(language of most letters, its share of the letters, spans), and
+        with known words learned also the share of its known words."""
         if not words or not self.langs:
-            return UNKNOWN, 0.0, 0
+            return UNKNOWN, 0.0, 0, 0.0
         path = self.path(words)
         share = np.bincount(path, weights=self.letters[[self[w] for w in words]] if len(self.langs) > 1 and (path != path[0]).any() else None, minlength=len(self.langs))
         top = int(share.argmax())
-        return self.langs[top], float(share[top] / share.sum()), int((path[1:] != path[:-1]).sum()) + 1
+        label = self.langs[top], float(share[top] / share.sum()), int((path[1:] != path[:-1]).sum()) + 1
+        if self.least is None:
+            return label
+        at = [self[w] for w in words]
+        known = (path == top) & (self.per_letter(at)[:, top] >= self.least[top])
+        held = {script: may[top] for script, may in self.scripts.items()}
+        known[known] = [held.get(script_of(words[i]), False) for i in np.flatnonzero(known)]
+        return *label, float(self.letters[at][known].sum() / self.letters[at].sum())
 
 
-def fitted(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> dict:
+def fitted(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, known: bool = False) -> dict:
     """The model of the rows of ``docs`` where ``train`` holds: at most
     ``fit_rows`` rows of each language, the first by a hash; equal rows count once."""
     rows = docs.where(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
@@ -236,18 +258,20 @@ def fitted(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col:
     for r in last:
         chosen = chosen | ((F.col("lang") == r["lang"]) & (F.col("h") <= r["h"]))
     sample = rows.where(chosen).groupBy("lang", "h").agg(F.any_value("text").alias("text")).collect()
-    return fit([(r["lang"], r["text"]) for r in sorted(sample, key=lambda r: (r["lang"], r["h"]))])
+    return fit([(r["lang"], r["text"]) for r in sorted(sample, key=lambda r: (r["lang"], r["h"]))], known=known)
 
 
 def label_languages(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH, keep_spans: bool = False) -> DataFrame:
     """``docs`` with lang_pred, score (the predicted language's share of the
-    letters), n_spans, and with ``keep_spans`` also spans; other columns whose
-    names clash are replaced."""
+    letters), n_spans, and with ``keep_spans`` also spans; where the model has
+    known words also known_share (that of the predicted language's known words).
+    Other columns whose names clash are replaced."""
     packed = pickle.dumps(model)
     sent = docs.sparkSession.sparkContext.broadcast(packed)
     key = f"{hashlib.sha256(packed).hexdigest()} {switch}"
     rows = docs.select("*", F.coalesce(F.col(text_col), F.lit("")).alias("label_text_"))
-    new = ["lang_pred", "score", "n_spans", *(["spans"] if keep_spans else [])]
+    with_known = "least" in model
+    new = ["lang_pred", "score", "n_spans", *(["known_share"] if with_known else []), *(["spans"] if keep_spans else [])]
     kept = [f for f in docs.schema.fields if f.name not in new]
     rows = rows.select(*[f.name for f in kept], "label_text_")
 
@@ -257,13 +281,13 @@ def label_languages(docs: DataFrame, model: dict, *, id_col: str = "doc_id", tex
             own.renew()
             texts = batch.column(len(kept))
             found = own.labels(texts.to_pylist())
-            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.int64()))]
+            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.int64(), *([pa.float64()] if with_known else [])))]
             if keep_spans:
                 spans = [[{"start": a, "end": b, "lang": lang} for a, b, lang in own.spans(t.as_py())] for t in texts]
                 columns.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *columns], [*(f.name for f in kept), *new])
 
-    more = ", spans array<struct<start:int,end:int,lang:string>>" if keep_spans else ""
+    more = (", known_share double" if with_known else "") + (", spans array<struct<start:int,end:int,lang:string>>" if keep_spans else "")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return rows.mapInArrow(labelled, f"{schema}, lang_pred string, score double, n_spans long{more}")
 
@@ -282,7 +306,9 @@ def predict_languages(docs: DataFrame) -> DataFrame:
 
 def keep_known_languages(docs: DataFrame, *, least_share: float = 0.5) -> DataFrame:
     """The documents of which one language holds at least ``least_share`` of
-    the letters; a null lang is filled in by it. Columns as given."""
-    model = fitted(docs, F.lit(True))
-    kept = label_languages(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_share))
+    the letters by words that it knows: in a script it was learned in, and no
+    worse a letter than its training words. A null lang is filled in by it.
+    Columns as given."""
+    model = fitted(docs, F.lit(True), known=True)
+    kept = label_languages(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("known_share") >= least_share))
     return kept.select(*[F.coalesce("lang", "lang_pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns])

@@ -204,6 +204,16 @@ def test_viterbi_shortcut_is_exact():
         assert value(own.path([str(i) for i in range(n)]).tolist()) == pytest.approx(best)
 
 
+def test_texts_of_languages_that_were_not_learned_go(spark):
+    words = {"en": "the and with from that this there house water".split(), "fr": "que les des avec pour être maison eau où".split()}
+    random.seed(51)
+    say = lambda lang, n: " ".join(random.choice(words[lang]) for _ in range(n))
+    rows = [(i, say(lang, 60), lang, None) for i, lang in enumerate(["en", "fr"] * 30)] + [(100, say("fr", 5), None, None)]
+    gone = ["это дом вода есть нет когда", "这是一本书", "wszyscy ludzie rodzą się wolni", say("en", 3) + " но это дом вода есть нет когда"]
+    kept = {r.doc_id: r.lang for r in langid.keep_known_languages(docs(spark, rows + [(200 + i, t, None, None) for i, t in enumerate(gone)])).collect()}
+    assert kept == {i: lang for i, _, lang, _ in rows} | {100: "fr"}
+
+
 # 6
 def test_pieces_match_the_library(spark):
     import sentencepiece
