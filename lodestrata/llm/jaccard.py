@@ -376,7 +376,17 @@ def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 def keep_one_of_each(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents with one row of each group of near copies: the first by
-    id, of equal ids the first by text. Rows without an id stay."""
-    near = near_documents(docs, words=words, percent=percent)
-    kept = near.where("doc_id = component_id").select(F.col("doc_id").alias("kept_")).distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(kept, F.col("doc_id") == F.col("kept_"), "left_semi").dropDuplicates(["doc_id"]))
+    id, of equal ids the first by text. Rows without an id stay. Different
+    texts of one id are documents of their own."""
+    own = docs.where("doc_id is not null").withColumn("node_", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    near = near_documents(own, id_col="node_", words=words, percent=percent).select(F.col("doc_id").alias("node_"), F.col("component_id").alias("component_")).distinct()
+    scratch = Scratch(docs.sparkSession)
+    ids = scratch.keep(own.select("node_", "doc_id").distinct().join(near, "node_"))
+    least = ids.groupBy("component_").agg(F.min("doc_id").alias("doc_id"))
+    first = scratch.keep(ids.join(least, ["component_", "doc_id"]))
+    # texts are compared only where several of a group have its least id
+    each = first.groupBy("component_").agg(F.min("node_").alias("node_"), F.count(F.lit(1)).alias("n_"))
+    tied = first.join(each.where("n_ > 1").select("component_"), "component_").select("node_", "component_")
+    broken = own.select("node_", "text").join(tied, "node_").groupBy("component_").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "node_"))["node_"].alias("node_"))
+    kept = each.where("n_ = 1").select("node_").union(broken.select("node_"))
+    return docs.where("doc_id is null").unionByName(own.join(kept, "node_", "left_semi").dropDuplicates(["node_"]).drop("node_"))

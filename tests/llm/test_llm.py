@@ -143,6 +143,14 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 3, 4]
 
 
+def test_unlike_texts_of_one_id_both_stay(spark):
+    one, two = (" ".join(f"{k}{i}" for i in range(60)) for k in "vw")
+    rows = [(1, one, None, "a"), (5, one + " more", None, "b"), (5, two, None, "c"), (7, two + " z", None, "d"), (7, two + " b", None, "e"), (8, "x " + one, None, "f")]
+    rows += [(9, "alone in the world of this test", None, k) for k in "gg"] + [(-3, " ".join(f"u{i}" for i in range(40)) + k, None, k) for k in (" z", " a", " k")]
+    kept = jaccard.keep_one_of_each(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.source) for r in kept) == [(-3, " a"), (1, "a"), (5, "c"), (9, "g")]
+
+
 def test_components_join_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(edges, Scratch(spark)).collect()}
