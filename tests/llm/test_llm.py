@@ -329,7 +329,31 @@ def test_chats_read_back(spark):
         masked = [got[c].formatted[s.start : s.end] for s in got[c].loss]
         undo = lambda s: s.replace("\\h", chat.HEAD).replace("\\e", chat.END).replace("\\b", "\\")
         assert [undo(m) for m in masked] == [x for _, r, x in own if r == "assistant"]
+        assert got[c].masked == [x for _, r, x in own if r == "assistant"]
     assert chat.chat_digests(chat.chain(table.limit(0))).count() == 0
+    clash = table.withColumns({"msg": F.lit("m"), "root": F.lit(1), "start": F.lit("s"), "turns": F.lit(2), "formatted": F.lit("f")})
+    assert sorted(chat.chat_digests(chat.chain(clash)).collect(), key=str) == sorted(chat.chat_digests(chat.chain(table)).collect(), key=str)
+
+
+def test_the_loss_digest_is_what_the_mask_covers(spark):
+    long = "".join(chr(97 + i % 26) for i in range(9000)) + "\U0001f600é"
+    rows = [(1, i, ("user", "assistant")[i % 2], f"{i}</turn>" + long * (i % 3)) for i in range(40)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    chats = chat.format_chats(chat.chain(table))
+    said = "".join(t for _, _, r, t in rows if r == "assistant")
+    got = chat.digests(chat.read_chats(chats)).first()
+    assert (got.loss_chars, got.loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+    one_less = chats.withColumn("loss", F.slice("loss", 2, 100))
+    moved = chats.withColumn("loss", F.transform("loss", lambda s: F.struct((s["start"] + 1).alias("start"), s["end"].alias("end"))))
+    for broken in (one_less, moved):
+        assert chat.digests(chat.read_chats(broken)).first().loss_sha256 != got.loss_sha256
+
+
+def test_long_threads_and_many_branches(spark):
+    rows = [(1, i, i - 1 if i else None, "user", str(i), 0.0) for i in range(300)] + [(2, i, 0 if i else None, "user", str(i), float(i == 77)) for i in range(200)]
+    table = spark.createDataFrame(rows, "conv_id long, msg long, parent long, role string, text string, score double")
+    got = {r.conv_id: [t.text for t in r.turns] for r in chat.read_chats(chat.format_chats(table)).collect()}
+    assert got == {1: [str(i) for i in range(300)], 2: ["0", "77"]}
 
 
 def test_branches_are_ranked(spark):
