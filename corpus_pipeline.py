@@ -8,7 +8,6 @@ input. All stages but the last return the columns of documents.
 from __future__ import annotations
 
 import uuid
-from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestrata.llm.jaccard import keep_one_of_each
 from lodestrata.llm.langid import keep_known_languages
 from lodestrata.llm.mixing import mixed_documents
-from lodestrata.llm.scratch import Scratch, shared_root
+from lodestrata.llm.scratch import delete, shared_root
 from lodestrata.llm.secrets import redact_secrets
 from lodestrata.llm.tokens import encode_pieces
 
@@ -46,25 +45,15 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode_pieces(docs, path=public_tokenizers.path("piece_bpe_32k.model"), keep_ids=True).drop("decoded")
 
 
-def _stage(f):
-    """A stage begins when the one before it is written, whose tables can go."""
-
-    @wraps(f)
-    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        Scratch.clear()
-        return f(spark, docs, sf_dir)
-
-    return f.__name__, begun
-
-
-STAGES = [*map(_stage, (languages, near_copies, secrets, mixing, encoding))]
+STAGES = [(f.__name__, f) for f in (languages, near_copies, secrets, mixing, encoding)]
 
 #: Learned models and encodings cannot be written in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written before the next begins."""
+    """All stages over documents, each written before the next begins; what a
+    stage read is deleted when it is written."""
     root = f"{shared_root(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
@@ -72,4 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i < len(STAGES) - 1:
             docs.write.parquet(f"{root}/{name}")
             docs = spark.read.parquet(f"{root}/{name}")
+            if i:
+                delete(spark, f"{root}/{STAGES[i - 1][0]}")
     return docs
