@@ -17,7 +17,10 @@ fields, templates, comments and the page's head have no blocks, but only
 scripts, styles, titles, text areas and comments run to the page's end where
 nothing closes them; a head ends at the first block-level tag, and what is in
 an unclosed field or template counts as text. ``<br>`` is white space; repeated
-rows are labelled each; an empty table gives no rows.
+rows are labelled each; an empty table gives no rows; other columns are left
+out, whatever their names. A page of more than ``BLOCKS_AT_ONCE`` blocks is read
+in windows that hand on the network's state, so its memory is that of its text.
+A block is main text from a probability of 0.5 on.
 """
 
 from __future__ import annotations
@@ -180,7 +183,9 @@ def _path_vector(path: tuple) -> np.ndarray:
     return found
 
 
-def features(blocks: list[tuple[tuple, str, float]]) -> np.ndarray:
+def features(blocks: list[tuple[tuple, str, float]], first: int = 0, total: int | None = None) -> np.ndarray:
+    """A row a block; ``blocks`` are those from ``first`` on of ``total``."""
+    total = total or len(blocks)
     out = np.zeros((len(blocks), PATH_SLOTS + WORD_SLOTS + FIGURES))
     for i, (path, text, linked) in enumerate(blocks):
         out[i, :PATH_SLOTS] = _path_vector(path)
@@ -188,7 +193,7 @@ def features(blocks: list[tuple[tuple, str, float]]) -> np.ndarray:
         signed = np.bincount(slots, minlength=2 * WORD_SLOTS)
         out[i, PATH_SLOTS:-FIGURES] = (signed[:WORD_SLOTS] - signed[WORD_SLOTS:]) / len(slots)
         n = len(text)
-        out[i, -FIGURES:] = (np.log1p(n) / 6, min(1.0, n / 400), linked, min(4, text.count(".") + text.count(",")) / 4, i / len(blocks), i == 0, i == len(blocks) - 1)
+        out[i, -FIGURES:] = (np.log1p(n) / 6, min(1.0, n / 400), linked, min(4, text.count(".") + text.count(",")) / 4, (first + i) / total, first + i == 0, first + i == total - 1)
     return out
 
 
@@ -209,10 +214,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _run(x: np.ndarray, mask: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list]:
-    """One direction over (time, page, feature); padding leaves the state as it is."""
+def _run(x: np.ndarray, mask: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray, state: tuple | None = None, *, keep: bool = False) -> tuple[np.ndarray, list, tuple]:
+    """One direction over (time, page, feature), from ``state`` on; padding
+    leaves the state as it is. Only training keeps what the steps computed."""
     steps, pages, _ = x.shape
-    h, c = np.zeros((pages, HIDDEN)), np.zeros((pages, HIDDEN))
+    h, c = state or (np.zeros((pages, HIDDEN)), np.zeros((pages, HIDDEN)))
     projected, out, kept = x @ wx + b, np.empty((steps, pages, HIDDEN)), []
     for t in range(steps):
         z = projected[t] + h @ wh
@@ -221,10 +227,11 @@ def _run(x: np.ndarray, mask: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.
         m = mask[t][:, None]
         c_new = f * c + i * g
         tc = np.tanh(c_new)
-        kept.append((h, c, i, f, o, g, tc, m))
+        if keep:
+            kept.append((h, c, i, f, o, g, tc, m))
         h, c = m * (o * tc) + (1 - m) * h, m * c_new + (1 - m) * c
         out[t] = h
-    return out, kept
+    return out, kept, (h, c)
 
 
 def _run_back(dout: np.ndarray, x: np.ndarray, kept: list, wh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,14 +260,33 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def forward(w: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, tuple]:
+def forward(w: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray, *, keep: bool = False) -> tuple[np.ndarray, tuple]:
     """Probability of main text for each block, shape (time, page)."""
-    ahead, kept_f = _run(x, mask, w["fx"], w["fh"], w["f0"])
-    behind, kept_b = _run(x[::-1], mask[::-1], w["bx"], w["bh"], w["b0"])
+    ahead, kept_f, _ = _run(x, mask, w["fx"], w["fh"], w["f0"], keep=keep)
+    behind, kept_b, _ = _run(x[::-1], mask[::-1], w["bx"], w["bh"], w["b0"], keep=keep)
     joined = np.concatenate([ahead, behind[::-1], x], axis=2)
     return _sigmoid((joined @ w["o"])[..., 0] + w["o0"]), (joined, kept_f, kept_b)
 
 
+def forward_long(w: dict[str, np.ndarray], blocks: list[tuple[tuple, str, float]], at_once: int = BLOCKS_AT_ONCE) -> np.ndarray:
+    """``forward`` for one page of any length, in windows that hand on the
+    state; a block leaves one number and one state of HIDDEN numbers behind."""
+    n, starts = len(blocks), range(0, len(blocks), at_once)
+    window = lambda a: features(blocks[a : a + at_once], a, n)[:, None, :]
+    ahead, p, state = np.empty((n, HIDDEN)), np.empty(n), None
+    for a in starts:
+        x = window(a)
+        out, _, state = _run(x, np.ones(x.shape[:2]), w["fx"], w["fh"], w["f0"], state)
+        ahead[a : a + at_once] = out[:, 0]
+    state = None
+    for a in reversed(starts):
+        x = window(a)
+        out, _, state = _run(x[::-1], np.ones(x.shape[:2]), w["bx"], w["bh"], w["b0"], state)
+        joined = np.concatenate([ahead[a : a + at_once], out[::-1, 0], x[:, 0]], axis=1)
+        p[a : a + at_once] = _sigmoid((joined @ w["o"])[:, 0] + w["o0"])
+    return p
+
+
 def train(pages: list[tuple[np.ndarray, np.ndarray]], *, seed: int = 10, epochs: int = EPOCHS, rate: float = 0.01, at_once: int = 24) -> dict[str, np.ndarray]:
     """Adam over batches of pages of like length; the same pages and seed give the same weights."""
     w, rng = init_weights(seed), np.random.default_rng(seed)
@@ -273,7 +299,7 @@ def train(pages: list[tuple[np.ndarray, np.ndarray]], *, seed: int = 10, epochs:
             want = np.zeros(mask.shape)
             for j, i in enumerate(batches[b]):
                 want[: len(pages[i][1]), j] = pages[i][1]
-            p, (joined, kept_f, kept_b) = forward(w, x, mask)
+            p, (joined, kept_f, kept_b) = forward(w, x, mask, keep=True)
             dz = (p - want) * mask / mask.sum()
             grad = {"o": np.einsum("tpk,tp->k", joined, dz)[:, None], "o0": np.array([dz.sum()])}
             dj = dz[..., None] * w["o"][:, 0]
@@ -326,10 +352,15 @@ class Extractor:
         self.weights = {k: v.astype(np.float64) for k, v in weights.items()}
 
     def texts(self, pages: list[str]) -> list[str]:
-        """The main text of each page; pages of like length are read together."""
+        """The main text of each page; pages of like length are read together,
+        very long ones alone."""
         parsed = [blocks_of(p) for p in pages]
         out = [""] * len(pages)
-        order = sorted((i for i, b in enumerate(parsed) if b), key=lambda i: len(parsed[i]))
+        main = lambda i, p: "\n".join(text for (_, text, _), own in zip(parsed[i], p, strict=False) if own >= 0.5)
+        for i, b in enumerate(parsed):
+            if len(b) > BLOCKS_AT_ONCE:
+                out[i] = main(i, forward_long(self.weights, b))
+        order = sorted((i for i, b in enumerate(parsed) if 0 < len(b) <= BLOCKS_AT_ONCE), key=lambda i: len(parsed[i]))
         at = 0
         while at < len(order):
             n = max(1, BLOCKS_AT_ONCE // len(parsed[order[min(at + 255, len(order) - 1)]]))
@@ -337,7 +368,7 @@ class Extractor:
             at += len(group)
             p, _ = forward(self.weights, *_padded([features(parsed[i]) for i in group]))
             for j, i in enumerate(group):
-                out[i] = "\n".join(text for k, (_, text, _) in enumerate(parsed[i]) if p[k, j] >= 0.5)
+                out[i] = main(i, p[:, j])
         return out
 
 

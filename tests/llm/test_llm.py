@@ -415,7 +415,7 @@ def test_gradients_of_the_labeller():
         p, _ = html.forward(w, x, mask)
         return -(mask * (want * np.log(p) + (1 - want) * np.log(1 - p))).sum() / mask.sum()
 
-    p, (joined, kept_f, kept_b) = html.forward(w, x, mask)
+    p, (joined, kept_f, kept_b) = html.forward(w, x, mask, keep=True)
     dz = (p - want) * mask / mask.sum()
     dj = dz[..., None] * w["o"][:, 0]
     h = html.HIDDEN
@@ -443,3 +443,37 @@ def test_labeller_agrees_with_rules_on_unseen_layouts():
             right += ((p[:, 0] >= 0.5) == np.array([html.taught(path) for path, _, _ in blocks])).sum()
             total += len(blocks)
     assert right / total > 0.97
+
+
+def test_windows_of_a_long_page_give_what_the_whole_gives():
+    rng = np.random.default_rng(4)
+    words = [f"word{i}" for i in range(50)]
+    blocks = [b for _ in range(12) for b in html.blocks_of(html.layout(rng, words))]
+    w = html.init_weights(2)
+    p, (_, kept, _) = html.forward(w, *html._padded([html.features(blocks)]))
+    assert kept == []
+    for at_once in (1, 7, len(blocks), 1000):
+        assert html.forward_long(w, blocks, at_once) == pytest.approx(p[:, 0])
+
+
+def test_main_text_of_hand_labelled_pages(spark):
+    from hand_labelled import PAGES, filler
+
+    rows = [(i, "u", page, "a", 1, 2) for i, (page, _) in enumerate(PAGES)]
+    words = filler()
+    rng = np.random.default_rng(9)
+    rows += [(1000 + i, "u", html.layout(rng, words), "a", 1, 2) for i in range(100)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, h int")
+    got = {r.page_id: r for r in html.extract_main_text(table).collect()}
+    wrong = {i: (got[i].text, want) for i, (_, want) in enumerate(PAGES) if got[i].text != want}
+    assert len(PAGES) >= 30 and not wrong
+    assert all(r.n_chars == len(r.text) for r in got.values())
+    assert html.extract_main_text(table.limit(0)).columns == ["page_id", "url", "text", "n_chars"]
+    assert html.extract_main_text(table.limit(0)).count() == 0
+
+
+def test_a_very_long_page():
+    own = html.Extractor(html.fit_labeller([PAGE.replace("First", f"First {i}") for i in range(20)]))
+    n = html.BLOCKS_AT_ONCE + 500
+    page = "<nav><a href=x>Home</a></nav><article>" + "".join(f"<p>paragraph {i} of the text.</p>" for i in range(n)) + "</article><footer>me</footer>"
+    assert own.texts([page, ""]) == ["\n".join(f"paragraph {i} of the text." for i in range(n)), ""]
