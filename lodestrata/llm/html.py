@@ -40,10 +40,11 @@ from pyspark.sql import functions as F
 from lodestrata.llm.workers import resident
 
 FIT_PAGES = 300
-FIT_LAYOUTS = 700
+FIT_LAYOUTS = 1200
 HIDDEN = 20
-PATH_SLOTS, WORD_SLOTS, FIGURES = 96, 16, 7
-EPOCHS = 5
+PATH_SLOTS, WORD_SLOTS, FIGURES = 256, 16, 4
+EPOCHS = 8
+DROPPED = 0.5
 BLOCKS_AT_ONCE = 8192
 
 #: Tags that end a block, and those whose content is never text.
@@ -183,9 +184,7 @@ def _path_vector(path: tuple) -> np.ndarray:
     return found
 
 
-def features(blocks: list[tuple[tuple, str, float]], first: int = 0, total: int | None = None) -> np.ndarray:
-    """A row a block; ``blocks`` are those from ``first`` on of ``total``."""
-    total = total or len(blocks)
+def features(blocks: list[tuple[tuple, str, float]]) -> np.ndarray:
     out = np.zeros((len(blocks), PATH_SLOTS + WORD_SLOTS + FIGURES))
     for i, (path, text, linked) in enumerate(blocks):
         out[i, :PATH_SLOTS] = _path_vector(path)
@@ -193,7 +192,7 @@ def features(blocks: list[tuple[tuple, str, float]], first: int = 0, total: int
         signed = np.bincount(slots, minlength=2 * WORD_SLOTS)
         out[i, PATH_SLOTS:-FIGURES] = (signed[:WORD_SLOTS] - signed[WORD_SLOTS:]) / len(slots)
         n = len(text)
-        out[i, -FIGURES:] = (np.log1p(n) / 6, min(1.0, n / 400), linked, min(4, text.count(".") + text.count(",")) / 4, (first + i) / total, first + i == 0, first + i == total - 1)
+        out[i, -FIGURES:] = (np.log1p(n) / 6, min(1.0, n / 400), linked, min(4, text.count(".") + text.count(",")) / 4)
     return out
 
 
@@ -260,11 +259,11 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def forward(w: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray, *, keep: bool = False) -> tuple[np.ndarray, tuple]:
+def forward(w: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray, alive: np.ndarray | float = 1.0, *, keep: bool = False) -> tuple[np.ndarray, tuple]:
     """Probability of main text for each block, shape (time, page)."""
     ahead, kept_f, _ = _run(x, mask, w["fx"], w["fh"], w["f0"], keep=keep)
     behind, kept_b, _ = _run(x[::-1], mask[::-1], w["bx"], w["bh"], w["b0"], keep=keep)
-    joined = np.concatenate([ahead, behind[::-1], x], axis=2)
+    joined = np.concatenate([ahead, behind[::-1], x], axis=2) * alive
     return _sigmoid((joined @ w["o"])[..., 0] + w["o0"]), (joined, kept_f, kept_b)
 
 
@@ -272,7 +271,7 @@ def forward_long(w: dict[str, np.ndarray], blocks: list[tuple[tuple, str, float]
     """``forward`` for one page of any length, in windows that hand on the
     state; a block leaves one number and one state of HIDDEN numbers behind."""
     n, starts = len(blocks), range(0, len(blocks), at_once)
-    window = lambda a: features(blocks[a : a + at_once], a, n)[:, None, :]
+    window = lambda a: features(blocks[a : a + at_once])[:, None, :]
     ahead, p, state = np.empty((n, HIDDEN)), np.empty(n), None
     for a in starts:
         x = window(a)
@@ -293,23 +292,27 @@ def train(pages: list[tuple[np.ndarray, np.ndarray]], *, seed: int = 10, epochs:
     first, second = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
     order = sorted(range(len(pages)), key=lambda i: len(pages[i][0]))
     batches, step = [order[i : i + at_once] for i in range(0, len(order), at_once)], 0
-    for _ in range(epochs):
+    for epoch in range(epochs):
+        pace = rate * (1 - epoch / epochs)
         for b in rng.permutation(len(batches)):
             x, mask = _padded([pages[i][0] for i in batches[b]])
             want = np.zeros(mask.shape)
             for j, i in enumerate(batches[b]):
                 want[: len(pages[i][1]), j] = pages[i][1]
-            p, (joined, kept_f, kept_b) = forward(w, x, mask, keep=True)
+            # units are left out of a page at random, so that a block's own path and words must tell it too
+            alive = np.ones((1, x.shape[1], w["o"].shape[0]))
+            alive[..., : 2 * HIDDEN] = (rng.random((1, x.shape[1], 2 * HIDDEN)) >= DROPPED) / (1 - DROPPED)
+            p, (joined, kept_f, kept_b) = forward(w, x, mask, alive, keep=True)
             dz = (p - want) * mask / mask.sum()
             grad = {"o": np.einsum("tpk,tp->k", joined, dz)[:, None], "o0": np.array([dz.sum()])}
-            dj = dz[..., None] * w["o"][:, 0]
+            dj = dz[..., None] * w["o"][:, 0] * alive
             grad["fx"], grad["fh"], grad["f0"] = _run_back(dj[..., :HIDDEN], x, kept_f, w["fh"])
             grad["bx"], grad["bh"], grad["b0"] = _run_back(dj[::-1, :, HIDDEN : 2 * HIDDEN], x[::-1], kept_b, w["bh"])
             step += 1
             for k, g in grad.items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
-                w[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+                w[k] -= pace * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
@@ -317,12 +320,13 @@ def layout(rng: np.random.Generator, words: list[str]) -> str:
     """A generated page with parts that web pages have, in a random order."""
     say = lambda a, b: " ".join(words[i] for i in rng.integers(0, len(words), rng.integers(a, b)))
     pick = lambda *x: x[rng.integers(0, len(x))]
-    links = lambda n: "<ul>" + "".join(f'<li><a href="/x">{say(1, 4)}</a></li>' for _ in range(n)) + "</ul>"
+    link = lambda: f'<a href="/x">{say(1, 4)}</a>'
+    links = lambda n: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(n)) + "</ul>" if rng.random() < 0.7 else pick(" ", " | ").join(link() for _ in range(rng.integers(1, n + 1)))
     part = lambda tag, name, body: f'<{tag}{f" class=\"{name}\"" if name else ""}>{body}</{tag}>'
     ad = lambda: part(pick("div", "aside", "section"), pick("ad", "ads", "advert", "sponsored", "promo", "banner"), pick(say(3, 14), f"<p>{say(4, 25)}</p>", links(2)))
     note = lambda: part(pick("div", "section"), pick("cookie-notice", "notice", "consent", "warning", "gdpr", "popup", "newsletter"), pick(say(5, 25), f"<p>{say(6, 30)}</p>"))
-    inner = [f"<h1>{say(3, 10)}</h1>"] * (rng.random() < 0.8)
-    for _ in range(rng.integers(1, 9)):
+    inner = [f"<h1>{say(3, 10)}</h1>"] * (rng.random() < 0.55)
+    for _ in range(rng.integers(1, 9) if rng.random() < 0.95 else rng.integers(20, 120)):
         kind = rng.random()
         inner.append(f"<p>{say(1, 80)}</p>" if kind < 0.7 else f"<h2>{say(2, 7)}</h2>" if kind < 0.78 else "<ul>" + "".join(f"<li>{say(2, 14)}</li>" for _ in range(rng.integers(2, 5))) + "</ul>" if kind < 0.85 else f"<blockquote>{say(4, 30)}</blockquote>" if kind < 0.89 else f"<table><tr><td>{say(1, 5)}</td><td>{say(1, 5)}</td></tr></table>" if kind < 0.92 else ad())
     comments = lambda: part(pick("section", "div"), pick("comments", "discussion", "replies"), f"<h3>{say(1, 3)}</h3>" + "".join(part(pick("div", "article", "p"), pick("comment", "reply", ""), f"<p>{say(3, 40)}</p>") for _ in range(rng.integers(1, 5))))

@@ -6,13 +6,18 @@ those whose training texts hold that script. The best path through the words,
 at a penalty for every switch of language, labels the spans of a text.
 
 The models are fitted on a bounded sample: of each language's labelled rows
-the ``fit_rows`` first by a hash of id and text, their texts whole. What is sent to
-the executors is that model, bounded by the sample. Prediction is per row in
-Arrow batches, without a shuffle, and reads the text alone.
+the ``fit_rows`` first by a hash of id and text, their texts whole. The hashes
+are first held under a bound that follows from the number of a language's rows,
+so that few are ordered however many rows it has; the sample's words are counted
+where they lie, and the driver gets distinct words with their counts, no texts.
+What is sent to the executors is that model, bounded by the sample. Prediction
+is per row in Arrow batches, without a shuffle, and reads the text alone.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0;
 repeated rows are labelled each; an empty table gives no rows; where nothing
 is labelled every text is ``und``. Ties go to the first language by code point.
+Texts of any length are read whole; a very long one takes memory in proportion
+to its words. Columns of the input whose names clash are replaced.
 """
 
 from __future__ import annotations
@@ -70,14 +75,19 @@ def _trigrams(word: str) -> list[str]:
 
 
 def fit(texts: list[tuple[str, str]], *, known: bool = False) -> dict:
-    """(lang, text) rows -> log-probability of each trigram given its two
-    first letters, per language, smoothed by the bigram and letter counts;
-    with ``known`` also the least score of a known word of each language."""
-    langs = sorted({lang for lang, _ in texts})
+    """The model of (lang, text) rows."""
     find = _words().findall
-    words: dict[str, Counter] = {lang: Counter() for lang in langs}
+    words: dict[str, Counter] = {lang: Counter() for lang, _ in texts}
     for lang, text in texts:
         words[lang].update(find(text))
+    return fit_words(words, known=known)
+
+
+def fit_words(words: dict[str, Counter], *, known: bool = False) -> dict:
+    """lang -> counts of words -> log-probability of each trigram given its two
+    first letters, per language, smoothed by the bigram and letter counts;
+    with ``known`` also the least score of a known word of each language."""
+    langs = sorted(words)
     scripts, grams = defaultdict(Counter), [Counter() for _ in langs]
     for i, lang in enumerate(langs):
         for word, n in words[lang].items():
@@ -247,18 +257,41 @@ class Labeller(dict):
         return *label, float(self.letters[at][known].sum() / self.letters[at].sum())
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each language's words in its texts, and a row without a word for the language itself."""
+    find = _words().findall
+    for batch in batches:
+        counts: dict[str, Counter] = defaultdict(Counter)
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            counts[lang][None] = 0
+            counts[lang].update(find(text))
+        rows = [(lang, word, n) for lang, own in counts.items() for word, n in own.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
+
+
+def _under(bounds: dict[str, int]) -> Column:
+    """Whether a row's hash is no more than its language's bound."""
+    out = F.lit(False)
+    for lang, bound in bounds.items():
+        out = out | ((F.col("lang") == lang) & (F.col("h") <= F.lit(bound)))
+    return out
+
+
 def fitted(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, known: bool = False) -> dict:
     """The model of the rows of ``docs`` where ``train`` holds: at most
     ``fit_rows`` rows of each language, the first by a hash; equal rows count once."""
     rows = docs.where(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    # only hashes are ordered; then the texts up to each language's last chosen hash are read
-    ranked = rows.select("lang", "h").distinct().withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rn") <= fit_rows)
-    last = ranked.groupBy("lang").agg(F.max("h").alias("h")).collect()
-    chosen = F.lit(False)
-    for r in last:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.col("h") <= r["h"]))
-    sample = rows.where(chosen).groupBy("lang", "h").agg(F.any_value("text").alias("text")).collect()
-    return fit([(r["lang"], r["text"]) for r in sorted(sample, key=lambda r: (r["lang"], r["h"]))], known=known)
+    # the first hashes lie under a bound that about four times as many pass; few are ordered, of any language
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
+    bounds = {r["lang"]: min((1 << 63) - 1, (4 * fit_rows + 100) * (1 << 64) // max(1, r["n"]) - (1 << 63)) for r in sizes}
+    ranked = rows.where(_under(bounds)).select("lang", "h").distinct().withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rn") <= fit_rows)
+    last = {r["lang"]: r["h"] for r in ranked.groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    sample = rows.where(_under(last)).groupBy("lang", "h").agg(F.any_value("text").alias("text")).select("lang", "text")
+    words: dict[str, Counter] = {lang: Counter() for lang in last}
+    for r in sample.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy("lang", "word").toLocalIterator():
+        if r["word"] is not None:
+            words[r["lang"]][r["word"]] = r["n"]
+    return fit_words(words, known=known)
 
 
 def label_languages(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH, keep_spans: bool = False) -> DataFrame:

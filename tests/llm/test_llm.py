@@ -473,7 +473,9 @@ def test_main_text_of_hand_labelled_pages(spark):
 
 
 def test_a_very_long_page():
-    own = html.Extractor(html.fit_labeller([PAGE.replace("First", f"First {i}") for i in range(20)]))
+    from hand_labelled import PAGES
+
+    own = html.Extractor(html.fit_labeller([page for page, _ in PAGES] * 4))
     n = html.BLOCKS_AT_ONCE + 500
     page = "<nav><a href=x>Home</a></nav><article>" + "".join(f"<p>paragraph {i} of the text.</p>" for i in range(n)) + "</article><footer>me</footer>"
     assert own.texts([page, ""]) == ["\n".join(f"paragraph {i} of the text." for i in range(n)), ""]
