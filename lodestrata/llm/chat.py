@@ -66,20 +66,24 @@ def reply_paths(messages: DataFrame, *, paths_per_tree: int = 1, scratch: Scratc
     known = messages.select(F.col("conv_id").alias("c"), F.col("msg").alias("p"))
     links = messages.where("parent < msg").join(known, same("parent", "p"), "left_semi").select(F.col("conv_id").alias("c"), F.col("msg").alias("m"), F.col("parent").alias("up"))
     # the message 2**k steps up, the farthest one known, and the scores from here to below the former
-    jump = messages.select("conv_id", "msg", F.coalesce("score", F.lit(0.0)).alias("total")).join(links, same("msg", "m"), "left")
-    levels = [scratch.keep(jump.select("conv_id", "msg", "up", F.coalesce("up", "msg").alias("root"), "total"))]
-    while not (jump := levels[-1]).where("up is not null").isEmpty():
-        hop = jump.select(F.col("conv_id").alias("c"), F.col("msg").alias("m"), F.col("up").alias("up_"), F.col("root").alias("root_"), F.col("total").alias("more"))
-        levels.append(scratch.keep(jump.join(hop, same("up", "m"), "left").select("conv_id", "msg", F.col("up_").alias("up"), F.coalesce("root_", "root").alias("root"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"))))
+    state = messages.select("conv_id", "msg", F.coalesce("score", F.lit(0.0)).alias("total")).join(links, same("msg", "m"), "left")
+    state = scratch.keep(state.select("conv_id", "msg", "up", F.coalesce("up", "msg").alias("root"), "total"))
+    levels, ended = [state.where("up is not null")], state.where("up is null")
+    while not levels[-1].isEmpty():
+        # only messages that are not at their root go on; those they meet may have ended
+        hop = levels[-1].unionByName(ended).select(F.col("conv_id").alias("c"), F.col("msg").alias("m"), F.col("up").alias("up_"), F.col("root").alias("root_"), F.col("total").alias("more"))
+        state = scratch.keep(levels[-1].join(hop, same("up", "m")).select("conv_id", "msg", F.col("up_").alias("up"), F.col("root_").alias("root"), (F.col("total") + F.col("more")).alias("total")))
+        levels.append(state.where("up is not null"))
+        ended = ended.unionByName(state.where("up is null"))
     # the leaves are the messages that none answers
-    answered = levels[0].where("up is not null").select(F.col("conv_id").alias("c"), F.col("up").alias("p")).distinct()
-    branch = jump.join(answered, same("msg", "p"), "left_anti").withColumn("rank", F.row_number().over(Window.partitionBy("conv_id", "root").orderBy(F.desc("total"), "msg")))
+    answered = levels[0].select(F.col("conv_id").alias("c"), F.col("up").alias("p")).distinct()
+    branch = ended.join(answered, same("msg", "p"), "left_anti").withColumn("rank", F.row_number().over(Window.partitionBy("conv_id", "root").orderBy(F.desc("total"), "msg")))
     path = scratch.keep(branch.where(F.col("rank") <= paths_per_tree).select("conv_id", "root", F.col("msg").alias("leaf"), "rank", "msg", F.lit(0).cast("long").alias("back")))
     for k, level in enumerate(levels[:-1]):
-        hop = level.where("up is not null").select(F.col("conv_id").alias("c"), F.col("msg").alias("m"), "up")
+        hop = level.select(F.col("conv_id").alias("c"), F.col("msg").alias("m"), "up")
         further = path.join(hop, same("msg", "m")).select("conv_id", "root", "leaf", "rank", F.col("up").alias("msg"), (F.col("back") + 2**k).alias("back"))
         path, before = scratch.keep(path.unionByName(further)), path
-        scratch.drop(before, level)
+        scratch.drop(before)
     return path
 
 
