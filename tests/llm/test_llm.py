@@ -163,7 +163,7 @@ def test_fingerprints_follow_the_next_document(spark):
     texts = {i: "\n".join(" ".join(random.choice("abcdefghij") * random.randrange(1, 9) for _ in range(random.randrange(1, 30))) for _ in range(random.randrange(1, 12))) for i in range(0, 300, 3)}
     texts[30] = texts[27]
     got = {r.doc_id: r for r in fingerprints.version_fingerprints(docs(spark, [(i, t, None, None) for i, t in texts.items()])).collect()}
-    order = sorted(texts, reverse=True)
+    order, digests = sorted(texts, reverse=True), {}
     for k, i in enumerate(order):
         t, after = texts[i], texts[order[(k + 1) % len(order)]]
         edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
@@ -175,8 +175,33 @@ def test_fingerprints_follow_the_next_document(spark):
         for other, near in ((edited, got[i].near_edited), (after, got[i].near_next)):
             a, b = parts(t, w(t, other)), parts(other, w(t, other))
             assert near == pytest.approx(len(a & b) / len(a | b))
+            if other is edited:  # what peeling recovers is what one version alone has
+                assert len(got[i].edited_digests) == len(set(got[i].edited_digests)) == len(a ^ b)
+                digests.setdefault(i, (a ^ b, got[i].edited_digests))
     assert got[30].fingerprint == got[27].fingerprint and got[30].near_next == 1.0
     assert len({r.fingerprint for r in got.values()}) == len(set(texts.values()))
+    listed = spark.createDataFrame([(i, sorted(own)) for i, (own, _) in digests.items()], "i long, p array<string>")
+    for r in listed.select("i", F.array_sort(F.transform("p", lambda p: fingerprints._checked(F.xxhash64(p)))).alias("d")).collect():
+        assert r.d == digests[r.i][1]
+
+
+def test_ids_that_many_rows_share(spark):
+    rows = [(None, f"n{i}", None, None) for i in range(90)] + [(7, f"s{i}", None, None) for i in range(90)] + [(i, f"t{i}", None, None) for i in range(20)] + [(3, "t3", None, None)] * 2
+    found = fingerprints.with_next(docs(spark, rows).withColumns({"tie": F.lit(1), "bucket": F.lit("b"), "place": F.lit(2)}), buckets=12)
+    got = found.withColumn("k", F.xxhash64("text")).collect()
+    order = sorted(got, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.k))
+    assert len(got) == len(rows)
+    assert sorted(r.next_text for r in got) == sorted(t for _, t, _, _ in rows)
+    step = {(r.doc_id, r.text): {n.next_text for n in got if (n.doc_id, n.text) == (r.doc_id, r.text)} for r in got}
+    for r, after in zip(order, order[1:] + order[:1], strict=True):
+        assert after.text in step[r.doc_id, r.text]
+
+
+def test_a_text_of_many_lines(spark):
+    rows = [(i, "\n".join(f"line {k} {i if k % 9 == 0 else ''}" for k in range(5000)), None, None) for i in range(2)]
+    a, b = ({f"line {k} {i if k % 9 == 0 else ''}" for k in range(5000)} for i in range(2))
+    got = fingerprints.version_fingerprints(docs(spark, rows)).collect()
+    assert [r.near_next for r in got] == [pytest.approx(len(a & b) / len(a | b))] * 2
 
 
 # 5
