@@ -54,13 +54,14 @@ def test_odd_rows_pass_every_operation(spark):
 
 
 # 1
-def test_near_vectors_match_brute_force(spark):
+@pytest.mark.parametrize("together", [None, 1, 2])
+def test_near_vectors_match_brute_force(spark, together):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(40, 16))
     v = [centres[i % 40] + rng.normal(scale=0.05, size=16) for i in range(400)] + [centres[0]] * 5
     rows = [(i, x.tolist()) for i, x in enumerate(v)]
     odd = [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, []), (904, [1.0, 2.0]), (905, [2.0, 4.0]), (906, [None] * 16), (907, [1e300] * 16), (None, [1.0] * 16)]
-    got = {r.vec_id: r for r in neighbours.near_vectors(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>"), block=64).collect()}
+    got = {r.vec_id: r for r in neighbours.near_vectors(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumns({"e": F.lit("clash"), "key": F.lit(1), "rep": F.lit("r"), "weight": F.lit(0)}), block=64, together=together).collect()}
     unit = np.array(v) / np.linalg.norm(v, axis=1)[:, None]
     links = unit @ unit.T >= 0.95
     np.fill_diagonal(links, False)
@@ -74,7 +75,23 @@ def test_near_vectors_match_brute_force(spark):
     assert [got[i].n_links for i in (900, 901, 902, 903, 904, 905, 906)] == [0, 0, 0, 0, 1, 1, 0]
     assert got[905].component_id == 904 and not got[905].kept and got[900].kept
     assert got[None].n_links == 0
+    if together:
+        return
     assert neighbours.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    mixed = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (3, [5.0, 0.0]), (4, [1.0] * 5000), (5, [2.0] * 5000), (6, [1.0])] + [(10 + n, [1.0] * (n + 3)) for n in range(6)]
+    got = {(r.vec_id, r.n_links, r.component_id) for r in neighbours.near_vectors(spark.createDataFrame(mixed, "vec_id long, embedding array<double>")).collect()}
+    assert got == {(1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 4), (5, 1, 4), (6, 0, 6)} | {(10 + n, 0, 10 + n) for n in range(6)}
+
+
+def test_recall_at_several_sizes(spark):
+    for n in (300, 3000):
+        rng = np.random.default_rng(n)
+        centres = rng.normal(size=(n // 6, 32))
+        v = centres[np.arange(n) % len(centres)] + rng.normal(scale=0.12, size=(n, 32)) * rng.uniform(0.2, 1.6, size=(n, 1))
+        unit = v / np.linalg.norm(v, axis=1)[:, None]
+        links = np.triu(unit @ unit.T >= 0.95, 1).sum()
+        got = neighbours.near_vectors(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).agg(F.sum("n_links")).first()[0]
+        assert 2 * links >= got >= 0.9 * 2 * links > 0
 
 
 # 2
