@@ -3,14 +3,18 @@
 Both work on words: a pre-token of the byte-level vocabulary, or a run of
 characters across whose border no piece of the SentencePiece vocabulary
 reaches. A word's result is kept in the Python worker, in two tables of at most
-``CACHE_WORDS`` words together, of which the older is dropped when both are full. Rows are handled
+``CACHE_WORDS`` words together, of which the older is dropped when both are full;
+words of more than ``LONG_WORD`` characters are computed each time they are met,
+so that the tables are bounded in bytes too. Rows are handled
 in Arrow batches where they lie: there is no shuffle, and a lost executor's
 batches are simply computed again. Vocabulary files are read on every executor
 from ``path``.
 
 Defined results: a null text is an empty text, of 0 tokens; repeated rows and
 null ids are counted row by row; an empty table gives no rows; texts of any
-length are taken whole.
+length are taken whole; other columns are left out, whatever their names. The
+ids of each new word, and of one text of every batch as a whole, are held
+against the library's; a difference is an error that ends the job, never mended.
 """
 
 from __future__ import annotations
@@ -22,12 +26,14 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.workers import resident
 
 CACHE_WORDS = 300_000
+LONG_WORD = 256
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -86,6 +92,8 @@ class PairCounter(dict):
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
 
     def __missing__(self, word: str) -> int:
+        if len(word) > LONG_WORD:
+            return merged_length([self.letters[b] for b in word.encode()], self.ranks)
         if len(self) >= CACHE_WORDS // 2:  # words not met since the last time are forgotten
             self.older = dict(self)
             self.clear()
@@ -115,9 +123,9 @@ def count_tokens(docs: DataFrame, *, path: str, id_col: str = "doc_id", text_col
         counter = pair_counter(path)
         for batch in batches:
             texts = batch.column(1)
-            sizes = pa.compute.cast(pa.compute.binary_length(texts), pa.int64())
+            sizes = pc.cast(pc.binary_length(texts), pa.int64())
             tokens = pa.array([counter.count(t.as_py()) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, tokens, pa.compute.greater(tokens, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, tokens, pc.greater(tokens, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return rows.mapInArrow(counted, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
@@ -154,7 +162,6 @@ class PieceCoder(dict):
         self.older: dict[str, str] = {}
         self.odd: dict[str, str] = {}
         self.fresh: list[str] = []
-        self.mended = 0
 
     def encoded(self, word: str) -> list[int]:
         symbols, scores = list(word), self.scores
@@ -201,19 +208,23 @@ class PieceCoder(dict):
         self[word] = found
         return found
 
-    def check(self) -> None:
-        """Hold the new words of a batch against the library; where they differ
-        the library's ids count. The library adds a space in front, so words
-        without one are asked after a line break, which no piece spans."""
+    def check(self, text: str, ids: str) -> None:
+        """Hold a whole text, and the new words of a batch, against the library.
+        It adds a space in front, so words without one are asked after a line
+        break, which no piece spans."""
+        if ids != ",".join(map(str, self.library.encode(text))):
+            raise ValueError(f"ids differ from the library's for the text {text[:200]!r}")
         if self.fresh:
             lead = len(self.library.encode("\n"))
             # a lone space is what the library puts before a line break
             asked = ["\n" if w == SPACE else w[1:].replace(SPACE, " ") if w[0] == SPACE else "\n" + w for w in self.fresh]
-            for word, ids in zip(self.fresh, self.library.encode(asked, num_threads=1), strict=True):
-                ids = ids[: lead - 1] if word == SPACE else ids if word[0] == SPACE else ids[lead:]
-                if ",".join(map(str, ids)) != self[word]:
-                    self._put(word, ids)
-                    self.mended += 1
+            for word, want in zip(self.fresh, self.library.encode(asked, num_threads=1), strict=True):
+                want = want[: lead - 1] if word == SPACE else want if word[0] == SPACE else want[lead:]
+                if ",".join(map(str, want)) != self[word]:
+                    raise ValueError(f"ids differ from the library's for the word {word[:200]!r}")
+            for word in [w for w in self.fresh if len(w) > LONG_WORD]:
+                del self[word]
+                self.odd.pop(word, None)
             self.fresh.clear()
         if len(self) > CACHE_WORDS // 2:  # words not met since the last time are forgotten
             self.older = dict(self)
@@ -249,10 +260,7 @@ def encode_pieces(docs: DataFrame, *, path: str, id_col: str = "doc_id", text_co
                 batch = whole.slice(at, at_once)
                 texts = batch.column(1).to_pylist()
                 found = [coder.code(t) for t in texts]
-                mended = coder.mended
-                coder.check()
-                if coder.mended > mended:
-                    found = [coder.code(t) for t in texts]
+                coder.check(texts[0], found[0][0])
                 digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
                 columns = [batch.column(0), pa.array([ids.count(",") + 1 if ids else 0 for ids, _ in found], pa.int64()), pa.array([digest(ids) for ids, _ in found], pa.string()), pa.array([digest(text) for _, text in found], pa.string())]
                 if keep_ids:
