@@ -10,8 +10,10 @@ are verified on their whole sets.
 
 1. Frequencies: one pass counts all shingles of all documents in 2**bits
    counters by hash; tasks send their counters compressed, and their sum has a
-   fixed size (``bits``), which bounds what is broadcast. Counters that several
-   shingles share only blur the order, never the result.
+   fixed size (``bits``, from 2**22 counters to 2**24 by the number of rows),
+   which bounds what is broadcast. Counters are kept on a scale of logarithms,
+   so none is ever full. Counters that several shingles share only blur the
+   order, never the result.
 2. Prefixes: a second pass writes each document's set size, set hash and prefix.
    Equal sets become one representative there, so copies form no pairs.
 3. Candidates: prefixes join on shingle, with bounds on size, position and
@@ -25,7 +27,9 @@ are verified on their whole sets.
 
 Defined results: a null text, or one without words, has an empty set and links
 with nothing; a null id links with nothing and has no component; repeated rows
-are copies; an empty table gives no rows. Shingles are compared as 64-bit hashes.
+are copies; rows of one id with different texts share a component; an empty
+table gives no rows; other columns are left out, whatever their names; texts of
+any length are taken whole. Shingles are compared as 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -51,8 +55,12 @@ VERIFY_COST = 16.0
 LONG_LIST = 24
 LIST_BLOCK = 512
 SIGNATURE_BITS = 2048
-#: A prime; ids are told apart by their residues where texts are passed over.
-ID_BITS = 16_777_213
+#: Counters are doubled up to this power of two as documents grow.
+MOST_BITS = 24
+#: Steps of a counter's value for each doubling of the count.
+STEPS = 2048
+#: Primes; ids are told apart by their residues where texts are passed over.
+ID_BITS = (16_777_213, 134_217_689)
 
 
 def _count(words: int, bits: int):
@@ -86,11 +94,12 @@ def _sum(table: pa.Table) -> pa.Table:
     for packed in table["counts"]:
         part = np.frombuffer(zlib.decompress(packed.as_py()), np.uint32)
         total[: len(part)] += part
-    return pa.table({"piece": table["piece"][:1].combine_chunks(), "counts": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
+    return pa.table({"piece": table["piece"][:1].combine_chunks(), "counts": pa.array([np.minimum(np.log2(total.astype(np.float64) + 1) * STEPS, 65535).astype(np.uint16).tobytes()], pa.binary())})
 
 
 def shingle_frequencies(texts: DataFrame, words: int, bits: int = BITS) -> np.ndarray:
-    """Documents counted per counter, at most 65535, of the one text column."""
+    """Documents counted per counter of the one text column, as STEPS times the
+    logarithm of one more; counts up to some thousands have values of their own."""
     parts = texts.mapInArrow(_count(words, bits), "piece int, counts binary").groupBy("piece").applyInArrow(_sum, "piece int, counts binary").collect()
     out = np.zeros(max(PIECE, 1 << bits), np.uint16)
     for p in parts:
@@ -111,7 +120,8 @@ def _prefixes(sent, words: int, percent: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         frequency = np.frombuffer(sent.value, np.uint16)
-        usual = float(frequency.mean())
+        counted = lambda values: np.exp2(values / STEPS) - 1
+        usual = float(counted(frequency.astype(np.float32)).mean())
         for batch in batches:
             out = []
             for one in shingle_sets(batch.column(1), words):
@@ -123,7 +133,7 @@ def _prefixes(sent, words: int, percent: int, bits: int):
                 need = -(-percent * n // 100)
                 base = n - need + 1
                 order = np.argsort((rank.astype(U) << U(48)) | (one >> U(16)), kind="stable")[: base + MOST_MATCHES - 1]
-                costs = np.maximum(rank[order] - 1.5 * usual - 2, 0)
+                costs = np.maximum(counted(rank[order]) - 1.5 * usual - 2, 0)
                 ell = chosen_matches(costs, base, max(1, min(MOST_MATCHES, need)))
                 sums = (int(mixed(one).sum(dtype=U)), int(np.bitwise_xor.reduce(mixed(one * U(0xD6E8FEB86659FD93)))))
                 out.append((n, *(s - (1 << 64) if s >> 63 else s for s in sums), ell, one[order[: base + ell - 1]].view(np.int64)))
@@ -135,11 +145,12 @@ def _prefixes(sent, words: int, percent: int, bits: int):
 
 
 def _wanted(pairs: DataFrame) -> bytes:
-    """A bit for each residue of the ids of ``pairs`` modulo ID_BITS: two
-    megabytes at most, whatever the number of pairs."""
-    ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).select((F.pmod("id", F.lit(ID_BITS)) + 1).alias("b"))
+    """A bit for each residue of the ids of ``pairs`` modulo one of ID_BITS: two
+    megabytes, or sixteen where there are many pairs, whatever their number."""
+    modulus = ID_BITS[pairs.count() > ID_BITS[0] // 16]
+    ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).select((F.pmod("id", F.lit(modulus)) + 1).alias("b"))
     rows = ids.groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits")).collect()
-    out = bytearray((ID_BITS // 32768 + 2) * 4096)
+    out = bytearray((modulus // 32768 + 2) * 4096)
     for r in rows:
         out[(r["k"] - 1) * 4096 : r["k"] * 4096] = bytes(r["bits"])
     return bytes(out)
@@ -148,9 +159,10 @@ def _wanted(pairs: DataFrame) -> bytes:
 def _sets(words: int, sent, signatures: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(np.frombuffer(sent.value, np.uint8), bitorder="little").astype(bool)
+        modulus = next(m for m in ID_BITS if (m // 32768 + 2) * 32768 == len(wanted))
         for batch in batches:
             ids = batch.column(0).fill_null(-1).to_numpy()
-            at = np.flatnonzero(wanted[np.mod(ids, ID_BITS)] & batch.column(0).is_valid().to_numpy(zero_copy_only=False))
+            at = np.flatnonzero(wanted[np.mod(ids, modulus)] & batch.column(0).is_valid().to_numpy(zero_copy_only=False))
             if not len(at):
                 continue
             batch = batch.take(pa.array(at))
@@ -332,11 +344,12 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
     return joined.groupBy(c("a.rep").alias("x"), c("b.rep").alias("y")).agg(F.count(F.lit(1)).alias("found"), need.alias("need")).where("found >= need").select("x", "y", "found")
 
 
-def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bits: int = BITS, long_list: int = LONG_LIST, list_block: int = LIST_BLOCK) -> DataFrame:
+def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bits: int | None = None, long_list: int = LONG_LIST, list_block: int = LIST_BLOCK) -> DataFrame:
     """Per document: (doc_id, n_shingles, component_id)."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    bits = bits or min(MOST_BITS, max(BITS, rows.count().bit_length() + 2))
     sent = spark.sparkContext.broadcast(shingle_frequencies(rows.select("text"), words, bits).tobytes())
     made = scratch.keep(rows.mapInArrow(_prefixes(sent, words, percent, bits), "doc_id long, n long, s1 long, s2 long, ell int, prefix array<long>"))
 
@@ -371,7 +384,7 @@ def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = keys.join(named, ["n", "s1", "s2"], "left")
     known = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), known.alias("component_id"))
+    return scratch.only(out.select("doc_id", F.col("n").alias("n_shingles"), known.alias("component_id")))
 
 
 def keep_one_of_each(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
@@ -388,5 +401,5 @@ def keep_one_of_each(docs: DataFrame, *, words: int = 5, percent: int = 80) -> D
     each = first.groupBy("component_").agg(F.min("node_").alias("node_"), F.count(F.lit(1)).alias("n_"))
     tied = first.join(each.where("n_ > 1").select("component_"), "component_").select("node_", "component_")
     broken = own.select("node_", "text").join(tied, "node_").groupBy("component_").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "node_"))["node_"].alias("node_"))
-    kept = each.where("n_ = 1").select("node_").union(broken.select("node_"))
+    kept = scratch.only(each.where("n_ = 1").select("node_").union(broken.select("node_")))
     return docs.where("doc_id is null").unionByName(own.join(kept, "node_", "left_semi").dropDuplicates(["node_"]).drop("node_"))

@@ -279,6 +279,23 @@ def test_pieces_match_the_library(spark):
         assert got[i].decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
 
 
+def test_a_broken_agenda_is_an_error():
+    coder = tokens.PieceCoder(public_tokenizers.path("piece_bpe_32k.model"))
+    long = "x" * 2000 + "é" * 999
+    for text in ("one two", long, "a " + long):
+        ids, back = coder.code(text)
+        coder.check(text, ids)
+        assert back == coder.library.decode(coder.library.encode(text))
+    assert all(len(w) <= tokens.LONG_WORD for w in coder)
+    with pytest.raises(ValueError):
+        coder.check("one two", "1,2")
+    coder.scores = {piece: -score for piece, score in coder.scores.items()}
+    one = coder.code("one")[0]
+    coder.code("unbelievable international understanding")
+    with pytest.raises(ValueError):
+        coder.check("one", one)
+
+
 # 7
 def brute_spans(text):
     out = []
