@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.text import HAN, WS, occurrences
 from lodestrata.operators.audit import shingled
+from lodestrata.operators.names import name_hits
 from lodestrata.operators.turns import islands, lines, sections
 
 #: Thresholds that behaviour does not fix.
@@ -90,7 +91,8 @@ def substituted_entities(source: DataFrame, refined: DataFrame, glossary: DataFr
     """(id, turn_no, canonical): canonicals of (canonical, variants) in
     refined turns whose anchor has none of their forms; those that are frequent
     in the refined text are left out."""
-    said = refined.join(glossary, F.contains("text", F.col("canonical"))).withColumn("n", F.sum(occurrences(F.col("text"), F.col("canonical"))).over(Window.partitionBy(id_col, "canonical")))
+    hits = name_hits(refined, [id_col, "turn_no"], "text", glossary.select("canonical", "variants"), "canonical")
+    said = hits.join(refined.select(id_col, "turn_no", "text"), [id_col, "turn_no"]).withColumn("n", F.sum(occurrences(F.col("text"), F.col("canonical"))).over(Window.partitionBy(id_col, "canonical")))
     few = said.where(F.col("n") <= MOST_SUBSTITUTED).select(id_col, "turn_no", "canonical", "variants")
     at = few.join(anchored(source, refined, id_col), [id_col, "turn_no"]).join(source.select(id_col, F.col("turn_no").alias("source_no"), F.col("text").alias("source_text")), [id_col, "source_no"])
     forms = F.concat(F.array("canonical"), "variants")
@@ -103,7 +105,7 @@ def merge_review(pairs: DataFrame, glossary: DataFrame, id_col: str) -> DataFram
     source, refined); spellings that differ by spaces and hyphens are no matter."""
     plain = lambda c: F.regexp_replace(F.lower(c), rf"[-_·]|{WS}", "")
     g = glossary.where(plain(F.col("variant")) != plain(F.col("canonical")))
-    met = pairs.join(g, F.contains("source", F.col("variant")))
+    met = name_hits(pairs, [id_col], "source", g.select("canonical", "variant"), "variant").join(pairs, id_col)
     n = lambda text, name: occurrences(F.col(text), F.col(name))
     counts = met.select(id_col, F.col("variant").alias("from"), F.col("canonical").alias("to"), n("source", "variant").alias("source_from"), n("source", "canonical").alias("source_to"), n("refined", "variant").alias("refined_from"), n("refined", "canonical").alias("refined_to"))
     gone = (F.col("source_from") > 0) & (F.col("refined_from") == 0) & (F.col("refined_to") > F.col("source_to"))
@@ -112,7 +114,8 @@ def merge_review(pairs: DataFrame, glossary: DataFrame, id_col: str) -> DataFram
 
 def missing_marks(docs: DataFrame, people: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Lines that name an unverified person (name) without a mark of doubt."""
-    met = lines(docs, id_col, text_col).join(people, F.contains("line", F.col("name")))
+    rows = lines(docs, id_col, text_col)
+    met = name_hits(rows, [id_col, "line_no"], "line", people.select("name"), "name").join(rows.select(id_col, "line_no", "line"), [id_col, "line_no"])
     return met.where(~F.col("line").rlike("（音）|\\(音\\)|（待核")).select(id_col, "name", "line_no")
 
 
@@ -177,3 +180,13 @@ def localised(flags: DataFrame, spans: DataFrame, id_col: str) -> DataFrame:
 def lost_runs(share: DataFrame, id_col: str, floor: Column) -> DataFrame:
     """W4 over anchors: runs of source turns below a floor."""
     return islands(share.withColumn("lost", F.col("matched") < floor), [id_col], "turn_no", "lost").where("lost").drop("lost")
+
+
+def heading_level(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, level): the heading level that sections are cut at: two, unless
+    fewer than three such headings stand there and a deeper level has more."""
+    marks = lines(docs, id_col, text_col).select(id_col, F.length(F.regexp_extract("line", r"\A(#{2,6}) ", 1)).alias("depth")).where("depth >= 2")
+    n = marks.groupBy(id_col, "depth").count()
+    per = n.groupBy(id_col).agg(F.coalesce(F.sum(F.when(F.col("depth") == 2, F.col("count"))), F.lit(0)).alias("two"), F.max(F.when(F.col("depth") > 2, F.struct("count", -F.col("depth")))).alias("deep"))
+    deeper = (F.col("two") < 3) & (F.col("deep.count") > F.col("two"))
+    return per.select(id_col, F.when(F.coalesce(deeper, F.lit(False)), -F.col("deep.col2")).otherwise(2).cast("long").alias("level"))

@@ -8,11 +8,12 @@ behaviour does not fix are constants here.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lodestrata.functions.text import HAN, WS, content_length, occurrences
+from lodestrata.operators.names import name_hits
 from lodestrata.operators.turns import islands, lines
 
 COMPRESSION_FLOOR = 0.55
@@ -34,6 +35,11 @@ CLEAN_RULES = (
     ("empty_phrase", "(这个|那个|就是说|然后呢)", "soft"),
 )
 MODEL_MARKS = r"（(此处|以下|略|省略|内容)[^）]*）|\[(略|省略|omitted)\]|<!-- *(omitted|gap)"
+#: Empty words of which a refined text should keep few, and how many must be there to tell.
+EMPTY_WORDS = "(就是说|这个|那个|然后呢|的话|对吧|嗯|呃)"
+EMPTY_LEAST, EMPTY_REDUCTION = 4, 0.25
+#: Rules that fail a pair; the others are reported.
+GATES = ("content_gap", "quote_style", "compression", "under_refined", "ending_missing")
 HEDGES = "(我觉得|可能|大概|也许|应该|好像|似乎|据说|估计|差不多|左右)"
 
 
@@ -79,7 +85,8 @@ def pair_ratios(source: Column, refined: Column, summary: bool = False) -> dict[
 
 def ghost_names(docs: DataFrame, glossary: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Variants (canonical, variant) that stand in a text outside their canonical."""
-    met = docs.join(glossary, F.contains(F.col(text_col), F.col("variant")) & (F.col("variant") != F.col("canonical")))
+    hits = name_hits(docs, [id_col], text_col, glossary.where(F.col("variant") != F.col("canonical")).select("canonical", "variant"), "variant")
+    met = hits.join(docs.select(id_col, text_col), id_col)
     left = occurrences(F.replace(F.col(text_col), F.col("canonical"), F.lit("")), F.col("variant"))
     return met.select(id_col, "canonical", "variant", left.alias("n")).where("n > 0")
 
@@ -98,11 +105,14 @@ def shingled(rows: DataFrame, keys: list[str], text_col: str, words: bool, k: in
 
 def matched_turns(turns: DataFrame, refined: DataFrame, id_col: str, words: bool) -> DataFrame:
     """(id, turn_no, matched): the share of a turn's shingles that the
-    refined text holds. ``turns`` has (id, turn_no, text), ``refined`` (id, text)."""
-    have = shingled(refined, [id_col], "text", words).distinct()
+    refined text holds. ``turns`` has (id, turn_no, text), ``refined`` (id, text).
+    Both sides meet in one aggregate by (id, shingle): a shingle's row says
+    whether the refined text has it and which turns do."""
     mine = shingled(turns, [id_col, "turn_no"], "text", words)
-    found = mine.join(have.withColumn("found", F.lit(1)), [id_col, "shingle"], "left")
-    return found.groupBy(id_col, "turn_no").agg((F.count("found") / F.count(F.lit(1))).alias("matched"))
+    have = shingled(refined, [id_col], "text", words).select(id_col, F.lit(None).cast(mine.schema["turn_no"].dataType).alias("turn_no"), "shingle")
+    met = mine.unionByName(have).groupBy(id_col, "shingle").agg(F.bool_or(F.col("turn_no").isNull()).alias("found"), F.collect_set("turn_no").alias("turns"))
+    each = met.select(id_col, F.explode("turns").alias("turn_no"), F.col("found").cast("int").alias("found"))
+    return each.groupBy(id_col, "turn_no").agg((F.sum("found") / F.count(F.lit(1))).alias("matched"))
 
 
 def coverage_gaps(turns: DataFrame, refined: DataFrame, id_col: str, words: bool) -> DataFrame:
@@ -132,11 +142,20 @@ def cross_file_conflicts(observed: DataFrame, file: str, *keys: str) -> DataFram
     """Conflicts between different files: each file's own extremes are
     compared with those of the others."""
     per = observed.groupBy(*keys, file).agg(F.max("lo").alias("lo"), F.min("hi").alias("hi"))
-    ends = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_files"), F.slice(F.sort_array(F.collect_list(F.struct("lo", file)), False), 1, 2).alias("tops"), F.slice(F.sort_array(F.collect_list(F.struct("hi", file))), 1, 2).alias("lows"))
+    # only the two largest lows and the two smallest highs of a key can tell
+    w = lambda *order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    ranked = per.withColumns({"top": w(F.desc("lo"), file), "low": w("hi", file)})
+    two = lambda c, at: F.collect_list(F.when(F.col(at) <= 2, F.struct(c, file)))
+    ends = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_files"), two("lo", "top").alias("tops"), two("hi", "low").alias("lows"))
     apart = F.exists("tops", lambda t: F.exists("lows", lambda u: (t[file] != u[file]) & (t["lo"] > u["hi"])))
     return ends.where(apart).select(*keys, "n_files")
 
 
+def most_conflicts(conflicts: DataFrame, key: str, order: str, n: int = MOST_CONFLICTS) -> DataFrame:
+    """The first conflicts of each document, so that a list stays readable."""
+    return conflicts.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("rn") <= n).drop("rn")
+
+
 def unmatched_figures(derived: DataFrame, corpus: DataFrame) -> DataFrame:
     """(id, value) of a derived text that the corpus (value) does not hold."""
     return derived.join(corpus.select("value").distinct(), "value", "left_anti")
@@ -175,3 +194,78 @@ def order_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return best[-1] / max(len(x), len(y), 1)
 
     return pd.Series([one(list(x), list(y)) for x, y in zip(a, b, strict=True)])
+
+
+def under_refined(source: Column, refined: Column) -> dict[str, tuple[Column, str]]:
+    """The length is kept, and so are nearly all the empty words."""
+    before, after = (F.regexp_count(c, F.lit(EMPTY_WORDS)) for c in (source, refined))
+    kept = content_length(refined) >= COMPRESSION_FLOOR * content_length(source)
+    return {"under_refined": (F.when(kept & (before >= EMPTY_LEAST) & ((before - after) / before < EMPTY_REDUCTION), 1).otherwise(0), "hard")}
+
+
+def turn_ratio(source_turns: DataFrame, refined_turns: DataFrame, id_col: str) -> DataFrame:
+    """(id, source_turns, refined_turns, ratio): reported, never a gate."""
+    n = lambda t, name: t.groupBy(id_col).agg(F.count(F.lit(1)).alias(name))
+    both = n(source_turns, "source_turns").join(n(refined_turns, "refined_turns"), id_col, "left").withColumn("refined_turns", F.coalesce("refined_turns", F.lit(0).cast("long")))
+    return both.withColumn("ratio", F.col("refined_turns") / F.col("source_turns"))
+
+
+def pair_audit(pairs: DataFrame, id_col: str, more: DataFrame | None = None, summary: bool = False) -> DataFrame:
+    """(id, status, failed, findings) of pairs (id, source, refined): the
+    rules of a pair and of its refined text, and findings made elsewhere (id,
+    name, severity, n) such as gaps and missing endings, in one list. A summary
+    passes no gates."""
+    source, refined = F.col("source"), F.col("refined")
+    rules = pair_ratios(source, refined, summary) | ({} if summary else under_refined(source, refined)) | quote_style(refined) | label_style(refined)
+    body = pairs.withColumn("refined_body", prose(refined))
+    clean = {name: (F.regexp_count(F.col("refined_body"), F.lit(pattern)), severity) for name, pattern, severity in CLEAN_RULES}
+    found = findings(body, id_col, rules | clean)
+    if more is not None:
+        found = found.unionByName(more.select(id_col, "name", "severity", F.col("n").cast("long").alias("n")))
+    gate = F.lit(False) if summary else (F.col("severity") == "hard") & (F.col("name").isin(*GATES) | F.col("name").isin(*(n for n, _, s in CLEAN_RULES if s == "hard")))
+    per = found.groupBy(id_col).agg(F.array_sort(F.collect_set(F.when(gate, F.col("name")))).alias("failed"), F.array_sort(F.collect_list(F.struct("name", "severity", "n"))).alias("findings"))
+    out = pairs.select(id_col).join(per, id_col, "left")
+    failed = F.coalesce("failed", F.array().cast("array<string>"))
+    return out.select(id_col, F.when(F.size(failed) > 0, "fail").otherwise("ok").alias("status"), failed.alias("failed"), F.coalesce(F.size("findings"), F.lit(0)).cast("long").alias("n_findings"))
+
+
+def repair_plan(first: DataFrame, second: DataFrame, id_col: str) -> DataFrame:
+    """(id, repaired, annotated, run_failed): a pair that fails is repaired
+    once and audited again; what fails then is annotated, and the run has failed."""
+    again = second.select(id_col, F.col("status").alias("status2"))
+    both = first.join(again, id_col, "left")
+    repaired = F.col("status") == "fail"
+    still = repaired & (F.coalesce("status2", F.lit("fail")) == "fail")
+    return both.select(id_col, repaired.alias("repaired"), still.alias("annotated"), still.alias("run_failed"))
+
+
+def line_map(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, norm, line_of): a text's Han characters, remarks left out, and
+    the line of each of them."""
+    kept = F.regexp_replace(text_col, r"(?s)<!--.*?-->", "")
+    rows = docs.select(id_col, F.posexplode(F.split(kept, "\n", -1)).alias("line_no", "line"))
+    chars = rows.withColumn("h", F.regexp_extract_all("line", F.lit(HAN), F.lit(0)))
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "h")))
+    got = chars.groupBy(id_col).agg(ordered.alias("l"))
+    lines_of = F.flatten(F.transform("l", lambda x: F.array_repeat(x["line_no"].cast("long") + 1, F.size(x["h"]))))
+    return got.select(id_col, F.array_join(F.flatten(F.col("l.h")), "").alias("norm"), lines_of.alias("line_of"))
+
+
+#: Labels of where a derived figure comes from, and units that are of a size.
+INTERVIEW, PUBLIC = "【[^】]*访谈[^】]*】", "【[^】]*公开[^】]*】"
+DATE_UNITS = ("年", "月", "日")
+
+
+def derivative_attribution(corpus: DataFrame, derived: DataFrame, id_col: str) -> DataFrame:
+    """(id, line_no, value, unit, tier): figures of derived lines that no
+    corpus figure of the same unit covers. Corpus has (id, lo, hi, unit),
+    derived (id, line_no, line, lo, hi, unit, value). A figure labelled as said
+    in the interview fails, a public one is for the reporter, one without label
+    or unit is for review; dates are never flagged, and a figure counts once a line."""
+    said = corpus.select(id_col, "unit", F.col("lo").alias("c_lo"), F.col("hi").alias("c_hi")).distinct()
+    figures = derived.where(~F.coalesce("unit", F.lit("")).isin(*DATE_UNITS))
+    covered = figures.join(said, [id_col, "unit"]).where("lo >= c_lo and hi <= c_hi").select(id_col, "line_no", "value", "unit").distinct()
+    lacking = figures.join(covered, [id_col, "line_no", "value", "unit"], "left_anti")
+    public, interview = F.col("line").rlike(PUBLIC), F.col("line").rlike(INTERVIEW)
+    tier = F.when(F.col("unit") == "", "review").when(public, "reporter").when(interview, "hard").otherwise("review")
+    return lacking.select(id_col, "line_no", "value", "unit", tier.alias("tier")).distinct()

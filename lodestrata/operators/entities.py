@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import CUT_MARK, MOST_NOTES, SPACES, WARNING, is_concrete_source, is_weak_key, strip_description
+from lodestrata.functions.text import CUT_MARK, MOST_NOTES, SPACES, WARNING, is_concrete_source, is_weak_key, merge_hints, strip_description
 
 #: Titles that name nobody, as in functions.text.is_weak_key.
 WEAK = re.compile(r"[一-龥]{1,2}总|.*(?:老师|总监|经理|主管)|(?:董事长|老板|老板娘|总经理|总裁|创始人|CEO|CFO|CTO|COO|PR|嘉宾|记者|主持人|同事|领导)", re.S)
@@ -237,7 +237,8 @@ def contradictions(prior: DataFrame, fresh: DataFrame) -> DataFrame:
     """Verified prior rows with the first fresh row that shares a strong name and brings one more."""
     a = prior.where("confidence = 'verified'").select("key", "ord", "canonical", strong_names(F.col("canonical"), F.col("variants")).alias("s"))
     b = fresh.select("key", F.col("ord").alias("fresh_ord"), strong_names(F.col("canonical"), F.col("variants")).alias("t"))
-    met = a.join(b, (a["key"] == b["key"]) & F.arrays_overlap("s", "t")).where(F.size(F.array_except("t", "s")) > 0).select(a["key"], "ord", "canonical", "fresh_ord", F.array_except("t", "s").alias("writings"))
+    named = lambda d, c: d.withColumn("name", F.explode(F.array_distinct(c)))
+    met = named(a, "s").join(named(b, "t"), ["key", "name"]).where(F.size(F.array_except("t", "s")) > 0).select("key", "ord", "canonical", "fresh_ord", F.array_except("t", "s").alias("writings"))
     return met.groupBy("key", "ord", "canonical").agg(F.min_by("writings", "fresh_ord").alias("writings"))
 
 
@@ -296,3 +297,43 @@ def vote(mentions: DataFrame, keys: list[str], name: str, order: str) -> DataFra
     counted = mentions.where(F.trim(name) != "").groupBy(*keys, F.trim(name).alias("canonical")).agg(F.count(F.lit(1)).alias("votes"), F.min(order).alias("first"))
     w = Window.partitionBy(*keys).orderBy(F.desc("votes"), F.desc(F.length("canonical")), "first")
     return counted.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn", "first")
+
+
+#: The tag of a contested clause, and what stands for missing parts.
+CONTESTED_TAG, NO_TIER, NO_CORRECTION = "⚠ 同指两解：", "级别未标", "待定"
+
+
+def contested_of(entities: DataFrame, contested: DataFrame) -> DataFrame:
+    """J2's lookup: (key, ord, literal, literal_tier, correction,
+    correction_tier) of the entities that a contested conclusion (key, query,
+    ...) names; the first of an entity's names that one has decides."""
+    named = entities.select("key", "ord", "canonical", F.posexplode(names_of(F.col("canonical"), F.col("variants"))).alias("at", "query"))
+    met = named.join(contested.dropDuplicates(["key", "query"]), ["key", "query"])
+    filled = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), other)
+    info = F.struct(filled("literal", F.col("canonical")).alias("literal"), filled("literal_tier", F.lit(NO_TIER)).alias("literal_tier"), filled("correction", F.lit(NO_CORRECTION)).alias("correction"), filled("correction_tier", F.lit(NO_TIER)).alias("correction_tier"))
+    return met.groupBy("key", "ord").agg(F.min_by(info, "at").alias("info")).select("key", "ord", "info.*")
+
+
+def apply_contested(entities: DataFrame, contested: DataFrame, clause) -> DataFrame:
+    """Both readings as a clause of the hint (``clause`` of the four parts);
+    entities whose hint has one already are left as they are."""
+    info = contested_of(entities, contested)
+    said = clause(F.col("literal"), F.col("literal_tier"), F.col("correction"), F.col("correction_tier"))
+    hint = F.coalesce("hint", F.lit(""))
+    new = F.when(F.col("literal").isNull() | F.contains(hint, F.lit(CONTESTED_TAG)), F.col("hint")).otherwise(merge_hints(hint, said))
+    return entities.join(info, ["key", "ord"], "left").withColumn("hint", new).select(*entities.columns)
+
+
+def reopened_writings(*checks: DataFrame) -> DataFrame:
+    """(key, name) of every check, each once."""
+    out = checks[0].select("key", "name")
+    for c in checks[1:]:
+        out = out.unionByName(c.select("key", "name"))
+    return out.distinct()
+
+
+def tagged_findings(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings (file_ord, section, ord, text) with their file's label,
+    as one list: notes carry the label in front."""
+    met = findings.join(files.select(F.col("ord").alias("file_ord"), "label"), "file_ord")
+    return met.select("section", "file_ord", "ord", "label", F.when(F.col("section") == "notes", F.concat(F.lit("["), F.col("label"), F.lit("] "), F.col("text"))).otherwise(F.col("text")).alias("text"))

@@ -165,3 +165,24 @@ def provenance(refined_size: Column, logic_size: Column, same_order: Column, has
     """Findings on a reordered draft: longer than its text, in the same
     order, or without its sources."""
     return F.array_compact(F.array(F.when(logic_size > 1.10 * refined_size, "longer"), F.when(same_order > 0.85, "same_order"), F.when(~has_source, "no_provenance")))
+
+
+#: How much effort each stage is given where nothing else is asked for.
+EFFORTS = {"scout": "low", "verify": "high", "dedup": "high", "refine": "high", "stitch": "low", "logic": "high", "summary": "high", "timeline": "high"}
+
+
+def effort(stage: Column, asked: Column) -> Column:
+    """what was asked for (a map by stage), else the stage's own; an empty
+    string that was asked for counts."""
+    own = F.create_map(*(F.lit(x) for pair in EFFORTS.items() for x in pair))
+    return F.coalesce(F.element_at(asked, stage), F.element_at(own, stage))
+
+
+def suspect_question(members: Column, kind: Column, why: Column) -> Column:
+    """the question that a flagged group of names leaves open."""
+    return F.concat(F.lit("疑似同指（"), kind, F.lit("）："), F.array_join(members, " ／ "), F.lit(" 是否指同一对象？（"), why, F.lit("）——脚本未自动合并，请确认"))
+
+
+def contested_question(spoken: Column, literal: Column, literal_tier: Column, correction: Column, correction_tier: Column) -> Column:
+    """both readings of a contested name, for someone to decide."""
+    return F.concat(F.lit("〔同指两解〕"), spoken, F.lit("：A="), literal, F.lit("（"), literal_tier, F.lit("）；B="), correction, F.lit("（"), correction_tier, F.lit("）——正文已保留口播形并标注，请定夺"))

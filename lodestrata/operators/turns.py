@@ -14,7 +14,7 @@ LABEL = r"\A(?:\*\*)?([一-龥A-Za-z0-9·]{1,12})(?:\*\*)?[：:]"
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line_no from 1, line)."""
-    return docs.select(F.col(id_col), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("k", "line")).select(id_col, (F.col("k") + 1).cast("long").alias("line_no"), "line")
+    return docs.select(F.col(id_col), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("at_", "line")).select(id_col, (F.col("at_") + 1).cast("long").alias("line_no"), "line")
 
 
 def read_lines(docs: DataFrame, id_col: str, text_col: str, offset: int = 0, limit: int = 2000) -> DataFrame:
@@ -171,3 +171,11 @@ def oldest(verified: DataFrame, keys: list[str], date: str, order: str, n: int =
     """The n rows of the oldest dates, empty dates first."""
     w = Window.partitionBy(*keys).orderBy(F.coalesce(F.col(date), F.lit("")), order)
     return verified.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
+
+
+def batch_lists(batches: DataFrame, keys: list[str]) -> DataFrame:
+    """Each batch of ``verify_batches`` as a list of names, by section and
+    then by rank; (keys, batch, section_ord, names)."""
+    kept = batches.where("batch is not null")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"])
+    return kept.groupBy(*keys, "batch", "section_ord").agg(ordered.alias("names"))

@@ -260,13 +260,6 @@ def chunk_counts(spark, d):
     return out
 
 
-@query()
-def turn_aware_chunks(spark, d):
-    rows = _spans(spark, d).join(question_turns(spark, d), ["conv_id", "turn"])
-    talk = rows.groupBy("conv_id").agg(F.max("end_line").alias("n_lines"), F.lit(3).cast("long").alias("parts"), F.collect_list(F.struct("start_line", "q")).alias("turns"))
-    return turns.turn_chunks(talk, "conv_id")
-
-
 @query(f"""WITH s AS ({SPANS}), c AS (SELECT conv_id, max(end_line) n FROM s GROUP BY 1), p AS (SELECT conv_id, n, ceil(n / 3)::BIGINT per FROM c), r AS (SELECT *, greatest(ceil(n / per), 1)::BIGINT real FROM p), u AS (SELECT *, unnest(range(0, real)) i FROM r), k AS (SELECT conv_id, (i + 1)::BIGINT idx, i * per + 1 a, CASE WHEN i = real - 1 THEN n ELSE (i + 1) * per END b FROM u)
 SELECT s.conv_id, s.turn, s.start_line, s.end_line, k.idx FROM s JOIN k ON s.conv_id = k.conv_id AND s.start_line BETWEEN k.a AND k.b""")
 def turn_ownership(spark, d):
@@ -543,10 +536,10 @@ def cross_file_conflict(spark, d):
     return audit.cross_file_conflicts(rows, "f", "l_partkey")
 
 
-@query("""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) "value" FROM documents) SELECT DISTINCT doc_id, "value" FROM f WHERE doc_id % 2 = 1 AND "value" NOT IN (SELECT "value" FROM f WHERE doc_id % 2 = 0)""")
+@query("""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) "value" FROM documents), c AS (SELECT unnest(regexp_extract_all(text, '[0-9]+')) "value" FROM conversations UNION ALL SELECT unnest(regexp_extract_all(text, '[0-9]+')) FROM benchmark) SELECT DISTINCT doc_id, "value" FROM f WHERE "value" NOT IN (SELECT "value" FROM c)""")
 def unmatched_figures(spark, d):
-    figures = read(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("value"))
-    return audit.unmatched_figures(figures.where("doc_id % 2 = 1").distinct(), figures.where("doc_id % 2 = 0")).select("doc_id", "value")
+    figures = lambda name, *keys: read(spark, d, name).select(*keys, F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("value"))
+    return audit.unmatched_figures(figures("documents", "doc_id").distinct(), figures("conversations").union(figures("benchmark"))).select("doc_id", "value")
 
 
 @query(expected("id, title, covered", (1, "甲", 2), (1, "乙", 1), (1, "丙", 0)))
@@ -676,12 +669,6 @@ def merged_parts(spark, d):
     return report.merged_parts(df, "key").select("key", F.col("speakers.label").alias("labels"), "notes", "headings", "ending")
 
 
-@query(expected("run, text", (1, "## audit\n- a\n- b\n\n## lint\n- c"), (2, "## numbers\n- d")))
-def review_queue(spark, d):
-    rows = [(1, "lint", 0, "c"), (1, "audit", 1, "b"), (1, "audit", 0, "a"), (2, "numbers", 0, "d")]
-    return report.review_queue(spark.createDataFrame(rows, "run long, section string, priority long, text string"), "run")
-
-
 @query(expected("run, json", (1, '{"schemaVersion":1,"run":1,"topic":null,"provider":{"name":"x"}}')))
 def run_manifest(spark, d):
     df = spark.createDataFrame([(1, None, {"name": "x", "apiKey": "k", "TOKEN": "t"})], "run long, topic string, provider map<string,string>")

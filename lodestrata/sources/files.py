@@ -71,3 +71,19 @@ def checked_cases(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines, permissive, every field nullable."""
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+
+
+def search_outcome(recorded: DataFrame, k: int = 5) -> DataFrame:
+    """Recorded calls (service, status, latency_ms, reply) with their
+    results and what went wrong: an error where the status is not 200, a shape
+    error where a good reply holds no list in its service's place."""
+    listed = F.coalesce(*[F.when(F.col("service") == s, F.get_json_object("reply", path).rlike(r"\A\s*\[")) for s, (path, *_) in SEARCH_FIELDS.items()], F.lit(False))
+    results = F.coalesce(*[F.when(F.col("service") == s, search_results(F.col("reply"), s, k)) for s in SEARCH_FIELDS])
+    good = F.col("status") == 200
+    return recorded.withColumns({"results": results, "error": F.when(~good, F.concat(F.lit("HTTP "), F.col("status").cast("string"))), "shape_error": good & ~listed})
+
+
+def known_rows(rows: DataFrame, known: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Rows whose id is known, and the others, of which one is warned."""
+    ids = known.select(id_col).distinct()
+    return rows.join(ids, id_col, "left_semi"), rows.join(ids, id_col, "left_anti")

@@ -114,3 +114,21 @@ def test_run_guards():
     assert glue.scope_error(["scout"], 0) == "no files"
     assert glue.scope_error(["x"], 1) == "unknown: x"
     assert [glue.chunk_size(v) for v in ("2000", "1999", "-5", "a", "")] == [2000, None, None, None, None]
+
+
+def test_artifacts_are_written_by_run(spark, tmp_path):
+    from lodestrata.operators import report
+
+    path = f"file://{tmp_path}/artifacts"
+    rows = lambda run, text: spark.createDataFrame([(run, "review", "a", text), (run, "manifest", "b", "{}")], "run long, kind string, name string, text string")
+    for df in (rows(1, "old"), rows(2, "two"), rows(1, "new")):
+        report.write_artifacts(df, path)
+    got = {(r.run, r.kind): r.text for r in spark.read.parquet(path).collect()}
+    assert got == {(1, "review"): "new", (1, "manifest"): "{}", (2, "review"): "two", (2, "manifest"): "{}"}
+
+
+def test_deliverable_names_and_doubtful_spellings(spark):
+    df = spark.createDataFrame([("a 访谈总结",), ("b/c",)], "s string")
+    assert [r[0] for r in df.select(T.deliverable_name(F.col("s"), " 访谈总结")).collect()] == ["a 访谈总结", "b c 访谈总结"]
+    df = spark.createDataFrame([("疑似误写",), ("K - Frame",), ("plain",)], "s string")
+    assert [r[0] for r in df.select(T.phonetically_suspect(F.col("s"))).collect()] == [True, True, False]
