@@ -3,6 +3,15 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
 it kept; its output is written as Parquet and read again as the next one's
 input. All stages but the last return the columns of documents.
+
+Defined results: texts that are null, empty or without letters go in the first
+stage, whatever their other columns; null ids and sources are kept, and a null
+lang is filled in. Rows that repeat id and text are one document from the second
+stage on, of which one stays; different texts of one id are documents of their
+own; rows without an id stay, as nothing tells them apart. Of a group of near
+copies the first by id stays, then by text. The fourth stage returns documents
+cut at the borders of blocks, as often as the mix takes them, so ids repeat
+after it. Empty tables pass through every stage.
 """
 
 from __future__ import annotations
@@ -36,7 +45,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources to their target weights takes them."""
+    """What the mix of sources to their target weights takes: the parts of documents in each block drawn."""
     return mixed_documents(docs)
 
 
@@ -47,7 +56,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [(f.__name__, f) for f in (languages, near_copies, secrets, mixing, encoding)]
 
-#: Learned models and encodings cannot be written in SQL; tests hold the stages against brute force.
+#: Learned models and encodings cannot be written in SQL; tests hold every stage against plain Python.
 ORACLE_SQL = None
 
 
