@@ -17,10 +17,11 @@ are verified on their whole sets.
 2. Prefixes: a second pass writes each document's set size, set hash and prefix.
    Equal sets become one representative there, so copies form no pairs.
 3. Candidates: prefixes join on shingle, with bounds on size, position and
-   count. Lists of more than ``long_list`` sets are taken first, in pairs of
-   blocks of ``list_block`` sets; a pair belongs to the list of its first shared
-   shingle, and only a spanning forest of its links leaves a block. Pairs from
-   the short lists are then formed between different components.
+   count. Lists of more than ``long_list`` sets are taken first, in blocks of
+   ``list_block`` sets: within blocks, then between components that are not
+   connected yet; a pair belongs to the list of its first shared shingle, and
+   only a spanning forest of its links leaves a block. Pairs from the short
+   lists are then formed between different components.
 4. Verification: bit signatures rule pairs out that cannot link; then the sets
    of the others are computed again from their texts, and compared in blocks of
    the components that the pairs make.
@@ -261,9 +262,9 @@ def overlaps(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
 def _long_list_links(percent: int):
     def run(table: pa.Table) -> pa.Table:
         """Links among the sets of one block of a long list, or between two
-        blocks: pairs whose first shared prefix shingle is the list's, that
-        share enough prefix shingles, and whose whole sets link."""
-        ids, n, ell, pos, side = (table[c].to_numpy() for c in ("rep", "n", "ell", "pos", "side"))
+        blocks: pairs of different components whose first shared prefix shingle
+        is the list's, that share enough prefix shingles, and whose whole sets link."""
+        ids, part, n, ell, pos, side = (table[c].to_numpy() for c in ("rep", "component", "n", "ell", "pos", "side"))
         prefix = [x.values.to_numpy() for x in table["prefix"]]
         whole = [x.values.to_numpy() for x in table["shingles"]]
         one_block = table["i"][0].as_py() == table["j"][0].as_py()
@@ -273,6 +274,7 @@ def _long_list_links(percent: int):
         cut = lambda which, ends: [prefix[k][: ends[k]] for k in which]
         ok = overlaps(cut(rows, pos), cut(cols, pos)) == 0
         ok &= (percent * np.maximum(n[rows][:, None], n[cols][None, :])) <= 100 * np.minimum(n[rows][:, None], n[cols][None, :])
+        ok &= part[rows][:, None] != part[cols][None, :]
         if one_block:
             ok &= np.arange(len(rows))[:, None] < np.arange(len(cols))[None, :]
         least = np.minimum(ell[rows][:, None], ell[cols][None, :])
@@ -296,15 +298,62 @@ def _long_list_links(percent: int):
     return run
 
 
-def long_list_links(lists: DataFrame, whole: DataFrame, sets: DataFrame, percent: int, list_block: int) -> DataFrame:
-    """(y, x): a spanning forest of the links that long lists hold. ``lists``
-    has (token, size, rep, pos). Lists are dealt out by pairs of blocks."""
-    blocks = F.ceil(F.col("size") / F.lit(list_block)).cast("int")
-    dealt = lists.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("token", "rep", "pos", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    filled = dealt.join(whole.select("rep", "n", "ell", "prefix").hint("merge"), "rep").join(sets.hint("merge"), "rep")
+def _own(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("rep"), blocks).cast("int")
+
+
+def _in_pairs(lists: DataFrame) -> DataFrame:
+    """Every set of (token, rep, pos, component, blocks) in each pair of blocks that its own is of."""
+    dealt = lists.withColumn("own", _own(F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return dealt.select("token", "rep", "pos", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+
+
+def long_list_links(lists: DataFrame, whole: DataFrame, sets: DataFrame, percent: int, list_block: int, scratch: Scratch) -> DataFrame:
+    """(a, b): a spanning forest of the links that long lists hold. ``lists``
+    has (token, size, rep, pos). What the links connect already need not be
+    compared, so a list of copies costs little more than one look at each:
+
+    1. a list's sets are compared within their own blocks;
+    2. one set of each component that a list has now with those of the others;
+    3. in lists that still have several components, all pairs between different
+       ones: the sets of the largest component with those of the others, and
+       these among each other.
+
+    In 2 and 3 blocks meet in pairs, so a group holds about two blocks at most."""
+    kind = "y long, x long"
+    filled = lambda dealt: dealt.join(whole.select("rep", "n", "ell", "prefix").hint("merge"), "rep").join(sets.hint("merge"), "rep")
     # alike sets side by side take less room in the shuffle
-    return filled.sortWithinPartitions("token", "n").groupBy("token", "i", "j").applyInArrow(_long_list_links(percent), "y long, x long")
+    met = lambda dealt: filled(dealt).sortWithinPartitions("token", "n").groupBy("token", "i", "j").applyInArrow(_long_list_links(percent), kind).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(list_block)).cast("int")
+    places = ["token", "rep", "pos", "component"]
+
+    def tagged(links: DataFrame) -> DataFrame:
+        named = components(links, scratch).select(F.col("node").alias("rep"), F.col("component"))
+        return scratch.keep(lists.join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+
+    own = _own(blocks("size"))
+    links = scratch.keep(met(lists.select("token", "rep", "pos", F.col("rep").alias("component"), own.alias("i"), own.alias("j"), F.lit(0).alias("side"))))
+
+    now = tagged(links)
+    first = now.groupBy("token", "component", "size").agg(F.min(F.struct("rep", "pos")).alias("s"))
+    heads = first.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("heads"))
+    several = scratch.keep(heads.where("heads > 1"))
+    leaders = first.join(several, "token").select("token", "s.rep", "s.pos", F.col("s.rep").alias("component"), blocks("heads").alias("blocks"))
+    links = scratch.keep(links.unionByName(met(_in_pairs(leaders))))
+
+    # only lists that have sets which 2 did not compare
+    left = now.join(several, "token").where("heads < size").select("token").distinct()
+    now = tagged(links).join(left, "token", "left_semi")
+    counts = now.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("all")).where("all > most")
+    largest = scratch.keep(largest.select("token", "largest", blocks("most").alias("in_largest"), F.ceil((F.col("all") - F.col("most")) / F.lit(list_block)).cast("int").alias("blocks")))
+    if largest.isEmpty():
+        return links
+    apart = scratch.keep(now.join(largest, "token"))
+    rest = apart.where("component != largest")
+    one = apart.where("component = largest").withColumn("i", -1 - _own(F.col("in_largest"))).withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)"))).select(*places, "i", "j", F.lit(0).alias("side"))
+    other = rest.withColumn("j", _own(F.col("blocks"))).withColumn("i", F.explode(F.expr("sequence(-in_largest, -1)"))).select(*places, "i", "j", F.lit(1).alias("side"))
+    return scratch.keep(links.unionByName(met(one.unionByName(other).unionByName(_in_pairs(rest)))))
 
 
 def packed(n: Column, pos: Column, ell: Column) -> Column:
@@ -368,18 +417,20 @@ def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     lists = shared.where((F.col("size") > long_list) & (_place(F.col("pack")) < _base(F.col("pack"), percent))).select("token", "size", "rep", _place(F.col("pack")).cast("int").alias("pos"))
     listed = scratch.keep(lists.select(F.col("rep").alias("x"), F.col("rep").alias("y")).distinct())
     hot = scratch.keep(whole.join(listed.select(F.col("x").alias("rep")), "rep", "left_semi"))
-    whole_sets = from_texts(listed, rows, words, signatures=False)
-    first = scratch.keep(long_list_links(lists, hot, whole_sets, percent, list_block).select("x", "y"))
     scratch.drop(whole)
+    sets = scratch.keep(from_texts(listed, rows, words, signatures=False).join(listed.select(F.col("x").alias("rep")), "rep", "left_semi"))
+    lists = scratch.keep(lists)
+    first = long_list_links(lists, hot, sets, percent, list_block, scratch)
+    scratch.drop(sets, hot, lists)
     # 2: pairs of what is not connected yet
-    early = components(first.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch).select(F.col("node").alias("rep"), "component")
+    early = components(first, scratch).select(F.col("node").alias("rep"), "component")
     removed = shared.where(F.col("size") > long_list).groupBy("rep").agg(F.count(F.lit(1)).alias("removed"))
     short = shared.where(F.col("size") <= long_list).join(early, "rep", "left").join(removed, "rep", "left")
     pairs = scratch.keep(_candidates(short.select("token", "rep", "pack", F.coalesce("removed", F.lit(0)).alias("removed"), F.nullif("component", "rep").alias("component")), percent))
     scratch.drop(shared)
     pairs = scratch.keep(possible(pairs, rows, words, percent, scratch).select("x", "y"))
-    second = verified(pairs, rows, words, percent, scratch, list_block).select("x", "y")
-    found = components(first.union(second).select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
+    second = verified(pairs, rows, words, percent, scratch, list_block).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    found = components(first.unionByName(second), scratch)
 
     named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = keys.join(named, ["n", "s1", "s2"], "left")

@@ -153,6 +153,31 @@ def test_jaccard_keeps_links_whose_shared_shingles_are_mostly_in_long_lists(spar
     assert got == want
 
 
+def test_jaccard_finds_links_between_blocks_of_one_list(spark):
+    """Chains whose neighbours link and whose ends do not, all in a few long lists."""
+    random.seed(33)
+    texts = []
+    for c in range(3):
+        common, own = [f"c{c}_{i}" for i in range(60)], [f"o{c}_{i}" for i in range(40)]
+        for i in range(30):
+            texts.append([*common[: 56 + i % 4], *own[i : i + 4]])
+    texts += [[*(f"c0_{i}" for i in range(60)), *(f"z{k}_{i}" for i in range(k % 9))] for k in range(25)]
+    random.shuffle(texts)
+    rows = [(i, " ".join(t), None, None) for i, t in enumerate(texts)]
+    want = brute_components({i: shingles(t, 1) for i, t, _, _ in rows}, 90)
+    for long_list, list_block in ((3, 4), (24, 7)):
+        got = {r.doc_id: r.component_id for r in jaccard.near_documents(docs(spark, rows), words=1, percent=90, long_list=long_list, list_block=list_block).collect()}
+        assert got == want
+    assert 3 <= len(set(want.values())) < len(texts)
+
+
+def test_rare_words_in_lengthened_prefixes(spark):
+    subsets = [*itertools.combinations(range(9), 5)]
+    rows = [(i, " ".join([*(f"rare{k}" for k in s), *(f"common{k}" for k in range(35))]), None, None) for i, s in enumerate(subsets[:26])]
+    got = {r.doc_id: r.component_id for r in jaccard.near_documents(docs(spark, rows), words=1, percent=90).collect()}
+    assert got == brute_components({i: shingles(t, 1) for i, t, _, _ in rows}, 90) == dict.fromkeys(range(26), 0)
+
+
 def test_one_of_each_group_stays(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(1, text, None, None), (2, text + " more", None, None), (2, text + " more", None, None), (3, "quite another text of several words", None, None), (None, text, None, None), (4, None, None, None)]
