@@ -8,6 +8,7 @@ from lodestrata.functions import text as T
 from lodestrata.operators import anchors, archive, atoms, audit, entities, glossary, glue, report, scoring, turns
 from lodestrata.plans.queries import literal, query, read
 from lodestrata.sources import files
+from lodestrata.streaming import runlog
 
 
 def given(columns: str, rows: list[tuple]) -> str:
@@ -423,3 +424,35 @@ def glossary_sources(spark, d):
 def hedge_loss(spark, d):
     n = F.col("doc_id")
     return read(spark, d, "documents").select("doc_id", audit.hedges(F.repeat(F.lit("可能左右"), (n % 4).cast("int"))).alias("n"), atoms.hedges_lost(n % 4, n % 3).alias("lost"))
+
+
+# ---- runs ---------------------------------------------------------------------
+@query("""SELECT user_id, sum(event_id % 1000)::BIGINT input, sum(event_id % 300)::BIGINT cached, sum(event_id % 77)::BIGINT output, count(*) agents, count(*) FILTER (event_type = 'click') failed FROM events GROUP BY 1""")
+def usage_totals(spark, d):
+    n = F.col("event_id")
+    return runlog.usage(read(spark, d, "events").select("user_id", (n % 1000).alias("input"), (n % 300).alias("cached"), (n % 77).alias("output"), (F.col("event_type") == "click").alias("failed")), "user_id")
+
+
+@query("""WITH m AS (SELECT user_id, event_type stage, event_id "at", event_id % 2 = 0 s FROM events) SELECT user_id, stage, min("at") FILTER (s) started, max("at") FILTER (NOT s) ended, CASE WHEN min("at") FILTER (s) IS NULL OR max("at") FILTER (NOT s) IS NULL THEN 0 ELSE greatest(0, max("at") FILTER (NOT s) - min("at") FILTER (s)) END::BIGINT ms,
+'last=' || max("at") || CASE WHEN max("at") FILTER ("at" % 3 = 0) IS NULL THEN '' ELSE ',third=' || max("at") FILTER ("at" % 3 = 0) END meta FROM m GROUP BY 1, 2""")
+def stage_times(spark, d):
+    n = F.col("event_id")
+    text = n.cast("string")
+    meta = F.when(n % 3 == 0, F.create_map(F.lit("last"), text, F.lit("third"), text)).otherwise(F.create_map(F.lit("last"), text))
+    marks = read(spark, d, "events").select("user_id", F.col("event_type").alias("stage"), n.alias("at"), F.when(n % 2 == 0, "start").otherwise("done").alias("status"), meta.alias("meta"))
+    return runlog.stage_times(marks, "user_id").withColumn("meta", F.array_join(F.transform(F.map_entries("meta"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END::BIGINT people, CASE WHEN p_size % 3 < 2 THEN 1 ELSE 0 END::BIGINT notes, CASE WHEN p_size % 3 = 0 THEN p_name END canonical FROM part""")
+def stage_reports(spark, d):
+    name, size = F.col("p_name"), F.col("p_size")
+    whole = F.concat(F.lit('{"people":[{"canonical":"'), name, F.lit('","variants":["v"]},{"canonical":""},{"hint":"x"}],"special_notes":["n"],"other":1}'))
+    reply = F.when(size % 3 == 0, whole).when(size % 3 == 1, '{"special_notes":["n"],"people":null}').otherwise("no report")
+    rows = read(spark, d, "part").select("p_partkey", files.stage_report(reply).alias("r"))
+    return rows.select("p_partkey", F.size("r.people").cast("long").alias("people"), F.size("r.special_notes").cast("long").alias("notes"), F.get("r.people.canonical", F.lit(0)).alias("canonical"))
+
+
+@query("""SELECT o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) rn FROM orders) WHERE rn <= 30""")
+def top_speakers(spark, d):
+    rows = read(spark, d, "orders").select("o_orderpriority", F.col("o_orderkey").alias("ord"), F.array("o_orderstatus").alias("variants"))
+    return report.top_known(rows, ["o_orderpriority"], n=30).select("o_orderpriority", F.col("ord").alias("o_orderkey"))

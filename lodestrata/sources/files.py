@@ -87,3 +87,17 @@ def known_rows(rows: DataFrame, known: DataFrame, id_col: str = "id") -> tuple[D
     """Rows whose id is known, and the others, of which one is warned."""
     ids = known.select(id_col).distinct()
     return rows.join(ids, id_col, "left_semi"), rows.join(ids, id_col, "left_anti")
+
+
+#: What a stage report holds; every list may be missing.
+ENTITIES = "array<struct<canonical:string,variants:array<string>,hint:string>>"
+REPORT = {"people": ENTITIES, "brands": ENTITIES, "terms": ENTITIES, "speakers": "array<struct<label:string,role:string,identity:string>>", "special_notes": "array<string>"}
+
+
+def stage_report(reply: Column) -> Column:
+    """A report's JSON text as its lists, empty where one is missing, is of
+    another shape or cannot be read; entities without a canonical are left out."""
+    read = F.from_json(reply, ", ".join(f"{k} {v}" for k, v in REPORT.items()))
+    listed = {k: F.coalesce(read[k], F.array().cast(v)) for k, v in REPORT.items()}
+    named = {k: F.filter(c, lambda e: F.coalesce(e["canonical"], F.lit("")) != "") if REPORT[k] == ENTITIES else c for k, c in listed.items()}
+    return F.struct(*(c.alias(k) for k, c in named.items()))

@@ -132,3 +132,19 @@ def test_deliverable_names_and_doubtful_spellings(spark):
     assert [r[0] for r in df.select(T.deliverable_name(F.col("s"), " 访谈总结")).collect()] == ["a 访谈总结", "b c 访谈总结"]
     df = spark.createDataFrame([("疑似误写",), ("K - Frame",), ("plain",)], "s string")
     assert [r[0] for r in df.select(T.phonetically_suspect(F.col("s"))).collect()] == [True, True, False]
+
+
+def test_entities_grow_batch_by_batch(spark, tmp_path):
+    from lodestrata.streaming import cumulative
+
+    schema = "topic string, kind string, ord long, canonical string, variants array<string>, hint string, category string"
+    batches = [[("t", "person", 0, "王明", ["王总"], "旧", "")], [("t", "person", 0, "王明（董事长）", ["小明"], "新", "x"), ("t", "person", 1, "李华", [], "", "")], [("t", "person", 0, "小明", ["明明"], "", "")]]
+    state, source = f"file://{tmp_path}/state", f"{tmp_path}/source"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        cumulative.start(spark.readStream.schema(schema).parquet(source), state, f"{tmp_path}/checkpoint").awaitTermination(120)
+        assert cumulative.versions(spark, state) == list(range(i + 1))
+    got = {r.canonical: r.variants for r in cumulative.latest(spark, state).collect()}
+    assert got == {"王明": ["王总", "王明（董事长）", "小明", "明明"], "李华": []}
+    cumulative.merged_into(state)(spark.createDataFrame(batches[2], schema), 2)  # a batch that runs again
+    assert {r.canonical: r.variants for r in cumulative.latest(spark, state).collect()} == got
