@@ -159,11 +159,12 @@ def _wanted(pairs: DataFrame) -> bytes:
 
 def _sets(words: int, sent, signatures: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(np.frombuffer(sent.value, np.uint8), bitorder="little").astype(bool)
-        modulus = next(m for m in ID_BITS if (m // 32768 + 2) * 32768 == len(wanted))
+        wanted = np.frombuffer(sent.value, np.uint8)
+        modulus = next(m for m in ID_BITS if (m // 32768 + 2) * 4096 == len(wanted))
         for batch in batches:
             ids = batch.column(0).fill_null(-1).to_numpy()
-            at = np.flatnonzero(wanted[np.mod(ids, modulus)] & batch.column(0).is_valid().to_numpy(zero_copy_only=False))
+            bit = np.mod(ids, modulus)
+            at = np.flatnonzero(((wanted[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool) & batch.column(0).is_valid().to_numpy(zero_copy_only=False))
             if not len(at):
                 continue
             batch = batch.take(pa.array(at))

@@ -99,13 +99,14 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed:
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("tie"), *more,
     ).withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(BUCKETS)).cast("int"))
-    inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("held")).withColumn("ahead", F.coalesce(F.sum("held").over(ahead), F.lit(0).cast("long")))
-    sums = sums.select(F.col("source").alias("source_"), F.col("bucket").alias("bucket_"), "ahead")
+    # a key without nulls, so that window and join deal the rows out alike, once
+    rows = rows.withColumn("key", F.concat(F.when(F.col("source").isNull(), "0").otherwise("1"), F.coalesce(F.col("source").cast("string"), F.lit(""))))
+    inside = Window.partitionBy("key", "bucket").orderBy("doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("key", "bucket").agg(F.sum("size").alias("held")).withColumn("ahead", F.coalesce(F.sum("held").over(ahead), F.lit(0).cast("long")))
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long")))
-    joined = rows.join(sums, F.col("source").eqNullSafe(F.col("source_")) & (F.col("bucket") == F.col("bucket_")))
-    return joined.withColumn("start", F.col("ahead") + F.col("inside")).drop("source_", "bucket_", "ahead", "inside", "bucket", "tie")
+    joined = rows.join(sums.select("key", "bucket", "ahead"), ["key", "bucket"])
+    return joined.withColumn("start", F.col("ahead") + F.col("inside")).drop("key", "bucket", "ahead", "inside", "tie")
 
 
 def source_plan(placed: DataFrame, block_words: int, scratch: Scratch) -> DataFrame:
@@ -248,9 +249,11 @@ def mixed_documents(docs: DataFrame, *, block_words: int = 128, shard_blocks: in
     plan = source_plan(scratch.keep(_placed(docs, "doc_id", "text", "source", seed)), block_words, scratch)
     slots = slot_table(plan, block_words, shard_blocks, seed, scratch)
     pieces = _pieces(_placed(docs, "doc_id", "text", "source", seed, F.col("text").alias("text"), rest.alias("row")), plan, block_words, SPACED_WORD)
-    pieces = pieces.select("src", "block", "low", "high", "w", "row")
+    # text takes less room than its words; only a source's last slot is cut again
+    pieces = pieces.select("src", "block", "low", "high", F.array_join("w", "").alias("piece"), "row")
     took = slots.hint("merge").join(pieces.hint("merge"), ["src", "block"]).where("words > low")
-    text = F.array_join(F.slice("w", F.lit(1), (F.least("high", "words") - F.col("low")).cast("int")), "")
+    cut = F.slice(F.regexp_extract_all("piece", F.lit(SPACED_WORD), F.lit(0)), F.lit(1), (F.col("words") - F.col("low")).cast("int"))
+    text = F.when(F.col("words") >= F.col("high"), F.col("piece")).otherwise(F.array_join(cut, ""))
     mixed = took.select("row", text.alias("text"))
     own = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     mixed = mixed.select(*(own[c].alias(c) if c in own else F.col("row")[c].alias(c) for c in docs.columns))
