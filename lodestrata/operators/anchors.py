@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions.text import HAN, WS, occurrences
 from lodestrata.operators.audit import shingled
 from lodestrata.operators.names import name_hits
-from lodestrata.operators.turns import islands, lines, sections
+from lodestrata.operators.turns import inside, islands, lines, sections
 
 #: Thresholds that behaviour does not fix.
 ANCHOR_SHINGLES, ANCHOR_SHARE = 4, 0.4
@@ -124,11 +124,11 @@ def section_ranges(source: DataFrame, refined_docs: DataFrame, id_col: str, text
     section covers: the largest run of neighbouring anchors by characters, the
     earlier on ties."""
     turns_ = speaker_turns(refined_docs, id_col, text_col)
-    spans = sections(refined_docs, id_col, text_col).select(F.col(id_col).alias("s_id"), "title", F.col("start_line").alias("s_start"), F.col("end_line").alias("s_end"))
+    spans = sections(refined_docs, id_col, text_col).select(id_col, "title", F.col("start_line").alias("s_start"), F.col("end_line").alias("s_end"))
     met = anchored(source, turns_, id_col).join(turns_.select(id_col, "turn_no", "start_line"), [id_col, "turn_no"])
-    inside = met.join(spans, (F.col(id_col) == F.col("s_id")) & F.col("start_line").between(F.col("s_start"), F.col("s_end"))).select(id_col, "title", "source_no").distinct()
+    held = inside(met, "start_line", spans, "s_start", "s_end", [id_col]).select(id_col, "title", "source_no").distinct()
     w = Window.partitionBy(id_col, "title").orderBy("source_no")
-    runs = inside.withColumn("run", F.col("source_no") - F.row_number().over(w))
+    runs = held.withColumn("run", F.col("source_no") - F.row_number().over(w))
     s = source.select(id_col, F.col("turn_no").alias("source_no"), "start_line", "end_line", "ts", F.length("text").alias("chars"))
     sized = runs.join(s, [id_col, "source_no"]).groupBy(id_col, "title", "run").agg(F.sum("chars").alias("chars"), F.min("start_line").alias("first_line"), F.max("end_line").alias("last_line"), F.min_by("ts", "source_no").alias("ts"))
     best = sized.withColumn("rn", F.row_number().over(Window.partitionBy(id_col, "title").orderBy(F.desc("chars"), "first_line"))).where("rn = 1")
@@ -173,8 +173,8 @@ def ending_missing(source: DataFrame, refined: DataFrame, id_col: str) -> DataFr
 
 def localised(flags: DataFrame, spans: DataFrame, id_col: str) -> DataFrame:
     """Flags (id, line_no, kind) by the section (id, title, start_line, end_line) that holds them."""
-    s = spans.select(F.col(id_col).alias("s_id"), "title", "start_line", "end_line")
-    return flags.join(s, (F.col(id_col) == F.col("s_id")) & F.col("line_no").between(F.col("start_line"), F.col("end_line"))).groupBy(id_col, "title").agg(F.array_sort(F.collect_list("kind")).alias("flags"))
+    s = spans.select(id_col, "title", "start_line", "end_line")
+    return inside(flags, "line_no", s, "start_line", "end_line", [id_col]).groupBy(id_col, "title").agg(F.array_sort(F.collect_list("kind")).alias("flags"))
 
 
 def lost_runs(share: DataFrame, id_col: str, floor: Column) -> DataFrame:

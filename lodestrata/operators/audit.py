@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType
 
 from lodestrata.functions.text import HAN, WS, content_length, occurrences
 from lodestrata.operators.names import name_hits
-from lodestrata.operators.turns import islands, lines
+from lodestrata.operators.turns import inside, islands, lines
 
 COMPRESSION_FLOOR = 0.55
 GAP_CHARS, GAP_TURNS = 400, 3
@@ -120,8 +120,8 @@ def coverage_gaps(turns: DataFrame, refined: DataFrame, id_col: str, words: bool
     share = matched_turns(turns, refined, id_col, words)
     sized = turns.select(id_col, "turn_no", F.length("text").alias("chars"))
     marked = sized.join(share, [id_col, "turn_no"]).withColumn("lost", F.col("matched") < MATCHED)
-    runs = islands(marked, [id_col], "turn_no", "lost").where("lost").select(F.col(id_col).alias("r_id"), "first", "last", "n")
-    chars = marked.join(runs, (F.col(id_col) == F.col("r_id")) & F.col("turn_no").between(F.col("first"), F.col("last")))
+    runs = islands(marked, [id_col], "turn_no", "lost").where("lost").select(id_col, "first", "last")
+    chars = inside(marked, "turn_no", runs, "first", "last", [id_col])
     out = chars.groupBy(id_col, "first", "last").agg(F.count(F.lit(1)).alias("turns"), F.sum("chars").alias("chars"))
     return out.withColumn("severity", F.when((F.col("chars") >= GAP_CHARS) & (F.col("turns") >= GAP_TURNS), "hard").otherwise("soft"))
 
@@ -181,19 +181,26 @@ def glossary_lint(entities: DataFrame, *keys: str) -> DataFrame:
     return entities.groupBy(*keys).agg(n.alias("n"), F.when(n < 3, "thin").when(hint < 0.5, "few_hints").when(variant < 0.3, "few_variants").otherwise("ok").alias("lint"))
 
 
-@F.pandas_udf(DoubleType())
-def order_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Length of the longest common subsequence over that of the longer order."""
+def common_order(a: list, b: list) -> int:
+    """Length of the longest common subsequence, repeats included. A row of the
+    table of lengths is one integer, whose zero bits are the places where the
+    length grows, so that an item of ``a`` costs a few operations on len(b) bits."""
+    places: dict = {}
+    for j, v in enumerate(b):
+        places[v] = places.get(v, 0) | 1 << j
+    full = row = (1 << len(b)) - 1
+    for v in a:
+        if met := row & places.get(v, 0):
+            row = (row + met | row - met) & full
+    return len(b) - row.bit_count()
 
-    def one(x, y):
-        best = [0] * (len(y) + 1)
-        for v in x:
-            before = 0
-            for j, u in enumerate(y):
-                before, best[j + 1] = best[j + 1], before + 1 if v == u else max(best[j + 1], best[j])
-        return best[-1] / max(len(x), len(y), 1)
 
-    return pd.Series([one(list(x), list(y)) for x, y in zip(a, b, strict=True)])
+@F.pandas_udf(DoubleType())
+def order_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence over that of the longer
+    order; null orders are empty, two empty ones have 0."""
+    orders = ((x if x is not None else [], y if y is not None else []) for x, y in zip(a, b, strict=True))
+    return pd.Series([common_order(list(x), list(y)) / max(len(x), len(y), 1) for x, y in orders], dtype="float64")
 
 
 def under_refined(source: Column, refined: Column) -> dict[str, tuple[Column, str]]:

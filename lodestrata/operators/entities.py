@@ -1,41 +1,13 @@
-"""Entities: clustering, merging, verification state and decrees.
-
-The folds are order-dependent (first match wins), so a glossary is folded by
-itself in ``applyInPandas``, in the order of ``ord``; glossaries run in
-parallel. Everything else is joins and aggregates on exploded names.
-"""
+"""Entities: verification state, contradictions and registries, as joins and
+aggregates on exploded names. Clusters, merging and decrees are in ``clusters``."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import CUT_MARK, MOST_NOTES, SPACES, WARNING, is_concrete_source, is_weak_key, merge_hints, strip_description
-
-#: Titles that name nobody, as in functions.text.is_weak_key.
-WEAK = re.compile(r"[一-龥]{1,2}总|.*(?:老师|总监|经理|主管)|(?:董事长|老板|老板娘|总经理|总裁|创始人|CEO|CFO|CTO|COO|PR|嘉宾|记者|主持人|同事|领导)", re.S)
-REMARK = re.compile("[（(][^）)]*[）)]")
-ENTITY = "canonical string, variants array<string>, hint string, files array<string>, public_figure boolean, suspect boolean, category string, cross_file boolean"
-
-
-def _weak(s: str) -> bool:
-    return WEAK.fullmatch(s) is not None
-
-
-def _bare(s) -> str:
-    return REMARK.sub("", s or "").strip(SPACES)
-
-
-def _list(x) -> list:
-    return [] if x is None else list(x)
-
-
-def _one(x, default=""):
-    return default if x is None or (isinstance(x, float) and x != x) else x
-
+from lodestrata.operators.clusters import apply_decrees, cluster_entities, merge_entities  # noqa: F401  # part of this module's interface
 
 def joined_hints(hints: list[str]) -> str:
     """A5 over a list, in order."""
@@ -45,143 +17,6 @@ def joined_hints(hints: list[str]) -> str:
     return "；".join(plain[:MOST_NOTES] + warned + ([CUT_MARK] if CUT_MARK in clauses or len(plain) > MOST_NOTES else []))
 
 
-def _folded(members: list[dict]) -> list[dict]:
-    """Greedy clusters on a shared strong name; a bridge does not merge."""
-    clusters: list[dict] = []
-    for e in members:
-        names = [n for n in ((x or "").strip(SPACES) for x in [e["canonical"], *e["variants"]]) if n]
-        strong = {n for n in names if not _weak(n)}
-        if not names:
-            continue
-        home = next((c for c in clusters if c["strong"] & strong), None)
-        if home is None:
-            home = {"names": {}, "strong": set(), "members": []}
-            clusters.append(home)
-        home["names"].update(dict.fromkeys(names))
-        home["strong"] |= strong
-        home["members"].append(e)
-    return clusters
-
-
-def _voted(cluster: dict) -> dict:
-    """A1 to A5 of one cluster; a name is as long as its UTF-16 form, and
-    names that read as array indexes are met first, in numeric order."""
-    votes: dict[str, int] = {}
-    for e in cluster["members"]:
-        name = (e["canonical"] or "").strip(SPACES)
-        if name:
-            votes[name] = votes.get(name, 0) + 1
-    index = lambda n: n.isascii() and n.isdigit() and (n == "0" or n[0] != "0") and int(n) < 2**32 - 1
-    met = sorted((n for n in votes if index(n)), key=int) + [n for n in votes if not index(n)]
-    canonical = min(met, key=lambda n: (-votes[n], -len(n.encode("utf-16-le")))) if met else next(iter(cluster["names"]))
-    files = list(dict.fromkeys(e["file"] for e in cluster["members"]))
-    return {
-        "canonical": canonical, "variants": [n for n in cluster["names"] if n != canonical], "hint": joined_hints([e["hint"] for e in cluster["members"]]), "files": files,
-        "public_figure": any(e["public_figure"] for e in cluster["members"]), "suspect": any(e["suspect"] for e in cluster["members"]),
-        "category": next((e["category"] for e in cluster["members"] if e["category"]), ""), "cross_file": len(files) > 1,
-    }
-
-
-def _rows(pdf: pd.DataFrame) -> list[dict]:
-    return [{"canonical": _one(r.canonical), "variants": _list(r.variants), "hint": _one(r.hint), "file": r.file, "public_figure": bool(_one(r.public_figure, False)), "suspect": bool(_one(r.suspect, False)), "category": _one(r.category)} for r in pdf.sort_values("ord", kind="stable").itertuples()]
-
-
-def cluster_entities(mentions: DataFrame, key: str = "topic") -> DataFrame:
-    """Mentions (key, kind, ord, file, canonical, variants, hint,
-    public_figure, suspect, category) -> entities with their order."""
-    kind = mentions.schema[key].dataType.simpleString()
-
-    def fold(keys, pdf):
-        out = [_voted(c) for c in _folded(_rows(pdf))]
-        return pd.DataFrame([{key: keys[0], "kind": keys[1], "ord": i, **e} for i, e in enumerate(out)], columns=[key, "kind", "ord", *_names(ENTITY)])
-
-    return mentions.groupBy(key, "kind").applyInPandas(fold, f"{key} {kind}, kind string, ord long, {ENTITY}")
-
-
-def _names(schema: str) -> list[str]:
-    return [c.split()[0] for c in re.split(r", (?![^<]*>)", schema)]
-
-
-MERGED = "canonical string, variants array<string>, hint string, category string, cross_file boolean"
-
-
-def merge_entities(entities: DataFrame, key: str = "topic") -> DataFrame:
-    """Prior and fresh entities (key, kind, is_fresh, ord, canonical,
-    variants, hint, category) -> the merged list; fresh rows join the first row
-    of the growing list that shares a strong name, else are appended."""
-    kind = entities.schema[key].dataType.simpleString()
-
-    def fold(keys, pdf):
-        out: list[dict] = []
-        strong = lambda names: {b for b in map(_bare, names) if b and not _weak(b)}
-        for r in pdf.sort_values(["is_fresh", "ord"], kind="stable").itertuples():
-            own = {"canonical": _one(r.canonical), "variants": _list(r.variants), "hint": _one(r.hint), "category": _one(r.category), "cross_file": False}
-            names = [own["canonical"], *own["variants"]]
-            home = next((h for h in out if strong([h["canonical"], *h["variants"]]) & strong(names)), None) if r.is_fresh else None
-            if home is None:
-                out.append(own)
-                continue
-            home["variants"] = [n for n in dict.fromkeys([*home["variants"], *names]) if n and n != home["canonical"]]
-            home["hint"], home["cross_file"] = joined_hints([home["hint"], own["hint"]]), True
-            home["category"] = home["category"] or own["category"]
-        return pd.DataFrame([{key: keys[0], "kind": keys[1], "ord": i, **e} for i, e in enumerate(out)], columns=[key, "kind", "ord", *_names(MERGED)])
-
-    return entities.groupBy(key, "kind").applyInPandas(fold, f"{key} {kind}, kind string, ord long, {MERGED}")
-
-
-LOCKED = "canonical string, writings array<string>, hint string, locked boolean, note string, conflict boolean, source_ord long"
-
-
-def apply_decrees(entities: DataFrame, decrees: DataFrame, key: str = "topic") -> DataFrame:
-    """Decrees (key, ord, canonical, variants, note) lock the clusters
-    that they name; decrees that share a canonical or a cluster act as one."""
-    kind = entities.schema[key].dataType.simpleString()
-
-    def fold(keys, left, right):
-        rows = [r for r in left.sort_values("ord", kind="stable").itertuples()]
-        orders = [d for d in right.sort_values("ord", kind="stable").itertuples() if _bare(d.canonical)]
-        root = list(range(len(orders)))
-
-        def find(i):
-            while root[i] != i:
-                i = root[i]
-            return i
-
-        def union(i, j):
-            i, j = find(i), find(j)
-            root[max(i, j)] = min(i, j)
-
-        written = [[w for w in map(_bare, [d.canonical, *_list(d.variants)]) if w] for d in orders]
-        hits = [[i for i, w in enumerate(written) if {_bare(n) for n in [r.canonical, *_list(r.variants)]} & set(w)] for r in rows]
-        for i in range(len(orders)):
-            for j in range(i):
-                if _bare(orders[i].canonical) == _bare(orders[j].canonical):
-                    union(i, j)
-        for h in hits:
-            for i in h[1:]:
-                union(h[0], i)
-        out, done = [], set()
-
-        def locked(b, at):
-            own = [i for i in range(len(orders)) if find(i) == b]
-            eaten = [r for r, h in zip(rows, hits, strict=True) if h and find(h[0]) == b]
-            names = dict.fromkeys([n for i in own for n in written[i]] + [n for r in eaten for n in [r.canonical, *_list(r.variants)] if n])
-            canonical = _bare(orders[b].canonical)
-            note = next((_one(orders[i].note) for i in own if _one(orders[i].note)), "")
-            done.add(b)
-            return {"canonical": canonical, "writings": [n for n in names if n != canonical], "hint": joined_hints([_one(r.hint) for r in eaten]), "locked": True, "note": note, "conflict": bool(eaten) and len({_bare(orders[i].canonical) for i in own}) > 1, "source_ord": at}
-
-        for r, h in zip(rows, hits, strict=True):
-            if not h:
-                out.append({"canonical": r.canonical, "writings": _list(r.variants), "hint": _one(r.hint), "locked": False, "note": "", "conflict": False, "source_ord": int(r.ord)})
-            elif find(h[0]) not in done:
-                out.append(locked(find(h[0]), int(r.ord)))
-        out += [locked(b, -1) for b in range(len(orders)) if find(b) == b and b not in done]
-        return pd.DataFrame([{key: keys[0], "ord": i, **e} for i, e in enumerate(out)], columns=[key, "ord", *_names(LOCKED)])
-
-    return entities.groupBy(key).cogroup(decrees.groupBy(key)).applyInPandas(fold, f"{key} {kind}, ord long, {LOCKED}")
-
-
 def names_of(canonical: Column, variants: Column) -> Column:
     return F.concat(F.array(canonical), F.coalesce(variants, F.array().cast("array<string>")))
 

@@ -39,6 +39,17 @@ def parse_turns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return got.select(id_col, "turn_no", "label", "start_line", "end_line", ends_with_question(F.col("said")).alias("q"))
 
 
+def inside(points: DataFrame, at: str, spans: DataFrame, first: str, last: str, keys: list[str], width: int = 1024) -> DataFrame:
+    """Points with the columns of the spans (keys, first, last) that hold them,
+    both ends included. Both sides meet on bins of so many places, a span in
+    every bin that it reaches into, so a long text is many small joins and no
+    point meets the spans of other places. Spans without an end hold nothing."""
+    bins = lambda a, b: F.sequence(F.floor(a / width), F.floor(b / width))
+    dealt = spans.where(F.col(first) <= F.col(last)).withColumn("bin_", F.explode(bins(F.col(first), F.col(last))))
+    met = points.withColumn("bin_", F.floor(F.col(at) / width)).join(dealt, [*keys, "bin_"])
+    return met.where(F.col(at).between(F.col(first), F.col(last))).drop("bin_")
+
+
 def islands(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """(keys, value, first, last, n) of runs of one value."""
     w = Window.partitionBy(*keys).orderBy(order)
@@ -131,8 +142,8 @@ def turn_chunks(files: DataFrame, id_col: str) -> DataFrame:
 
 def owners(turns: DataFrame, chunks: DataFrame, id_col: str) -> DataFrame:
     """A turn belongs to the chunk that holds its label's line."""
-    c = chunks.select(F.col(id_col).alias("c_id"), "idx", F.col("start_line").alias("c_start"), F.col("end_line").alias("c_end"))
-    return turns.join(c, (F.col(id_col) == F.col("c_id")) & F.col("start_line").between(F.col("c_start"), F.col("c_end"))).drop("c_id", "c_start", "c_end")
+    c = chunks.select(id_col, "idx", F.col("start_line").alias("c_start"), F.col("end_line").alias("c_end"))
+    return inside(turns, "start_line", c, "c_start", "c_end", [id_col]).drop("c_start", "c_end")
 
 
 def stitched(parts: Column) -> Column:

@@ -3,3 +3,4 @@
 from lodestrata.plans import queries as _queries  # noqa: F401, I001
 from lodestrata.plans import documents as _documents  # noqa: F401
 from lodestrata.plans import tables as _tables  # noqa: F401
+from lodestrata.plans import named as _named  # noqa: F401
