@@ -23,6 +23,8 @@ SAME_UNIT = {"块": "元", "位": "人", "名": "人"}
 IDIOMS = ("一五一十", "五花八门", "三心二意", "七上八下", "千方百计", "一些", "一下", "一样", "一起", "一直", "一定", "一般", "一点", "一种", "万一", "十分", "一旦", "千万不要", "千万别", "千万要")
 POLARITY = ("不到", "超过", "亏损", "下降", "减少", "下滑", "不足", "至少", "最多", "增长", "盈利")
 NUMERAL = r"[零〇一二两三四五六七八九十百千万亿]+"
+#: An idiom inside a numeral is none: 二万一千 does not hold 万一.
+IDIOM = re.compile(rf"(?<![零〇一二两三四五六七八九十百千万亿])(?:{'|'.join(sorted(IDIOMS, key=len, reverse=True))})+")
 NUMBER = rf"(?:[0-9]+(?:\.[0-9]+)?|{NUMERAL})"
 ATOM = re.compile(rf"(?P<ordinal>第)?(?P<percent>百分之)?(?P<a>{NUMBER})(?: ?(?:到|至|-|~|—) ?(?P<b>{NUMBER}))?(?P<more>[多来几余])? ?(?:个(?=[亿万千]))?(?P<scale>[千百]?[万亿]|千万)?(?:元|人民币|块)?(?P<unit>{'|'.join(UNITS)})?")
 DIGIT = "一二两三四五六七八九"
@@ -66,8 +68,7 @@ def extract(text: str | None) -> list[dict]:
     folded in, its size, and the word before it that bounds or turns it."""
     out = []
     plain = TIMESTAMP.sub(lambda m: "\0" * len(m.group()), text or "")
-    for idiom in IDIOMS:
-        plain = plain.replace(idiom, "\0" * len(idiom))
+    plain = IDIOM.sub(lambda m: "\0" * len(m.group()), plain)
     for m in ATOM.finditer(plain):
         a, b, scale, unit = m["a"], m["b"], m["scale"] or "", m["unit"] or ""
         rest = m.group()[m.end("a") - m.start() :]

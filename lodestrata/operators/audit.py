@@ -246,6 +246,17 @@ def repair_plan(first: DataFrame, second: DataFrame, id_col: str) -> DataFrame:
     return both.select(id_col, repaired.alias("repaired"), still.alias("annotated"), still.alias("run_failed"))
 
 
+def line_runs(docs: DataFrame, id_col: str, text_col: str, kept: str = HAN) -> DataFrame:
+    """D2 for texts of any length: (id, line_no, first, last): the places, from
+    0, that the characters of one kind on a line take when a text's remarks and
+    all other characters are left out. One row a line, by running sums; lines
+    without such characters have none."""
+    bare = docs.select(id_col, F.regexp_replace(F.coalesce(text_col, F.lit("")), r"(?s)<!--.*?-->", "").alias("bare_"))
+    rows = lines(bare, id_col, "bare_").select(id_col, "line_no", F.regexp_count("line", F.lit(kept)).cast("long").alias("n_"))
+    ends = F.sum("n_").over(Window.partitionBy(id_col).orderBy("line_no"))
+    return rows.where("n_ > 0").withColumn("last", ends - 1).select(id_col, "line_no", (F.col("last") - F.col("n_") + 1).alias("first"), "last")
+
+
 def line_map(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, norm, line_of): a text's Han characters, remarks left out, and
     the line of each of them."""
