@@ -25,6 +25,7 @@ and no terms; ties rank by UTF-8 bytes. An empty table gives an empty one.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.scratch import Scratch
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What each byte of a text becomes: letters and bytes of other characters stay, A-Z are lowered, all else parts terms.
+BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 LEAST_DOCUMENTS, SCALE, TOP = 10, 1_000_000_000, 10
 #: Bits of a digit; values are below 2^30, as f(p, q) is at most |p - q|.
 DIGIT, VALUE_BITS = 10, 30
@@ -43,16 +44,40 @@ DIGIT, VALUE_BITS = 10, 30
 STEP = 2
 #: A group with so many candidates or fewer is ranked at once.
 FEW = 1000
-#: Pairs of one term that are held at a time, and partial sums before they are sent on.
+#: Pairs that are held at a time, and partial sums before they are sent on.
 PAIRS = 1 << 20
+#: Terms that a task counts before it sends its counts on.
+HELD = 1 << 18
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, docs) in held.items():
+            terms = [*n]
+            columns = [pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()), pa.array([t.decode() for t in terms], pa.string()), pa.array([n[t] for t in terms], pa.int64()), pa.array([docs[t] for t in terms], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+        held.clear()
+
+    for batch in batches:
+        texts = batch.column("text").cast(pa.large_binary())
+        for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts, strict=True):
+            n, docs = held.setdefault((lang, source), (Counter(), Counter()))
+            terms = text.as_py().translate(BYTES).split()
+            n.update(terms)
+            docs.update(set(terms))
+        if sum(len(n) for n, _ in held.values()) > HELD:
+            yield from sent()
+    yield from sent()
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences, and documents that have the term."""
+    """(lang, source, term, n, docs): occurrences, and documents that have the
+    term; counted where the texts lie, then summed up."""
     filled = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    terms = F.sort_array(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0)))
-    each = filled.select("lang", "source", terms.alias("t")).select("lang", "source", F.posexplode(F.transform("t", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get("t", i - 1) != x)).cast("long").alias("first")))).alias("at", "x"))
-    return each.groupBy("lang", "source", F.col("x.term").alias("term")).agg(F.count(F.lit(1)).alias("n"), F.sum("x.first").alias("docs"))
+    each = filled.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
+    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def probability(count: Column, total: Column, kept: Column) -> Column:
@@ -87,40 +112,54 @@ def _own_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("sid"), pa.array([x.tolist() for x in out], pa.list_(pa.int64()))], ["lang", "sid", "sums"])
 
 
+def _pairs(size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs within lists of these sizes that follow one another,
+    so many at a time."""
+    ends = np.repeat(np.cumsum(size), size)
+    after = ends - np.arange(len(ends)) - 1
+    total = np.concatenate([[0], np.cumsum(after)])
+    at = 0
+    while at < len(after):
+        stop = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, "right")) - 1)
+        i = np.repeat(np.arange(at, stop), after[at:stop])
+        yield i, i + 1 + np.arange(len(i)) - (total[i] - total[at])
+        at = stop
+
+
 def _shared_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For terms with the groups that hold them: corrections of pairs of groups
-    (a < b), summed up as far as a task has seen them."""
-    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-    size = 0
+    (a < b). Of few groups a task holds all pairs' sums until it ends; of many
+    it sends the sums of every block of pairs."""
+    held: dict[str, np.ndarray] = {}
 
-    def sums() -> Iterator[pa.RecordBatch]:
-        for lang, parts in held.items():
-            key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            value = np.zeros(len(key), np.int64)
-            np.add.at(value, at, np.concatenate([v for _, v in parts]))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key >> 32), pa.array(key & 0xFFFFFFFF), pa.array(value)], ["lang", "a", "b", "value"])
+    def rows(lang: str, a: np.ndarray, b: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(a), pa.string()), pa.array(a), pa.array(b), pa.array(value)], ["lang", "a", "b", "value"])
 
     for batch in batches:
-        for row in range(batch.num_rows):
-            groups = batch.column("groups").slice(row, 1).flatten()
-            sid, p, p0 = (np.asarray(groups.field(c)).astype(np.int64) for c in ("sid", "p", "p0"))
-            order = np.argsort(sid)
+        langs, lang_of = np.unique(np.asarray(batch.column("lang").to_pylist(), object), return_inverse=True)
+        for k, lang in enumerate(langs):
+            groups = batch.column("groups").take(pa.array(np.flatnonzero(lang_of == k)))
+            size, flat = np.diff(np.asarray(groups.offsets)).astype(np.int64), groups.flatten()
+            sid, p, p0 = (np.asarray(flat.field(c)).astype(np.int64) for c in ("sid", "p", "p0"))
+            order = np.lexsort((sid, np.repeat(np.arange(len(size)), size)))
             sid, p, p0 = sid[order], p[order], p0[order]
-            wide = max(1, PAIRS // len(sid))
-            for a in range(0, len(sid), wide):
-                i, j = np.nonzero(sid[a : a + wide, None] < sid)
-                i += a
+            most = int(sid.max(initial=0)) + 1
+            for i, j in _pairs(size):
                 value = _f(p[i], p[j]) - _f(p[i], p0[j]) - _f(p0[i], p[j]) + _f(p0[i], p0[j])
-                held.setdefault(batch.column("lang")[row].as_py(), []).append((sid[i] << 32 | sid[j], value))
-                size += len(i)
-                if size > PAIRS:
-                    done = [*sums()]
-                    if (size := sum(b.num_rows for b in done)) > PAIRS // 2:
-                        yield from done
-                        held, size = {}, 0
-                    else:
-                        held = {b.column("lang")[0].as_py(): [(np.asarray(b.column("a")) << 32 | np.asarray(b.column("b")), np.asarray(b.column("value")))] for b in done if b.num_rows}
-    yield from sums()
+                if most * most > PAIRS:
+                    key, at = np.unique(sid[i] << 32 | sid[j], return_inverse=True)
+                    sums = np.zeros(len(key), np.int64)
+                    np.add.at(sums, at, value)
+                    yield rows(lang, key >> 32, key & 0xFFFFFFFF, sums)
+                    continue
+                mine = held.get(lang, np.zeros((0, 0), np.int64))
+                if len(mine) < most:
+                    held[lang] = np.pad(mine, (0, most - len(mine)))
+                    mine = held[lang]
+                np.add.at(mine, (sid[i], sid[j]), value)
+    for lang, sums in held.items():
+        a, b = np.nonzero(sums)
+        yield rows(lang, a, b, sums[a, b])
 
 
 def pair_divergences(counts: DataFrame, groups: DataFrame) -> DataFrame:

@@ -216,7 +216,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     scratch.drop(twice)
     each = places.groupBy("h", "x").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("u"), F.min_by("place", "u").alias("place"))
     each = scratch.keep(each)
-    crowded = each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most_passages).select("h", F.lit(True).alias("hot"))
+    # written, so that the join can split the rows of a crowded anchor
+    crowded = scratch.keep(each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most_passages).select("h", F.lit(True).alias("hot")))
     wanted = each.join(crowded, "h", "left").select("u", F.shiftrightunsigned("place", 38).alias("v"), F.struct("place", "h", "x", "n", F.coalesce("hot", F.lit(False)).alias("hot")).alias("w"))
     wanted = wanted.groupBy("u", "v").agg(F.collect_list("w").alias("wanted"))
     passages = scratch.keep(texts.join(wanted, ["u", "v"]).select("text", "wanted").mapInArrow(_fetched(window), "h long, x long, n long, hot boolean, words array<long>"))
