@@ -42,7 +42,7 @@ from lodestrata.llm.workers import resident
 FIT_PAGES = 300
 FIT_LAYOUTS = 1200
 HIDDEN = 20
-PATH_SLOTS, WORD_SLOTS, FIGURES = 256, 16, 4
+PATH_SLOTS, WORD_SLOTS, FIGURES = 256, 16, 5
 EPOCHS = 8
 DROPPED = 0.5
 BLOCKS_AT_ONCE = 8192
@@ -69,6 +69,13 @@ FURNITURE_NAMES = frozenset(
 )
 
 
+#: What no class names of an element that holds the article can hide, and what stays furniture whatever it holds.
+CONTENT_NAMES = frozenset("article content main post story entry".split())
+REMARKS = frozenset("comment comments discussion disqus footer nav navigation replies reply respond".split())
+#: A block in a plain element reads as prose from so many characters on.
+PROSE, LINKED = 40, 0.3
+
+
 def _names(attributes: str) -> tuple[str, ...]:
     found = NAMED.findall(attributes)
     return tuple(dict.fromkeys(p for f in found for p in NAME_PARTS.findall("".join(f).lower()))) if found else ()
@@ -77,9 +84,9 @@ def _names(attributes: str) -> tuple[str, ...]:
 def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
     """(tag path, text, share of linked characters) of each block, in order.
     A path is a tuple of (tag, name parts), outermost first."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], int]] = []
     out, parts = [], []
-    linked, link_depth = 0, 0
+    linked, link_depth, begun = 0, 0, 0
     open_ = []  # of LEFT_OUT: the tag, and what was there before it
 
     def end() -> None:
@@ -134,21 +141,61 @@ def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
             if len(stack) > (len(open_[-1][1]) if open_ else 0) and (stack[-1][0] == "p" or stack[-1][0] == tag == "li" or stack[-1][0] in ("dd", "dt") and tag in ("dd", "dt")):
                 stack.pop()  # these end where the next begins
             if tag not in VOID_TAGS:
-                stack.append((tag, _names(m.group(4))))
+                begun += 1
+                stack.append((tag, _names(m.group(4)), begun))
     end()
-    return out
-
-
-def taught(path: tuple) -> bool:
+    return [*_unwrapped(out)]
+
+
+def _furniture(tag: str, names: tuple[str, ...]) -> bool:
+    return tag in FURNITURE_TAGS or bool(FURNITURE_NAMES.intersection(names))
+
+
+def _unwrapped(blocks: list[tuple[tuple, str, float]]) -> Iterator[tuple[tuple, str, float]]:
+    """Paths without the elements' numbers. An element around the article is a
+    plain one, whatever its tag and names: the body, what holds a main element,
+    and what holds most of the page's unlinked text with a heading of the page
+    or a content element in it, remarks and navigation excepted."""
+    size: dict[int, float] = {}
+    holds_main: set[int] = set()
+    holds_content: set[int] = set()
+    for path, text, linked in blocks:
+        weight, main, content = len(text) * (1 - linked), False, path[-1][0] == "h1" if path else False
+        for tag, names, number in reversed(path):
+            size[number] = size.get(number, 0) + weight
+            if main:
+                holds_main.add(number)
+            if content:
+                holds_content.add(number)
+            plain = not _furniture(tag, names)
+            main |= tag == "main" and plain
+            content = (content and not REMARKS.intersection(names)) or (plain and (tag in ("article", "main") or bool(CONTENT_NAMES.intersection(names))))
+    whole = sum(len(text) * (1 - linked) for _, text, linked in blocks)
+    for path, text, linked in blocks:
+        yield tuple(
+            ("div", ())
+            if (_furniture(tag, names) or tag == "header") and (tag == "body" or number in holds_main or (number in holds_content and size[number] * 2 >= whole and tag not in ("nav", "footer") and not REMARKS.intersection(names)))
+            else (tag, names)
+            for tag, names, number in path
+        ), text, linked
+
+
+def prose(text: str, linked: float) -> bool:
+    """Whether a block reads as a sentence or more, and is not mostly links."""
+    return len(text) >= PROSE and linked < LINKED and text.rstrip("\"'”’)»").endswith((".", "!", "?", "…", "。"))
+
+
+def taught(path: tuple, text: str = "", linked: float = 0.0) -> bool:
     """The teaching rules: a block is main unless an ancestor is furniture by
     tag or name; outside an article, main, or a content element, only
-    paragraphs and headings count. A header counts within an article."""
+    paragraphs, headings and prose in plain elements count. A header counts
+    within an article. Elements around the article are plain (``_unwrapped``)."""
     inside = False
     for tag, names in path:
-        if tag in FURNITURE_TAGS or FURNITURE_NAMES.intersection(names) or (tag == "header" and not inside):
+        if _furniture(tag, names) or (tag == "header" and not inside):
             return False
-        inside |= tag in ("article", "main") or bool({"article", "content", "main", "post", "story", "entry"}.intersection(names))
-    return inside or (bool(path) and path[-1][0] in ("p", "h1", "h2", "h3", "blockquote", "pre"))
+        inside |= tag in ("article", "main") or bool(CONTENT_NAMES.intersection(names))
+    return inside or (bool(path) and (path[-1][0] in ("p", "h1", "h2", "h3", "blockquote", "pre") or (prose(text, linked) and path[-1][0] in ("div", "section", "td"))))
 
 
 def _slot(text: str, slots: int) -> tuple[int, float]:
@@ -192,7 +239,7 @@ def features(blocks: list[tuple[tuple, str, float]]) -> np.ndarray:
         signed = np.bincount(slots, minlength=2 * WORD_SLOTS)
         out[i, PATH_SLOTS:-FIGURES] = (signed[:WORD_SLOTS] - signed[WORD_SLOTS:]) / len(slots)
         n = len(text)
-        out[i, -FIGURES:] = (np.log1p(n) / 6, min(1.0, n / 400), linked, min(4, text.count(".") + text.count(",")) / 4)
+        out[i, -FIGURES:] = (np.log1p(n) / 6, min(1.0, n / 400), linked, min(4, text.count(".") + text.count(",")) / 4, prose(text, linked))
     return out
 
 
@@ -332,7 +379,12 @@ def layout(rng: np.random.Generator, words: list[str]) -> str:
     comments = lambda: part(pick("section", "div"), pick("comments", "discussion", "replies"), f"<h3>{say(1, 3)}</h3>" + "".join(part(pick("div", "article", "p"), pick("comment", "reply", ""), f"<p>{say(3, 40)}</p>") for _ in range(rng.integers(1, 5))))
     if rng.random() < 0.15:
         inner.append(comments())
-    wrapped = [part(*pick(("article", ""), ("article", ""), ("main", ""), ("div", "content"), ("div", "post"), ("div", "story"), ("section", "")), "".join(inner))]
+    if rng.random() < 0.2:  # divisions in place of paragraphs, with names that say nothing
+        name, around = ("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 6))) for _ in "ab")
+        inner = [x if not x.startswith("<p>") else part("div", name, x[3:-4].capitalize() + pick(".", "!", "?", ".")) for x in inner]
+        wrapped = [part("div", pick("", around), "".join(inner))]
+    else:
+        wrapped = [part(*pick(("article", ""), ("article", ""), ("main", ""), ("div", "content"), ("div", "post"), ("div", "story"), ("section", "")), "".join(inner))]
     if rng.random() < 0.25:
         wrapped = [part("main", "", wrapped[0])]
     elif rng.random() < 0.15:  # paragraphs that nothing encloses
@@ -348,7 +400,7 @@ def fit_labeller(pages: list[str], *, layouts: int = FIT_LAYOUTS, seed: int = 10
     parsed = [blocks_of(p) for p in pages]
     words = sorted({w for blocks in parsed for _, text, _ in blocks for w in text.split(" ")})[:20_000] or ["a"]
     parsed += [blocks_of(layout(rng, words)) for _ in range(layouts)]
-    return train([(features(b), np.array([taught(path) for path, _, _ in b], float)) for b in parsed if b], seed=seed)
+    return train([(features(b), np.array([taught(*block) for block in b], float)) for b in parsed if b], seed=seed)
 
 
 class Extractor:

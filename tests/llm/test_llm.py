@@ -583,7 +583,7 @@ def test_labeller_agrees_with_rules_on_unseen_layouts():
         blocks = html.blocks_of(html.layout(rng, words))
         if blocks:
             p, _ = html.forward(own.weights, *html._padded([html.features(blocks)]))
-            right += ((p[:, 0] >= 0.5) == np.array([html.taught(path) for path, _, _ in blocks])).sum()
+            right += ((p[:, 0] >= 0.5) == np.array([html.taught(*block) for block in blocks])).sum()
             total += len(blocks)
     assert right / total > 0.97
 
@@ -615,6 +615,26 @@ def test_main_text_of_hand_labelled_pages(spark):
     assert html.extract_main_text(table.limit(0)).count() == 0
 
 
+def test_main_text_inside_misleading_wrappers(spark):
+    from hand_labelled import PAGES as plain
+    from wrapped_pages import PAGES
+
+    sample = [r.html or "" for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").limit(html.FIT_PAGES).collect()]
+    own = html.Extractor(html.fit_labeller(sample))
+    for pages in (PAGES, plain):
+        got = own.texts([page for page, _ in pages])
+        assert [(p[0], g) for p, g in zip(pages, got, strict=True) if p[1] != g] == []
+    assert len(PAGES) == 60
+
+
+def test_wrappers_stay_furniture_without_the_article():
+    kept = lambda page: [text for path, text, linked in html.blocks_of(page) if html.taught(path, text, linked)]
+    story = "<article><h1>Title of it</h1><p>One sentence of the article that is long.</p></article>"
+    long = "A remark that goes on and on and is far longer than the article itself. " * 9
+    assert kept(f"<body>{story}<section class='comments'><article><p>{long}</p></article></section></body>") == ["Title of it", "One sentence of the article that is long."]
+    assert kept(f"<body>{story}<div class='sidebar'><div class='content'><p>Widget.</p></div></div></body>") == ["Title of it", "One sentence of the article that is long."]
+
+
 def test_a_very_long_page():
     from hand_labelled import PAGES
 
