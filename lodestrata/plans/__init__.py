@@ -8,3 +8,4 @@ from lodestrata.plans import talks as _talks  # noqa: F401
 from lodestrata.plans import likenesses as _likenesses  # noqa: F401
 from lodestrata.plans import sinks as _sinks  # noqa: F401
 from lodestrata.plans import audited as _audited  # noqa: F401
+from lodestrata.plans import forms as _forms  # noqa: F401

@@ -158,11 +158,11 @@ def categories_of_customers(spark, d):
     return glue.category_warnings(decrees, e).withColumnRenamed("ord", "c_custkey")
 
 
-@query("""SELECT DISTINCT name FROM (SELECT c_name name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_mktsegment FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT p_name FROM part WHERE p_size % 4 IN (0, 1)) WHERE name NOT IN (SELECT p_name FROM part WHERE p_size % 4 IN (2, 3)) AND name NOT IN (SELECT c_name FROM customer WHERE c_custkey % 6 = 0)""")
+@query("""SELECT DISTINCT name FROM (SELECT c_name name FROM customer UNION ALL SELECT c_mktsegment FROM customer UNION ALL SELECT p_name FROM part WHERE p_size % 4 IN (0, 1)) WHERE name NOT IN (SELECT p_name FROM part WHERE p_size % 4 IN (2, 3)) AND name NOT IN (SELECT c_name FROM customer WHERE c_acctbal < 0)""")
 def settled_names_of_tables(spark, d):
     c, size = read(spark, d, "customer"), F.col("p_size")
     prior = read(spark, d, "part").select(F.col("p_name").alias("canonical"), none().alias("variants"), one_of(size, "verified", "user", "recheck", "contested").alias("confidence"))
-    return glue.settled(c.where("c_custkey % 2 = 0").select(F.col("c_name").alias("query"), F.col("c_mktsegment").alias("canonical")), prior, c.where("c_custkey % 6 = 0").select(F.col("c_name").alias("name")))
+    return glue.settled(c.select(F.col("c_name").alias("query"), F.col("c_mktsegment").alias("canonical")), prior, c.where("c_acctbal < 0").select(F.col("c_name").alias("name")))
 
 
 # ---- scores -------------------------------------------------------------------
