@@ -442,7 +442,8 @@ def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def keep_one_of_each(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents with one row of each group of near copies: the first by
     id, of equal ids the first by text. Rows without an id stay. Different
-    texts of one id are documents of their own."""
+    texts of one id are documents of their own. Rows are told apart by two
+    hashes where one of each is kept."""
     own = docs.where("doc_id is not null").withColumn("node_", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     near = near_documents(own, id_col="node_", words=words, percent=percent).select(F.col("doc_id").alias("node_"), F.col("component_id").alias("component_")).distinct()
     scratch = Scratch(docs.sparkSession)
@@ -454,4 +455,4 @@ def keep_one_of_each(docs: DataFrame, *, words: int = 5, percent: int = 80) -> D
     tied = first.join(each.where("n_ > 1").select("component_"), "component_").select("node_", "component_")
     broken = own.select("node_", "text").join(tied, "node_").groupBy("component_").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "node_"))["node_"].alias("node_"))
     kept = scratch.only(each.where("n_ = 1").select("node_").union(broken.select("node_")))
-    return docs.where("doc_id is null").unionByName(own.join(kept, "node_", "left_semi").dropDuplicates(["node_"]).drop("node_"))
+    return docs.where("doc_id is null").unionByName(own.join(kept, "node_", "left_semi").withColumn("other_", F.xxhash64(F.lit("other"), "text", "doc_id")).dropDuplicates(["node_", "other_"]).drop("node_", "other_"))
