@@ -7,6 +7,9 @@ shingle), so work grows with the texts and not with pairs of turns.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +61,76 @@ def anchored(source: DataFrame, refined: DataFrame, id_col: str) -> DataFrame:
     return out.where((F.col("shared") >= ANCHOR_SHINGLES) & (F.col("share") >= ANCHOR_SHARE))
 
 
+def candidates(source: DataFrame, refined: DataFrame, id_col: str) -> DataFrame:
+    """(id, turn_no, source_no, shared): all source turns that hold enough of a refined turn's shingles."""
+    a = shingled(source, [id_col, "turn_no"], "text", False).withColumnRenamed("turn_no", "source_no")
+    b = shingled(refined, [id_col, "turn_no"], "text", False)
+    total = b.groupBy(id_col, "turn_no").agg(F.count(F.lit(1)).alias("total"))
+    met = b.join(a, [id_col, "shingle"]).groupBy(id_col, "turn_no", "source_no").agg(F.count(F.lit(1)).alias("shared"))
+    return met.join(total, [id_col, "turn_no"]).where((F.col("shared") >= ANCHOR_SHINGLES) & (F.col("shared") / F.col("total") >= ANCHOR_SHARE)).drop("total")
+
+
+def heaviest_chain(pairs: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Of (turn, source, weight) sorted by turn those that go forward in both and
+    weigh most together; a turn is taken once, a source turn as often as need be.
+    A staircase holds, for each last source turn, the best weight so far."""
+    stairs: list[tuple[int, int, int]] = []  # (source, weight, place in ``back``), rising in both
+    back: list[tuple[int, int, int]] = []
+    at = 0
+    while at < len(pairs):
+        turn, fresh = pairs[at][0], []
+        while at < len(pairs) and pairs[at][0] == turn:
+            _, source, weight = pairs[at]
+            i = bisect_right(stairs, source, key=lambda x: x[0])
+            best, before = (stairs[i - 1][1], stairs[i - 1][2]) if i else (0, -1)
+            back.append((turn, source, before))
+            fresh.append((source, best + weight, len(back) - 1))
+            at += 1
+        for step in fresh:
+            i = bisect_right(stairs, step[0], key=lambda x: x[0])
+            if i and stairs[i - 1][1] >= step[1]:
+                continue
+            start = i - 1 if i and stairs[i - 1][0] == step[0] else i
+            while i < len(stairs) and stairs[i][1] <= step[1]:
+                i += 1
+            stairs[start:i] = [step]
+    out, place = [], stairs[-1][2] if stairs else -1
+    while place >= 0:
+        turn, source, place = back[place]
+        out.append((turn, source))
+    return out[::-1]
+
+
+def aligned(source: DataFrame, refined: DataFrame, id_col: str) -> DataFrame:
+    """(id, turn_no, source_no, shared): refined turns aligned to source turns
+    without going back: of all anchors those that rise in both texts and share
+    most shingles together. Turns that moved have anchors but no alignment. A
+    task holds the anchors of one text at a time, whose texts are no longer
+    there."""
+    pairs = candidates(source, refined, id_col)
+    kind = pairs.schema[id_col].dataType.simpleString()
+
+    def chains(batches):
+        now, held = None, []
+
+        def done():
+            weight = {(t, s): w for t, s, w in held}
+            return pd.DataFrame([(now, t, s, weight[t, s]) for t, s in heaviest_chain(held)], columns=[id_col, "turn_no", "source_no", "shared"])
+
+        for pdf in batches:
+            for row in pdf.itertuples(index=False, name=None):
+                if held and row[0] != now:
+                    yield done()
+                    held = []
+                now = row[0]
+                held.append(tuple(map(int, row[1:])))
+        if held:
+            yield done()
+
+    ordered = pairs.select(id_col, F.col("turn_no").cast("long"), F.col("source_no").cast("long"), F.col("shared").cast("long")).repartition(id_col).sortWithinPartitions(id_col, "turn_no", "source_no")
+    return ordered.mapInPandas(chains, f"{id_col} {kind}, turn_no long, source_no long, shared long")
+
+
 def attribution(source: DataFrame, refined: DataFrame, id_col: str) -> DataFrame:
     """(id, turn_no, speaker, expected, label, tier): refined turns under
     another known label than the one that most of their source speaker's turns

@@ -58,6 +58,22 @@ def anchors_of_copies(spark, d):
     return anchors.anchored(a, b, "id").select("id", "turn_no", "source_no", "shared")
 
 
+#: Where a turn of a copy goes when the second and the third change places.
+MOVED = "CASE WHEN id % 2 = 0 AND no IN (2, 3) THEN 5 - no ELSE no END"
+
+
+@query(f"""WITH RECURSIVE {TURNS}, m AS (SELECT id, {MOVED} no, y FROM c), a AS (SELECT id, no, unnest({SHINGLES}) s FROM (SELECT id, no, {PLAIN.format("x")} k FROM c)), b AS (SELECT id, no, unnest({SHINGLES}) s FROM (SELECT id, no, {PLAIN.format("y")} k FROM m)),
+n AS (SELECT id, no, count(*) total FROM b GROUP BY ALL), p AS (SELECT b.id, b.no, a.no src, count(*) shared FROM b JOIN a ON a.id = b.id AND a.s = b.s JOIN n ON n.id = b.id AND n.no = b.no GROUP BY b.id, b.no, a.no, total HAVING count(*) >= 4 AND count(*) / total >= 0.4),
+w AS (SELECT id, no, src, shared FROM p UNION SELECT w.id, p.no, p.src, w.shared + p.shared FROM w JOIN p ON p.id = w.id AND p.no > w.no AND p.src >= w.src)
+SELECT id, max(shared)::BIGINT shared FROM w GROUP BY id""")
+def alignment_of_copies(spark, d):
+    """What copies with two turns exchanged share with their sources in order."""
+    rows = _turns(spark, d)
+    moved = rows.withColumn("no", F.when((F.col("id") % 2 == 0) & F.col("no").isin(2, 3), 5 - F.col("no")).otherwise(F.col("no")))
+    a, b = rows.select("id", F.col("no").alias("turn_no"), F.col("x").alias("text")), moved.select("id", F.col("no").alias("turn_no"), F.col("y").alias("text"))
+    return anchors.aligned(a, b, "id").groupBy("id").agg(F.sum("shared").alias("shared"))
+
+
 @query(f"""WITH {TURNS}, {ANCHORED}, r AS (SELECT n.id, n.no, n.shared, s.who, x.lab FROM n JOIN c s ON s.id = n.id AND s.no = n.src JOIN c x ON x.id = n.id AND x.no = n.no WHERE NOT starts_with(s.x, '~~')),
 k AS (SELECT id, who, lab, count(*) m, sum(count(*)) OVER (PARTITION BY id, who) total FROM r GROUP BY id, who, lab), l AS (SELECT id, who, lab expected FROM k WHERE total >= 3 AND m > 0.6 * total)
 SELECT r.id, no turn_no, r.who speaker, expected, r.lab "label", CASE WHEN (SELECT count(DISTINCT who) FROM c WHERE c.id = r.id) >= 3 AND shared < 40 THEN 'review' ELSE 'mismatch' END tier FROM r JOIN l ON l.id = r.id AND l.who = r.who WHERE r.lab <> expected""")
