@@ -108,6 +108,23 @@ def chunk_size(value: str) -> int | None:
     return int(value) if value.isascii() and value.isdigit() and int(value) >= LEAST_CHUNK else None
 
 
+def chunk_sizes(value: Column) -> Column:
+    """P17 over a column: a whole number of LEAST_CHUNK or more, else null."""
+    n = F.when(value.rlike(r"\A[0-9]{1,18}\z"), value.cast("long"))
+    return F.when(n >= LEAST_CHUNK, n)
+
+
+def scope_errors(scope: Column, files: Column) -> Column:
+    """P13 over columns: what is wrong with a run's scope (an array), null if nothing."""
+    unknown = F.array_except(scope, F.array(*map(F.lit, SCOPES)))
+    asked = F.filter(scope, lambda s: s.isin(*NEED_REFINED))
+    return (
+        F.when(F.coalesce(files, F.lit(0)) == 0, "no files")
+        .when(F.size(unknown) > 0, F.concat(F.lit("unknown: "), F.array_join(unknown, ", ")))
+        .when(~F.array_contains(scope, "refine") & (F.size(asked) > 0), F.concat(F.lit("needs refine: "), F.array_join(asked, ", ")))
+    )
+
+
 def safe_params(params: DataFrame) -> DataFrame:
     """P14."""
     return params.drop(*DANGEROUS)

@@ -85,3 +85,18 @@ def concluded_customers(spark, d):
     hit = F.when(n % 5 == 0, name).when(n % 5 == 1, variant).otherwise(F.col("c_mktsegment"))
     r = c.where("c_custkey % 3 < 2").select(F.col("c_nationkey").alias("key"), F.when(n % 3 == 0, name).otherwise(variant).alias("query"), hit.alias("hit_canonical"), F.when(n % 2 == 0, "").otherwise(F.concat(F.lit("id"), n.cast("string"))).alias("identity"), F.when(n % 8 < 5, "www.a.com").otherwise("网络搜索").alias("source"), (n % 9 == 0).alias("two_key"))
     return entities.applied_conclusions(e, r).select(F.col("ord").alias("c_custkey"), "canonical", "variants", "hint", "applied", "rejected", "confidence")
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 AND o_custkey * 10 >= {glue.LEAST_CHUNK} THEN o_custkey * 10 END size FROM orders""")
+def chunk_sizes_of_orders(spark, d):
+    said = F.concat((F.col("o_custkey") * 10).cast("string"), F.when(F.col("o_orderkey") % 3 == 2, "x").otherwise(""))
+    return read(spark, d, "orders").select("o_orderkey", glue.chunk_sizes(said).alias("size"))
+
+
+NEEDED = sorted(glue.NEED_REFINED)[0]
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN 'no files' WHEN o_orderstatus = 'P' THEN 'unknown: P' WHEN o_orderstatus = 'F' THEN 'needs refine: {NEEDED}' END error FROM orders""")
+def scopes_of_orders(spark, d):
+    scope = F.when(F.col("o_orderstatus") == "P", F.array(F.lit("refine"), F.col("o_orderstatus"))).when(F.col("o_orderstatus") == "F", F.array(F.lit(NEEDED))).otherwise(F.array(F.lit("refine"), F.lit(NEEDED)))
+    return read(spark, d, "orders").select("o_orderkey", glue.scope_errors(scope, F.col("o_custkey") % 5).alias("error"))
