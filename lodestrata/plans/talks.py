@@ -123,6 +123,40 @@ def endings_of_copies(spark, d):
     return anchors.ending_missing(_pair(spark, d)[2], cut, "id")
 
 
+@query(f"""WITH {TURNS} SELECT id, no turn_no, who speaker, CASE WHEN id % 3 = 2 THEN '' ELSE '00:' || lpad(no::VARCHAR, 2, '0') END ts, CASE WHEN id % 3 = 0 THEN 2 * no - 1 ELSE no END start_line, CASE WHEN id % 3 = 0 THEN 2 * no ELSE no END end_line, '—' || x AS "text" FROM c""")
+def turns_in_three_forms(spark, d):
+    """Labels with a time on lines of their own, bold labels, and plain ones."""
+    rows = _turns(spark, d).withColumn("x", F.concat(F.lit("—"), "x"))
+    ts = F.concat(F.lit("00:"), F.lpad(F.col("no").cast("string"), 2, "0"))
+    line = F.when(F.col("id") % 3 == 0, F.concat("who", F.lit(" "), ts, F.lit("\n"), "x")).when(F.col("id") % 3 == 1, F.concat(F.lit("**"), "who", F.lit(" "), ts, F.lit("**："), "x")).otherwise(F.concat("who", F.lit("："), "x"))
+    text = rows.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    return anchors.speaker_turns(text, "id", "text").select("id", "turn_no", "speaker", "ts", "start_line", "end_line", "text")
+
+
+#: Names whose lines need a mark of doubt.
+DOUBTED = ("the", "und", "les ", "de la", "zzzz")
+
+
+@query(f"""WITH l AS (SELECT doc_id, i line_no, string_split(text, chr(10))[i] line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) x(i)) SELECT doc_id, n AS "name", line_no FROM l, (SELECT unnest([{', '.join(f"'{n}'" for n in DOUBTED)}]) n) WHERE line_no % 2 = 1 AND contains(line, n)""")
+def unmarked_names(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    marked = F.transform(F.split("text", "\n", -1), lambda line, i: F.when(i % 2 == 1, F.concat(line, F.lit("（音）"))).otherwise(line))
+    names = spark.createDataFrame([(n,) for n in DOUBTED], "name string")
+    return anchors.missing_marks(docs.withColumn("text", F.array_join(marked, "\n")), names, "doc_id", "text")
+
+
+#: Sixty characters in one order; a text has some of them, a quote the same or the other way round.
+HAN = "".join(chr(0x4E00 + 7 * i) for i in range(60))
+
+
+@query(f"""SELECT doc_id, reverse(substr('{HAN}', (1 + doc_id % 40)::INTEGER, 20)) quote FROM documents WHERE doc_id % 2 = 1""")
+def quotes_made_up(spark, d):
+    docs, said = read(spark, d, "documents"), F.substring(F.lit(HAN), (F.col("doc_id") % 40 + 1).cast("int"), F.lit(20))
+    source = docs.select("doc_id", F.concat(F.coalesce("text", F.lit("")), said).alias("text"))
+    quote = F.when(F.col("doc_id") % 2 == 0, said).otherwise(F.reverse(said))
+    return anchors.fabricated_quotes(source, docs.select("doc_id", F.concat(F.lit("他说“"), quote, F.lit("”，又说“好”")).alias("text")), "doc_id").select("doc_id", "quote")
+
+
 # ---- orders and spans over the tables --------------------------------------------
 @query("""WITH RECURSIVE l AS (SELECT l_orderkey k, l_linenumber item, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey) i, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_linenumber, l_partkey) j FROM lineitem),
 m AS (SELECT a.k, a.i, b.j FROM l a JOIN l b ON b.k = a.k AND b.item = a.item), w AS (SELECT k, i, j, 1 n FROM m UNION SELECT w.k, m.i, m.j, w.n + 1 FROM w JOIN m ON m.k = w.k AND m.i > w.i AND m.j > w.j)
