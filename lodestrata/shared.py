@@ -35,10 +35,6 @@ class Steps:
         df.write.parquet(f"{self.folder}/{self.count}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.count}")
 
-    def drop(self, df: DataFrame) -> None:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            self._clear(path)
-
     def last(self, df: DataFrame) -> DataFrame:
         out = self.keep(df)
         for i in range(1, self.count):
