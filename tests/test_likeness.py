@@ -61,6 +61,12 @@ def test_idioms_inside_numerals_are_none():
     assert [a["key"] for a in atoms.extract("二万一千元，万一不行，一些一下")] == ["21000|元"]
 
 
+def test_amounts_stay_when_written_out(spark):
+    rows = [("亏损二十万元", "亏损200000元"), ("亏损200000元", "亏损20万"), ("亏损1.1万元", "盈利11000元"), ("亏损二十万元", "亏损20元"), ("来了二十万人", "来了200000元"), ("亏损二十万元", "没有数"), ("亏损三元", "没有数"), ("亏损三元", "亏损3元")]
+    df = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "id long, turn_no long, source string, refined string")
+    assert {(r.turn_no, r.dropped, r.polarity_lost) for r in atoms.drift(df, "id").collect()} == {(2, 0, 1), (3, 1, 0), (4, 1, 0), (5, 1, 0), (6, 1, 0)}
+
+
 def test_places_map_to_lines(spark):
     text = "甲a乙\n<!-- 丙\n丁 -->\n戊己\n\n庚" + "\n辛" * 3000
     rows = spark.createDataFrame([(1, text), (2, None), (3, "abc")], "id long, text string")
