@@ -9,6 +9,8 @@ from lodestrata.operators.components import meet
 
 #: Characters of a run by which a quote meets its source.
 GRAM = 6
+#: What stands for a replaced character.
+BLANK = "\0"
 
 
 def deletions(name: Column, most: int) -> Column:
@@ -20,15 +22,41 @@ def deletions(name: Column, most: int) -> Column:
     return found
 
 
+def blanked(name: Column, most: int) -> Column:
+    """The name with ``most`` of its characters blanked, in all ways."""
+    size = F.char_length(name)
+    found = F.array(F.struct(name.alias("form"), F.lit(0).alias("at")))
+    for left in reversed(range(most)):
+        # the next blank stands behind the last one, and leaves room for those to come
+        places = lambda x: F.sequence(x["at"] + 1, F.greatest(size - left, x["at"] + 1))  # noqa: B023, E731
+        found = F.flatten(F.transform(found, lambda x: F.transform(places(x), lambda i: F.struct(F.overlay(x["form"], F.lit(BLANK), i, F.lit(1)).alias("form"), i.alias("at")))))  # noqa: B023
+    return F.when(size >= most, F.transform(found, lambda x: x["form"])).otherwise(F.array().cast("array<string>"))
+
+
 def near_names(left: DataFrame, right: DataFrame, keys: list[str], most: int = 1) -> DataFrame:
     """(keys, name, other, edits): names of ``left`` within ``most`` insertions,
     deletions and replacements of a name of ``right`` (both keys, name), equal
-    ones left out. Two such names leave a common rest when up to ``most``
-    characters of each are deleted, so they meet by an equi-join on the rests;
-    the distance is then computed. Each name counts once; nulls meet nothing."""
-    rests = lambda d, name: d.select(*keys, F.col("name").alias(name)).where(F.col(name).isNotNull()).distinct().withColumn("rest_", F.explode(deletions(F.col(name), most)))
-    met = meet(rests(left, "name"), rests(right, "other"), [*keys, "rest_"]).where("name != other").select(*keys, "name", "other").distinct()
-    return met.withColumn("edits", F.levenshtein("name", "other").cast("long")).where(F.col("edits") <= most)
+    ones left out. Each name counts once; nulls meet nothing.
+
+    Where ``most`` characters were replaced, the two names with those blanked are
+    the same; otherwise some rest is left of both when fewer than twice ``most``
+    characters are deleted, of the two together. So they meet by an equi-join on
+    hashes of such forms, and the distance is then computed. Every name has
+    hundreds of forms, which Spark does not foresee: they are always sorted
+    and merged, never sent to all."""
+
+    def forms(d: DataFrame, name: str, cut: str) -> DataFrame:
+        own = d.select(*keys, F.col("name").alias(name)).where(F.col(name).isNotNull()).distinct()
+        each = own.withColumn("form_", F.explode(F.concat(deletions(F.col(name), most), blanked(F.col(name), most))))
+        return each.select(*keys, name, F.xxhash64(*keys, "form_").alias("form_"), (F.char_length(name) - F.char_length("form_")).alias(cut))
+
+    rest, other = forms(left, "name", "cut_"), forms(right, "other", "cut_other_").hint("merge")
+    other = other.withColumnsRenamed({k: f"{k}_right_" for k in keys} | {"form_": "form_right_"})
+    on = (rest["form_"] == other["form_right_"]) & (F.col("cut_") + F.col("cut_other_") < 2 * most) & (F.col("name") != F.col("other"))
+    for k in keys:
+        on = on & rest[k].eqNullSafe(other[f"{k}_right_"])
+    near = rest.join(other, on & (F.levenshtein("name", "other", most) >= 0)).select(*keys, "name", "other").distinct()
+    return near.withColumn("edits", F.levenshtein("name", "other").cast("long"))
 
 
 def grams(rows: DataFrame, keys: list[str], text: str, k: int = GRAM) -> DataFrame:

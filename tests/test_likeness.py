@@ -106,3 +106,10 @@ def test_ageing_runs_again_and_forgets_old_versions(spark, tmp_path):
                 state[key, old[1]] = number
         assert {(x.k, x.name): x.verified for x in ledger.latest(spark, path).collect()} == state
     assert ledger.committed(spark, path) == [4, 5]
+
+
+def test_forms_of_names_are_never_sent_to_all(spark, tmp_path):
+    spark.createDataFrame([(1, f"Customer#{i:09d}") for i in range(50)], "k long, name string").write.parquet(f"{tmp_path}/names")
+    names = spark.read.parquet(f"{tmp_path}/names")
+    plan = likeness.near_names(names, names, ["k"], 2)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
