@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.operators.components import meet
-
 #: Characters of a run by which a quote meets its source.
 GRAM = 6
 #: What stands for a replaced character.
@@ -47,7 +48,7 @@ def near_names(left: DataFrame, right: DataFrame, keys: list[str], most: int = 1
 
     def forms(d: DataFrame, name: str, cut: str) -> DataFrame:
         own = d.select(*keys, F.col("name").alias(name)).where(F.col(name).isNotNull()).distinct()
-        each = own.withColumn("form_", F.explode(F.concat(deletions(F.col(name), most), blanked(F.col(name), most))))
+        each = own.withColumn("form_", F.explode_outer(F.concat(deletions(F.col(name), most), blanked(F.col(name), most))))
         return each.select(*keys, name, F.xxhash64(*keys, "form_").alias("form_"), (F.char_length(name) - F.char_length("form_")).alias(cut))
 
     rest, other = forms(left, "name", "cut_"), forms(right, "other", "cut_other_").hint("merge")
@@ -59,12 +60,27 @@ def near_names(left: DataFrame, right: DataFrame, keys: list[str], most: int = 1
     return near.withColumn("edits", F.levenshtein("name", "other").cast("long"))
 
 
+def plain(text: str) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
+
+
 def grams(rows: DataFrame, keys: list[str], text: str, k: int = GRAM) -> DataFrame:
     """(keys, at, gram): every run of k characters of a text without white space, and where it stands."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
-    n = F.char_length("plain_")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring("plain_", i, k))
-    return rows.select(*keys, plain.alias("plain_")).where(n >= k).select(*keys, F.posexplode(runs).alias("at", "gram"))
+    runs = F.regexp_extract_all(plain(text), F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))
+    return rows.select(*keys, F.posexplode_outer(runs).alias("at", "gram")).where("gram is not null")
+
+
+def held(k: int) -> Callable[..., Column]:
+    """Of a text and some grams of k characters: where which of them stand in it."""
+
+    def places(text: str, wanted: set[str]) -> list[dict]:
+        return [{"s": i, "gram": text[i : i + k]} for i in range(len(text) - k + 1) if text[i : i + k] in wanted]
+
+    @F.pandas_udf("array<struct<s: int, gram: string>>")
+    def held_in(texts: pd.Series, grams: pd.Series) -> pd.Series:
+        return pd.Series([places(t, set(g)) for t, g in zip(texts, grams, strict=True)], dtype=object)
+
+    return held_in
 
 
 def quote_support(quotes: DataFrame, sources: DataFrame, key: str, k: int = GRAM) -> DataFrame:
@@ -73,19 +89,20 @@ def quote_support(quotes: DataFrame, sources: DataFrame, key: str, k: int = GRAM
     and the longest stretch that stands there in one piece, in characters. White
     space does not count; shorter quotes are left out.
 
-    An inverted index of grams is probed by the quotes' grams; a stretch is a
-    run of neighbouring grams whose places in quote and source keep one
-    distance. A gram that repeats in a source meets each of its places, as it
-    may belong to any stretch there.
+    A source meets all grams that quotes ask of it, and one pass over it gives
+    the places of those only; a stretch is a run of neighbouring grams whose
+    places in quote and source keep one distance. A gram that repeats in a source
+    meets each of its places, as it may belong to any stretch there.
     """
     asked = grams(quotes, ["quote_id", key], "quote", k).withColumnRenamed("at", "q")
     total = asked.groupBy("quote_id").agg(F.count(F.lit(1)).alias("n_grams"))
-    wanted = asked.select(key, "gram").distinct()
-    index = grams(sources, [key], "text", k).withColumnRenamed("at", "s").join(wanted, [key, "gram"], "left_semi")
+    wanted = asked.groupBy(key).agg(F.collect_set("gram").alias("wanted_"))
+    met_sources = sources.select(key, plain("text").alias("plain_")).join(wanted, key)
+    index = met_sources.select(key, F.explode(held(k)("plain_", "wanted_")).alias("h")).select(key, "h.s", "h.gram")
     met = asked.join(index, [key, "gram"]).select("quote_id", "q", (F.col("s") - F.col("q")).alias("shift")).distinct()
-    found = met.groupBy("quote_id").agg(F.count_distinct("q").alias("found"))
-    w = Window.partitionBy("quote_id", "shift").orderBy("q")
-    runs = met.withColumn("run", F.col("q") - F.row_number().over(w)).groupBy("quote_id", "shift", "run").agg((F.count(F.lit(1)) + k - 1).alias("n"))
-    longest = runs.groupBy("quote_id").agg(F.max("n").alias("longest"))
+    once = F.row_number().over(Window.partitionBy("quote_id", "q").orderBy("shift")) == 1
+    step = F.row_number().over(Window.partitionBy("quote_id", "shift").orderBy("q"))
+    runs = met.withColumn("once", once.cast("long")).withColumn("run", F.col("q") - step).groupBy("quote_id", "shift", "run").agg((F.count(F.lit(1)) + k - 1).alias("n"), F.sum("once").alias("once"))
+    best = runs.groupBy("quote_id").agg(F.sum("once").alias("found"), F.max("n").alias("longest"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return total.join(found, "quote_id", "left").join(longest, "quote_id", "left").select("quote_id", "n_grams", zero("found"), zero("longest"))
+    return total.join(best, "quote_id", "left").select("quote_id", "n_grams", zero("found"), zero("longest"))

@@ -113,3 +113,12 @@ def test_forms_of_names_are_never_sent_to_all(spark, tmp_path):
     names = spark.read.parquet(f"{tmp_path}/names")
     plan = likeness.near_names(names, names, ["k"], 2)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_only_grams_that_are_asked_for_leave_a_source(spark):
+    quotes = spark.createDataFrame([(1, 1, "𠀀bcdef𠀀"), (2, 1, "nowhere")], "quote_id long, k long, quote string")
+    sources = spark.createDataFrame([(1, "x𠀀bc def𠀀" * 3), (1, "𠀀bcdef")], "k long, text string")
+    out = likeness.quote_support(quotes, sources, "k")
+    assert sorted(map(tuple, out.collect())) == [(1, 2, 2, 7), (2, 2, 0, 0)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "LeftSemi" not in plan
