@@ -154,8 +154,11 @@ def apply_decrees(entities: DataFrame, decrees: DataFrame, key: str = "topic") -
     rows = _with_rids(entities.select(key, "ord", "canonical", "variants", "hint").withColumn("bare", F.array_distinct(bare())), steps)
     orders = _with_rids(decrees.select(key, "ord", "canonical", "variants", "note").withColumn("own", strip_description(F.col("canonical"))).where("own != ''").withColumn("bare", bare()), steps)
     written = orders.select(key, F.col("rid").alias("d"), F.explode(F.array_distinct("bare")).alias("name"))
-    hits = steps.keep(meet(rows.select(key, "rid", F.explode("bare").alias("name")), written, [key, "name"]).select("rid", "d").distinct())
-    edges = hub_edges(orders.select(key, "own", "rid"), [key, "own"], "rid").unionByName(hub_edges(hits, ["rid"], "d"))
+    # decrees that write a name which some row has are linked with the first of them, and rows hit that one only
+    named = rows.select(key, "rid", F.explode("bare").alias("name"))
+    used = steps.keep(meet(written, named.select(key, "name").distinct(), [key, "name"]))
+    hits = steps.keep(meet(named, used.groupBy(key, "name").agg(F.min("d").alias("d")), [key, "name"]).select("rid", "d").distinct())
+    edges = hub_edges(orders.select(key, "own", "rid"), [key, "own"], "rid").unionByName(hub_edges(used, [key, "name"], "d")).unionByName(hub_edges(hits, ["rid"], "d"))
     comp = components(edges, steps).select(F.col("node").alias("rid"), F.col("component").alias("home"))
     led = steps.keep(orders.join(comp, "rid", "left").withColumn("home", F.coalesce("home", "rid")).withColumn("seq", F.struct(F.lit(0).alias("part"), "ord", "rid")))
     first_hit = hits.groupBy("rid").agg(F.min("d").alias("d")).join(led.select(F.col("rid").alias("d"), "home"), "d").select("rid", "home")

@@ -111,3 +111,13 @@ def test_points_meet_spans_over_bins(spark):
     s, p = spark.createDataFrame(spans, "k long, i long, a long, b long"), spark.createDataFrame(points, "k long, x long")
     got = sorted((x.k, x.x, x.i) for x in turns.inside(p, "x", s, "a", "b", ["k"], 16).collect())
     assert got == sorted((k, x, i) for k, x in points for j, i, a, b in spans if k is not None and k == j and a <= x <= b)
+
+
+def test_rows_hit_one_decree_of_a_name(spark, monkeypatch):
+    rows = spark.createDataFrame([("t", i, "a", ["b"], "") for i in range(50)], "topic string, ord long, canonical string, variants array<string>, hint string")
+    orders = spark.createDataFrame([("t", i, f"c{i}", ["b"], "") for i in range(40)] + [("t", 40, "d", ["e"], ""), ("t", 41, "f", ["e"], "")], "topic string, ord long, canonical string, variants array<string>, note string")
+    sizes, keep = [], clusters.Steps.keep
+    monkeypatch.setattr(clusters.Steps, "keep", lambda self, df: [out := keep(self, df), sizes.append(out.count())][0])
+    got = clusters.apply_decrees(rows, orders).orderBy("ord").collect()
+    assert [(r.canonical, r.conflict, r.source_ord) for r in got] == [("c0", True, 0), ("d", False, -1), ("f", False, -1)]
+    assert max(sizes) <= 50 + 42
