@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import HAN, WS, occurrences
-from lodestrata.operators.audit import shingled
+from lodestrata.operators.audit import SHINGLE, shingled
 from lodestrata.operators.names import name_hits
 from lodestrata.operators.turns import inside, islands, lines, sections
 
@@ -23,6 +23,8 @@ ANCHOR_SHINGLES, ANCHOR_SHARE = 4, 0.4
 MIN_SAMPLE, MAJORITY = 3, 0.6
 QUOTE_HAN, QUOTE_SUPPORT = 12, 0.5
 MOST_SUBSTITUTED = 3
+#: Shingles that a text is searched for one by one.
+MOST_SOUGHT = 64
 GAP_MARK = "<!-- 此处可能缺失原文"
 ANCHOR_MARK = "<!-- source:"
 
@@ -155,7 +157,12 @@ def fabricated_quotes(source: DataFrame, refined: DataFrame, id_col: str) -> Dat
     spans = refined.select(id_col, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("“([^”]+)”"), F.lit(1)))).alias("quote"))
     spans = spans.where(F.regexp_count("quote", F.lit(HAN)) >= QUOTE_HAN)
     mine = shingled(spans, [id_col, "quote"], "quote", False)
-    have = shingled(source, [id_col], "text", False).distinct().withColumn("found", F.lit(1))
+    # a text is only asked for the shingles of its quotes: few are looked for one by one, many met with its own
+    wanted = mine.groupBy(id_col).agg(F.collect_set(F.replace("shingle", F.lit(" "), F.lit(""))).alias("wanted_"))
+    plain = source.select(id_col, F.regexp_replace("text", "[^一-龥A-Za-z0-9]+", "").alias("plain_")).join(wanted, id_col)
+    own = F.regexp_extract_all("plain_", F.lit(f"(?=({'.' * SHINGLE}))."), F.lit(1))
+    held = F.when(F.size("wanted_") <= MOST_SOUGHT, F.filter("wanted_", lambda s: F.contains("plain_", s))).otherwise(F.array_intersect("wanted_", own))
+    have = plain.select(id_col, F.explode_outer(held).alias("shingle")).where("shingle is not null").select(id_col, F.array_join(F.split("shingle", ""), " ").alias("shingle")).distinct().withColumn("found", F.lit(1))
     support = mine.join(have, [id_col, "shingle"], "left").groupBy(id_col, "quote").agg((F.count("found") / F.count(F.lit(1))).alias("support"))
     return support.where(F.col("support") < QUOTE_SUPPORT)
 

@@ -122,3 +122,31 @@ def test_only_grams_that_are_asked_for_leave_a_source(spark):
     assert sorted(map(tuple, out.collect())) == [(1, 2, 2, 7), (2, 2, 0, 0)]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "LeftSemi" not in plan
+
+
+def test_texts_are_only_asked_for_shingles_of_their_quotes(spark):
+    from lodestrata.operators import anchors
+
+    r = random.Random(8)
+    han = lambda n: "".join(chr(0x4E00 + r.randrange(40)) for _ in range(n))
+    sources = [(i, han(30 if i % 2 else 400) + " x，y") for i in range(12)] + [(12, None)]
+    refined = [(i, "".join(f"“{(t or '')[5:12]}{han(8)}”" for _ in range(1 if i % 3 else 9))) for i, t in sources]
+    df = lambda rows: spark.createDataFrame(rows, "id long, text string")
+    out = anchors.fabricated_quotes(df(sources), df(refined), "id")
+    bare = lambda t: "".join(c for c in t or "" if "一" <= c <= "龥" or c.isascii() and c.isalnum())
+    want = {}
+    for (i, t), (_, said) in zip(sources, refined, strict=True):
+        for q in {q.strip("“") for q in said.split("”") if q}:
+            grams = {q[j : j + 3] for j in range(len(q) - 2)}
+            share = sum(g in bare(t) for g in grams) / len(grams)
+            if len(q) >= anchors.QUOTE_HAN and share < anchors.QUOTE_SUPPORT:
+                want[i, q] = share
+    assert want and {(x.id, x.quote): x.support for x in out.collect()} == want
+    assert "contains(plain_" in out._jdf.queryExecution().analyzed().toString().replace("Contains", "contains") or "array_intersect" in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_findings_are_counted_once(spark):
+    rows = spark.createDataFrame([(1, "好好好的"), (2, "b")], "id long, text string")
+    out = audit.cleanliness(rows, "id", "text")
+    assert {(x.id, x.name) for x in out.collect()} == {(1, "confirmation_repeat")}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("confirmation_repeat") == 1
