@@ -24,6 +24,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
+from operator import concat
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -131,6 +132,25 @@ def count_tokens(docs: DataFrame, *, path: str, id_col: str = "doc_id", text_col
 
 
 SPACE = "▁"
+#: A rank and a place in a word as one number.
+PLACE_BITS = 32
+LAST_PLACE = (1 << PLACE_BITS) - 1
+
+
+def word_pattern(pairs: set[tuple[str, str]]) -> str:
+    """Words end where no piece can reach on: before spaces, around line breaks,
+    and between letters and other characters. Letters that some piece has beside
+    another kind of character count as such; if pieces join these to letters
+    all the same, only spaces and line breaks end words."""
+    broken = "" if any("\n" in pair for pair in pairs) else "\n"
+    one = f"{broken}|" if broken else ""
+    is_letter = re.compile(r"[^\W\d_]").match
+    kinds = [(a, b, bool(is_letter(a)), bool(is_letter(b))) for a, b in pairs if a != SPACE]
+    others = {c for a, b, x, y in kinds if x != y for c in (a if x else b)}
+    if any((x and a not in others) != (y and b not in others) for a, b, x, y in kinds):
+        return f"{one}(?:{SPACE}+|[^{SPACE}])[^{SPACE}{broken}]*"
+    more = re.escape("".join(sorted(others)))
+    return f"{one}{SPACE}*+(?:[^\\W\\d_{more}]+|(?:(?![{SPACE}{broken}])[\\W\\d_{more}])+)|{SPACE}+"
 
 
 class PieceCoder(dict):
@@ -149,45 +169,64 @@ class PieceCoder(dict):
         self.scores = {piece(i): self.library.get_score(i) for i in plain}
         self.bytes = {int(piece(i)[1:-1], 16): i for i in ids if self.library.is_byte(i)}
         self.surfaces = [bytes([int(piece(i)[1:-1], 16)]) if self.library.is_byte(i) else piece(i).encode() for i in ids]
+        self.plain = ["" if self.library.is_byte(i) else piece(i) for i in ids]
+        self.decimals = [*map(str, ids)]
         pairs = {pair for p in self.ids for pair in zip(p, p[1:], strict=False)}
         if any(a != SPACE and b == SPACE for a, b in pairs) or len(self.bytes) != 256:
             raise ValueError("needs a vocabulary with byte fallback, whose pieces have spaces at their start only")
-        # words end where no piece can reach on: before spaces, around line
-        # breaks, and between a letter and a mark that no piece has behind one
-        letter = r"[^\W\d_]"
-        marks = "".join(m for m in ".,;:!?" if not any(b == m and re.match(letter, a) for a, b in pairs))
-        broken = "" if any("\n" in pair for pair in pairs) else "\n"
-        rest = f"(?:[^{SPACE}{broken}{marks}]+|(?<!{letter})[{marks}])*" if marks else f"[^{SPACE}{broken}]*"
-        self.words = re.compile(f"{'\n|' if broken else ''}(?:{SPACE}+|[^{SPACE}]){rest}").findall
+        self.words = re.compile(word_pattern(pairs)).findall
         self.older: dict[str, str] = {}
         self.odd: dict[str, str] = {}
-        self.fresh: list[str] = []
+        self.fresh: dict[str, list[int]] = {}
+
+    @property
+    def scores(self) -> dict[str, float]:
+        return self._scores
+
+    @scores.setter
+    def scores(self, scores: dict[str, float]) -> None:
+        """Ranks are places by score, the best first, with room for a place in a word."""
+        places = {score: at << PLACE_BITS for at, score in enumerate(sorted({*scores.values()}, reverse=True))}
+        self._scores, self.ranks = scores, {piece: places[score] for piece, score in scores.items()}
 
     def encoded(self, word: str) -> list[int]:
-        symbols, scores = list(word), self.scores
-        n = len(symbols)
-        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        agenda = [(-score, i, pair) for i in range(n - 1) if (score := scores.get(pair := symbols[i] + symbols[i + 1])) is not None]
+        """Symbols are known by their first places: ``after`` has where a symbol
+        ends, ``now`` the rank of it and the next one as a pair. An entry of the
+        agenda that is not its place's rank any more is passed over."""
+        n, rank_of = len(word), self.ranks.get
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        now = [*map(rank_of, map(concat, word, word[1:])), None]
+        agenda = [rank + i for i, rank in enumerate(now) if rank is not None]
         heapq.heapify(agenda)
         while agenda:
-            _, i, pair = heapq.heappop(agenda)
-            j = after[i]
-            if j < 0 or not symbols[i] or symbols[i] + symbols[j] != pair:
+            entry = heapq.heappop(agenda)
+            i = entry & LAST_PLACE
+            if now[i] != entry - i:
                 continue
-            symbols[i], symbols[j] = pair, ""
-            k = after[i] = after[j]
-            after[j] = -1
-            if k >= 0:
-                before[k] = i
-                if (score := scores.get(new := pair + symbols[k])) is not None:
-                    heapq.heappush(agenda, (-score, i, new))
+            j = after[i]
+            now[j] = None
+            end = after[i] = after[j]
+            now[i] = rank = None
+            if end < n:
+                before[end] = i
+                now[i] = rank = rank_of(word[i : after[end]])
+                if rank is not None:
+                    heapq.heappush(agenda, rank + i)
             h = before[i]
-            if h >= 0 and (score := scores.get(new := symbols[h] + pair)) is not None:
-                heapq.heappush(agenda, (-score, h, new))
+            if h >= 0:
+                now[h] = rank = rank_of(word[h:end])
+                if rank is not None:
+                    heapq.heappush(agenda, rank + h)
         out: list[int] = []
-        for s in filter(None, symbols):
-            i = self.ids.get(s)
-            out += [i] if i is not None else [self.bytes[b] for b in s.encode()]
+        i = 0
+        while i < n:
+            end = after[i]
+            found = self.ids.get(word[i:end])
+            if found is not None:
+                out.append(found)
+            else:
+                out += [self.bytes[b] for b in word[i:end].encode()]
+            i = end
         return out
 
     def decoded(self, ids: list[int]) -> str:
@@ -195,16 +234,16 @@ class PieceCoder(dict):
         return b"".join([self.surfaces[i] for i in ids]).decode(errors="replace").replace(SPACE, " ")
 
     def _put(self, word: str, ids: list[int]) -> str:
-        back = self.decoded(ids)
-        if back != word.replace(SPACE, " "):
+        # bytes are no plain pieces, so words that hold some are read back in full
+        if "".join([self.plain[i] for i in ids]) != word and (back := self.decoded(ids)) != word.replace(SPACE, " "):
             self.odd[word] = back
-        found = self[word] = ",".join(map(str, ids))
+        found = self[word] = ",".join([self.decimals[i] for i in ids])
         return found
 
     def __missing__(self, word: str) -> str:
         if (found := self.older.get(word)) is None:
-            self.fresh.append(word)
-            return self._put(word, self.encoded(word))
+            ids = self.fresh[word] = self.encoded(word)
+            return self._put(word, ids)
         self[word] = found
         return found
 
@@ -218,9 +257,9 @@ class PieceCoder(dict):
             lead = len(self.library.encode("\n"))
             # a lone space is what the library puts before a line break
             asked = ["\n" if w == SPACE else w[1:].replace(SPACE, " ") if w[0] == SPACE else "\n" + w for w in self.fresh]
-            for word, want in zip(self.fresh, self.library.encode(asked, num_threads=1), strict=True):
+            for (word, ids_), want in zip(self.fresh.items(), self.library.encode(asked, num_threads=1), strict=True):
                 want = want[: lead - 1] if word == SPACE else want if word[0] == SPACE else want[lead:]
-                if ",".join(map(str, want)) != self[word]:
+                if want != ids_:
                     raise ValueError(f"ids differ from the library's for the word {word[:200]!r}")
             for word in [w for w in self.fresh if len(w) > LONG_WORD]:
                 del self[word]

@@ -321,6 +321,25 @@ def test_a_broken_agenda_is_an_error():
         coder.check("one", one)
 
 
+def test_words_end_between_letters_and_other_characters():
+    """So that a word is encoded once, whatever stands behind it."""
+    coder = tokens.PieceCoder(public_tokenizers.path("piece_bpe_32k.model"))
+    assert coder.split("in  the.\nm² (the!) 9a") == ["▁in", "▁▁the", ".", "\n", "m", "²", "▁(", "the", "!)", "▁9", "a"]
+    random.seed(61)
+    for _ in range(2000):
+        text = "".join(random.choice(["the", "ing", "é", "m", "²", "½", ".", ",", "'", "-", "9", " ", "  ", "▁", "\n", "中", "́", "ß", "_", "(", "\t"]) for _ in range(random.randrange(1, 30)))
+        ids, back = coder.code(text)
+        coder.check(text, ids)
+        assert "".join(coder.split(text)) == tokens.SPACE + text.replace(" ", tokens.SPACE)
+        assert back == coder.library.decode(coder.library.encode(text))
+
+
+def test_a_piece_of_letters_and_others_keeps_words_whole():
+    plain, joined = (re.compile(tokens.word_pattern({("a", "b"), *more})).findall for more in ((), {("b", "."), (".", "c"), ("a", ".")}))
+    assert plain("▁ab.c\n") == ["▁ab", ".", "c", "\n"]
+    assert joined("▁ab.c\n▁a") == ["▁ab.c", "\n", "▁a"]
+
+
 # 7
 def brute_spans(text):
     out = []
