@@ -7,6 +7,9 @@ behaviour does not fix are constants here.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +37,12 @@ CLEAN_RULES = (
     ("modal", "[吧呢嘛][。，]", "soft"),
     ("empty_phrase", "(这个|那个|就是说|然后呢)", "soft"),
 )
+#: What one of must stand in a text for a rule to be met there: looked for first, as that takes far less than the pattern.
+NEEDED = {
+    "confirmation_repeat": ("对对对", "是是是", "嗯嗯", "好好好"), "filler": ("嗯", "呃", "啊"), "stutter": ("就就", "我我", "他他", "你你", "这这", "那那", "是是"), "repeated_year": ("年",),
+    "broken_start": ("，", "。", "、", "；"), "modal": ("吧", "呢", "嘛"), "empty_phrase": ("这个", "那个", "就是说", "然后呢"),
+    "model_marker": ("（", "[略]", "[省略]", "[omitted]", "<!--"), "quote_style": ('"', "「", "」", "『", "』"), "empty_words": ("就是说", "这个", "那个", "然后呢", "的话", "对吧", "嗯", "呃"),
+}
 MODEL_MARKS = r"（(此处|以下|略|省略|内容)[^）]*）|\[(略|省略|omitted)\]|<!-- *(omitted|gap)"
 #: Empty words of which a refined text should keep few, and how many must be there to tell.
 EMPTY_WORDS = "(就是说|这个|那个|然后呢|的话|对吧|嗯|呃)"
@@ -49,16 +58,30 @@ def prose(text: Column) -> Column:
     return F.array_join(kept, "\n")
 
 
+def counted(text: Column, rule: str, pattern: str, searched: Column | None = None) -> Column:
+    """How often ``pattern`` is met in a text (or in ``searched``, what is left
+    of it), which is searched only if it holds what the rule needs."""
+    n = F.regexp_count(text if searched is None else searched, F.lit(pattern))
+    if rule not in NEEDED:
+        return n
+    return F.when(reduce(or_, (F.contains(text, F.lit(x)) for x in NEEDED[rule])), n).otherwise(0)
+
+
+def met_rules(counts: dict[str, tuple[Column, str]]) -> Column:
+    """The findings (name, severity, n) of a row, as an array."""
+    items = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(s).alias("severity"), n.cast("long").alias("n")) for k, (n, s) in counts.items()])
+    return F.filter(items, lambda x: x["n"] > 0)
+
+
 def findings(pairs: DataFrame, id_col: str, counts: dict[str, tuple[Column, str]]) -> DataFrame:
     """One row for each rule that is met, in one pass."""
-    items = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(s).alias("severity"), n.cast("long").alias("n")) for k, (n, s) in counts.items()])
-    return pairs.select(id_col, F.explode(F.filter(items, lambda x: x["n"] > 0)).alias("f")).select(id_col, "f.*")
+    return pairs.select(id_col, F.explode(met_rules(counts)).alias("f")).select(id_col, "f.*")
 
 
 def cleanliness(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """D3, D4."""
     body = prose(F.col(text_col))
-    rules = {name: (F.regexp_count(F.col("body"), F.lit(pattern)), severity) for name, pattern, severity in CLEAN_RULES}
+    rules = {name: (counted(F.col("body"), name, pattern), severity) for name, pattern, severity in CLEAN_RULES}
     rules["long_paragraph"] = (F.size(F.filter(F.split("body", "\n", -1), lambda p: F.length(p) > LONG_PARAGRAPH)), "hard")
     return findings(docs.withColumn("body", body), id_col, rules)
 
@@ -66,7 +89,7 @@ def cleanliness(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def quote_style(text: Column) -> dict[str, tuple[Column, str]]:
     """Straight quotes beside Han characters, and corner brackets, outside code and links."""
     masked = F.regexp_replace(text, r"(?s)```.*?```|`[^`]*`|https?://[^\s)]+|\]\([^)]*\)", "")
-    return {"quote_style": (F.regexp_count(masked, F.lit(f'{HAN}"|"{HAN}|[「」『』]')), "hard")}
+    return {"quote_style": (counted(text, "quote_style", f'{HAN}"|"{HAN}|[「」『』]', masked), "hard")}
 
 
 def label_style(text: Column) -> dict[str, tuple[Column, str]]:
@@ -76,11 +99,13 @@ def label_style(text: Column) -> dict[str, tuple[Column, str]]:
     return {"label_style": (F.when((bold >= 3) & (plain >= 3), F.least(bold, plain)).otherwise(0), "soft")}
 
 
-def pair_ratios(source: Column, refined: Column, summary: bool = False) -> dict[str, tuple[Column, str]]:
-    """Compression below the floor, and marks that a model leaves."""
-    ratio = content_length(refined) / F.greatest(content_length(source), F.lit(1))
+def pair_ratios(source: Column, refined: Column, summary: bool = False, sizes: tuple[Column, Column] | None = None) -> dict[str, tuple[Column, str]]:
+    """Compression below the floor, and marks that a model leaves.
+    ``sizes`` are the content lengths of both texts where they are known."""
+    of_source, of_refined = sizes or (content_length(source), content_length(refined))
+    ratio = of_refined / F.greatest(of_source, F.lit(1))
     low = F.when(ratio < COMPRESSION_FLOOR, 1).otherwise(0)
-    return {"compression": (F.lit(0) if summary else low, "hard"), "model_marker": (F.regexp_count(refined, F.lit(MODEL_MARKS)), "soft")}
+    return {"compression": (F.lit(0) if summary else low, "hard"), "model_marker": (counted(refined, "model_marker", MODEL_MARKS), "soft")}
 
 
 def ghost_names(docs: DataFrame, glossary: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -203,10 +228,11 @@ def order_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([common_order(list(x), list(y)) / max(len(x), len(y), 1) for x, y in orders], dtype="float64")
 
 
-def under_refined(source: Column, refined: Column) -> dict[str, tuple[Column, str]]:
+def under_refined(source: Column, refined: Column, sizes: tuple[Column, Column] | None = None) -> dict[str, tuple[Column, str]]:
     """The length is kept, and so are nearly all the empty words."""
-    before, after = (F.regexp_count(c, F.lit(EMPTY_WORDS)) for c in (source, refined))
-    kept = content_length(refined) >= COMPRESSION_FLOOR * content_length(source)
+    before, after = (counted(c, "empty_words", EMPTY_WORDS) for c in (source, refined))
+    of_source, of_refined = sizes or (content_length(source), content_length(refined))
+    kept = of_refined >= COMPRESSION_FLOOR * of_source
     return {"under_refined": (F.when(kept & (before >= EMPTY_LEAST) & ((before - after) / before < EMPTY_REDUCTION), 1).otherwise(0), "hard")}
 
 
@@ -223,15 +249,19 @@ def pair_audit(pairs: DataFrame, id_col: str, more: DataFrame | None = None, sum
     name, severity, n) such as gaps and missing endings, in one list. A summary
     passes no gates."""
     source, refined = F.col("source"), F.col("refined")
-    rules = pair_ratios(source, refined, summary) | ({} if summary else under_refined(source, refined)) | quote_style(refined) | label_style(refined)
-    body = pairs.withColumn("refined_body", prose(refined))
-    clean = {name: (F.regexp_count(F.col("refined_body"), F.lit(pattern)), severity) for name, pattern, severity in CLEAN_RULES}
-    found = findings(body, id_col, rules | clean)
-    if more is not None:
-        found = found.unionByName(more.select(id_col, "name", "severity", F.col("n").cast("long").alias("n")))
-    gate = F.lit(False) if summary else (F.col("severity") == "hard") & (F.col("name").isin(*GATES) | F.col("name").isin(*(n for n, _, s in CLEAN_RULES if s == "hard")))
-    per = found.groupBy(id_col).agg(F.array_sort(F.collect_set(F.when(gate, F.col("name")))).alias("failed"), F.array_sort(F.collect_list(F.struct("name", "severity", "n"))).alias("findings"))
-    out = pairs.select(id_col).join(per, id_col, "left")
+    sizes = F.col("source_size_"), F.col("refined_size_")
+    rules = pair_ratios(source, refined, summary, sizes) | ({} if summary else under_refined(source, refined, sizes)) | quote_style(refined) | label_style(refined)
+    body = pairs.withColumns({"refined_body": prose(refined), "source_size_": content_length(source), "refined_size_": content_length(refined)})
+    clean = {name: (counted(F.col("refined_body"), name, pattern), severity) for name, pattern, severity in CLEAN_RULES}
+    gate = lambda f: F.lit(False) if summary else (f["severity"] == "hard") & f["name"].isin(*GATES, *(n for n, _, s in CLEAN_RULES if s == "hard"))
+    if more is None:  # a pair's findings stay in its row
+        out = body.select(id_col, met_rules(rules | clean).alias("findings"))
+        out = out.withColumn("failed", F.array_sort(F.transform(F.filter("findings", gate), lambda f: f["name"])))
+    else:
+        found = findings(body, id_col, rules | clean).unionByName(more.select(id_col, "name", "severity", F.col("n").cast("long").alias("n")))
+        found = found.select(id_col, F.struct("name", "severity", "n").alias("f"))
+        per = found.groupBy(id_col).agg(F.array_sort(F.collect_set(F.when(gate(F.col("f")), F.col("f.name")))).alias("failed"), F.array_sort(F.collect_list("f")).alias("findings"))
+        out = pairs.select(id_col).join(per, id_col, "left")
     failed = F.coalesce("failed", F.array().cast("array<string>"))
     return out.select(id_col, F.when(F.size(failed) > 0, "fail").otherwise("ok").alias("status"), failed.alias("failed"), F.coalesce(F.size("findings"), F.lit(0)).cast("long").alias("n_findings"))
 

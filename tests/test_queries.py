@@ -148,3 +148,24 @@ def test_entities_grow_batch_by_batch(spark, tmp_path):
     assert got == {"王明": ["王总", "王明（董事长）", "小明", "明明"], "李华": []}
     cumulative.merged_into(state)(spark.createDataFrame(batches[2], schema), 2)  # a batch that runs again
     assert {r.canonical: r.variants for r in cumulative.latest(spark, state).collect()} == got
+
+
+def test_findings_of_a_pair_stay_in_its_row(spark):
+    """Pairs without an id, or of one id, keep findings of their own."""
+    rows = [(None, "甲乙丙丁", "甲乙丙丁就就好好好"), (1, "甲乙丙丁", "甲乙丙丁"), (1, "甲乙丙丁戊己", "甲")]
+    got = audit.pair_audit(spark.createDataFrame(rows, "id long, source string, refined string"), "id").collect()
+    assert sorted((r.status, tuple(r.failed), r.n_findings) for r in got) == [("fail", ("compression",), 1), ("fail", ("confirmation_repeat", "stutter"), 2), ("ok", (), 0)]
+
+
+def test_what_a_rule_needs_stands_in_all_that_meets_it(spark):
+    import random
+
+    r = random.Random(7)
+    bits = ["对对对", "是是是", "嗯", "呃", "啊", "好好好", "就", "我", "可", "2024年", "，", "。", "；", "吧", "呢", "嘛", "这个", "那个", "就是说", "然后呢", "的话", "对吧", "（略", "）", "[略]", "[omitted]", "<!-- gap", "甲", '"', "「", "\n", "`", "a", " "]
+    texts = [("".join(r.choice(bits) for _ in range(r.randrange(1, 9))),) for _ in range(3000)]
+    t = F.col("t")
+    rules = {name: pattern for name, pattern, _ in audit.CLEAN_RULES} | {"model_marker": audit.MODEL_MARKS, "empty_words": audit.EMPTY_WORDS, "quote_style": '[一-龥]"|"[一-龥]|[「」『』]'}
+    differs = [F.count_if(audit.counted(t, name, pattern) != F.regexp_count(t, F.lit(pattern))).alias(name) for name, pattern in rules.items()]
+    met = [F.count_if(F.regexp_count(t, F.lit(pattern)) > 0).alias(name) for name, pattern in rules.items()]
+    texts = spark.createDataFrame(texts, "t string")
+    assert set(texts.agg(*differs).first()) == {0} and min(texts.agg(*met).first().asDict()[n] for n in audit.NEEDED) > 0
