@@ -47,7 +47,7 @@ from lodestrata.llm.graph import components
 from lodestrata.llm.neighbours import forest
 from lodestrata.llm.scratch import Scratch
 from lodestrata.llm.shingles import U, mixed, shingle_sets
-from lodestrata.llm.workers import release
+from lodestrata.llm.workers import batches_of, release, trim
 
 BITS = 22
 PIECE = 1 << 16
@@ -58,6 +58,10 @@ LIST_BLOCK = 512
 SIGNATURE_BITS = 2048
 #: Counters are doubled up to this power of two as documents grow.
 MOST_BITS = 24
+#: Shingles that are added to the counters at once.
+ADDED = 1 << 18
+#: Of texts or sets that reach a worker at once.
+BATCH = "4m"
 #: Steps of a counter's value for each doubling of the count.
 STEPS = 2048
 #: Primes; ids are told apart by their residues where texts are passed over.
@@ -72,20 +76,23 @@ def _count(words: int, bits: int):
         def add() -> None:
             nonlocal size
             if held:
-                counts[:] += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
+                # not bincount, which makes a second table of all counters
+                np.add.at(counts, np.concatenate(held), np.uint32(1))
                 held.clear()
                 size = 0
 
         for batch in batches:
             for one in shingle_sets(batch.column(0), words):
-                held.append((one >> U(64 - bits)).astype(np.int32))
+                held.append((one >> U(64 - bits)).astype(np.int64))
                 size += len(one)
-                if size > 1 << (bits - 1):
+                if size > ADDED:
                     add()
         add()
         pieces = [(i, zlib.compress(counts[i * PIECE : (i + 1) * PIECE].tobytes(), 1)) for i in range(-(-(1 << bits) // PIECE)) if counts[i * PIECE : (i + 1) * PIECE].any()]
+        del counts
         if pieces:
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pieces], pa.int32()), pa.array([p[1] for p in pieces], pa.binary())], ["piece", "counts"])
+        trim()
 
     return run
 
@@ -122,7 +129,7 @@ def _prefixes(sent, words: int, percent: int, bits: int):
         release()
         frequency = np.frombuffer(sent.value, np.uint16)
         counted = lambda values: np.exp2(values / STEPS) - 1
-        usual = float(counted(frequency.astype(np.float32)).mean())
+        usual = sum(float(counted(frequency[i : i + PIECE].astype(np.float32)).sum(dtype=np.float64)) for i in range(0, len(frequency), PIECE)) / len(frequency)
         for batch in batches:
             out = []
             for one in shingle_sets(batch.column(1), words):
@@ -141,6 +148,7 @@ def _prefixes(sent, words: int, percent: int, bits: int):
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
             columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n", "s1", "s2", "ell", "prefix"])
+        trim()
 
     return run
 
@@ -177,6 +185,7 @@ def _sets(words: int, sent, signatures: bool):
                 row[(one % U(SIGNATURE_BITS)).astype(np.int64)] = 1
             packed_ = [*np.packbits(marks, axis=1).view(np.int64)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(one) for one in sets], pa.int64()), pa.array(packed_, pa.list_(pa.int64()))], ["rep", "n", "bits"])
+        trim()
 
     return run
 
@@ -395,7 +404,12 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
 
 
 def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bits: int | None = None, long_list: int = LONG_LIST, list_block: int = LIST_BLOCK) -> DataFrame:
-    """Per document: (doc_id, n_shingles, component_id)."""
+    """Per document: (doc_id, n_shingles, component_id). All of it is written when this returns."""
+    with batches_of(docs.sparkSession, BATCH):
+        return _components(docs, id_col, text_col, words, percent, bits, long_list, list_block)
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, bits: int | None, long_list: int, list_block: int) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -11,6 +11,8 @@ import pyarrow as pa
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 CHUNK_BYTES = 1 << 20
+#: Of texts whose sets are computed at once; some thirty times as much is held meanwhile.
+SET_BYTES = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -46,7 +48,7 @@ def shingle_sets(texts: pa.Array, words: int = 3) -> Iterator[np.ndarray]:
     data, ends = _bytes(texts)
     at = 0
     while at < len(texts):
-        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK_BYTES, "right")) - 1)
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + SET_BYTES, "right")) - 1)
         stop = min(stop, len(texts))
         yield from _chunk(data[ends[at] : ends[stop]], ends[at : stop + 1] - ends[at], words)
         at = stop
@@ -65,7 +67,7 @@ def _chunk(data: np.ndarray, ends: np.ndarray, words: int) -> Iterator[np.ndarra
     after = np.concatenate([inside[1:], [False]])
     start = np.flatnonzero(inside & (~before | edge[:-1]))
     end = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    up, down = _powers(1 << max(20, int(len(data)).bit_length()))
+    up, down = _powers(1 << max(18, int(len(data)).bit_length()))
     total = np.concatenate([np.zeros(1, U), np.cumsum(LETTERS[data] * up[: len(data)], dtype=U)])
     word = mixed((total[end] - total[start]) * down[start])
     first = np.searchsorted(start, ends)  # of each text's words

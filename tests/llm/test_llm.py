@@ -4,15 +4,21 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
+import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.llm import chat, fingerprints, html, jaccard, langid, mixing, neighbours, secrets, tokens
 from lodestrata.llm.graph import components
 from lodestrata.llm.scratch import Scratch
+from lodestrata.llm.shingles import shingle_sets
+from lodestrata.llm.workers import BATCH_BYTES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -178,6 +184,54 @@ def test_rare_words_in_lengthened_prefixes(spark):
     assert got == brute_components({i: shingles(t, 1) for i, t, _, _ in rows}, 90) == dict.fromkeys(range(26), 0)
 
 
+def peak_mb(run):
+    tracemalloc.start()
+    out = [*run]
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return out, peak
+
+
+def test_jaccard_counters_are_held_once_in_a_worker():
+    random.seed(35)
+    texts = [" ".join(random.choice("abcd") for _ in range(200)) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    list(shingle_sets(batch.column(1), 3))  # powers are kept
+    parts, peak = peak_mb(jaccard._count(3, 24)(iter([batch.select(["text"])])))
+    assert peak < 1.3 * (4 << 24) / 1e6
+    counts = np.zeros(1 << 24, np.uint32)
+    for piece, packed in zip(*(parts[0].column(i).to_pylist() for i in (0, 1)), strict=True):
+        counts[piece * jaccard.PIECE : (piece + 1) * jaccard.PIECE] = np.frombuffer(zlib.decompress(packed), np.uint32)
+    want = Counter(int(x) >> 40 for one in shingle_sets(batch.column(1), 3) for x in one)
+    assert {int(i): int(counts[i]) for i in np.flatnonzero(counts)} == want
+
+    class Sent:
+        value = np.minimum(np.log2(counts + 1.0) * jaccard.STEPS, 65535).astype(np.uint16).tobytes()
+
+    rows, peak = peak_mb(jaccard._prefixes(Sent, 3, 90, 24)(iter([batch.slice(0, 100)])))
+    assert peak < (4 << 24) / 1e6
+    assert rows[0].column(1).to_pylist() == [len(s) for s in (shingles(t, 3) for t in texts[:100])]
+
+
+def test_texts_reach_the_workers_of_jaccard_in_small_batches(spark, monkeypatch):
+    table = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("x"), F.lit(2000)), F.lit(" "), "id").alias("text")).coalesce(1)
+    seen, real, before = [], jaccard.shingle_frequencies, spark.conf.get(BATCH_BYTES)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    def counted(texts, *a):
+        seen.extend(r.n for r in texts.mapInArrow(sizes, "n long").collect())
+        return real(texts, *a)
+
+    monkeypatch.setattr(jaccard, "shingle_frequencies", counted)
+    assert jaccard.near_documents(table).count() == 6000
+    assert sum(seen) > 12_000_000
+    assert max(seen) < 5_000_000
+    assert spark.conf.get(BATCH_BYTES) == before
+
+
 def test_one_of_each_group_stays(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(1, text, None, None), (2, text + " more", None, None), (2, text + " more", None, None), (3, "quite another text of several words", None, None), (None, text, None, None), (4, None, None, None)]
