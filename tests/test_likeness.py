@@ -115,6 +115,56 @@ def test_forms_of_names_are_never_sent_to_all(spark, tmp_path):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_forms_of_names_are_never_rows(spark):
+    names = spark.createDataFrame([(1, f"Customer#{i:09d}") for i in range(1000)], "k long, name string")
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = written()
+    near = likeness.near_names(names, names, ["k"], 2)
+    assert near.count() == sum(edits(f"{a:03d}", f"{b:03d}") <= 2 for a in range(1000) for b in range(1000)) - 1000
+    assert written() - before < 500_000  # 650 forms a name are 650,000 rows
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 3])
+def test_blocks_of_names_equal_brute_force(most):
+    r = random.Random(most)
+    word = lambda n: "".join(r.choice("ab\0𠀀") for _ in range(n))
+    for a in range(6):
+        for b in range(max(0, a - most), a + most + 1):
+            left, right = (sorted({word(n) for _ in range(30)}) for n in (a, b))
+            same = likeness.np.array([right.index(x) if x in right else -(10**9) for x in left])
+            spelled = likeness._spelled(left, a), likeness._spelled(right, b)
+            want = {(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if x != y and edits(x, y) <= most}
+            codes = likeness._met(*spelled, same, most, 10**6)
+            assert [(c // len(right), c % len(right)) for c in codes.tolist()] == sorted(want)
+            if len(want) > 3:
+                assert likeness._met(*spelled, same, most, 3) is None
+            for limit in (3, 10**6):
+                near = [(i, j) for x, y in likeness._near(*spelled, same, most, limit) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+                assert len(near) == len(set(near)) and set(near) >= want
+
+
+def test_names_split_where_they_are_near_to_too_many(monkeypatch):
+    monkeypatch.setattr(likeness, "comb", lambda n, k: 0)  # never compared one by one
+    left, right = ([f"{i:03d}" for i in range(n)] for n in (70, 90))
+    near = [(i, j) for x, y in likeness._near(likeness._spelled(left, 3), likeness._spelled(right, 3), likeness.np.arange(70), 1, 200) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+    assert len(near) == len(set(near)) < 70 * 90
+    assert set(near) >= {(i, j) for i in range(70) for j in range(90) if i != j and edits(left[i], right[j]) <= 1}
+
+
+def test_names_meet_across_blocks_and_kinds_of_keys(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("ab王") for _ in range(r.randrange(0, 5)))
+    left, right = ([(r.choice([2**60 + 1, None]), r.choice("xy"), word()) for _ in range(120)] for _ in "lr")
+    df = lambda rows: spark.createDataFrame(rows, "k long, l string, name string")
+    got = [tuple(x) for x in likeness.near_names(df(left), df(right), ["k", "l"], 2, chars=40, limit=50).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(k, l, a, b, edits(a, b)) for k, l, a in left for m, n, b in right if (k, l) == (m, n) and a != b and edits(a, b) <= 2}  # noqa: E741
+
+
 def test_only_grams_that_are_asked_for_leave_a_source(spark):
     quotes = spark.createDataFrame([(1, 1, "𠀀bcdef𠀀"), (2, 1, "nowhere")], "quote_id long, k long, quote string")
     sources = spark.createDataFrame([(1, "x𠀀bc def𠀀" * 3), (1, "𠀀bcdef")], "k long, text string")
