@@ -54,6 +54,12 @@ def _ways(a: int, b: int, most: int) -> list[tuple[int, int, int]]:
     return ways
 
 
+def _once(codes: list[np.ndarray]) -> np.ndarray:
+    together = np.concatenate(codes)
+    together.sort()
+    return together[np.flatnonzero(np.diff(together, prepend=-1))]
+
+
 def _met(a: np.ndarray, b: np.ndarray, same: np.ndarray, most: int, limit: int) -> np.ndarray | None:
     """i * (names of b) + j of all names i and j within ``most`` edits, but for
     j = same[i]; none if they are more than ``limit``."""
@@ -83,11 +89,11 @@ def _met(a: np.ndarray, b: np.ndarray, same: np.ndarray, most: int, limit: int)
                     codes.append(found)
                     waiting += len(found)
                     if waiting > limit:
-                        codes = [np.unique(np.concatenate(codes))]
+                        codes = [_once(codes)]
                         waiting = len(codes[0])
                         if waiting > limit // 2:
                             return None
-    return np.unique(np.concatenate(codes))
+    return _once(codes)
 
 
 def _near(a: np.ndarray, b: np.ndarray, same: np.ndarray, most: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
